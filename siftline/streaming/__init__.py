@@ -1,0 +1,6 @@
+"""Streams.
+
+There is no stream operator of its own here. Mapping, cleaning, catalogue checks
+(apart from uniqueness) and rules are stateless projections, so they accept a
+streaming DataFrame as it is; ``tests/test_streaming.py`` runs one.
+"""
