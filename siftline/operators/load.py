@@ -47,13 +47,16 @@ def assign_batches(df: DataFrame, order_cols: list[str], batch_size: int = 10_00
     )
 
 
-def upsert(source: DataFrame, target: DataFrame, key: str, op: str = "upsert") -> DataFrame:
+def upsert(
+    source: DataFrame, target: DataFrame, key: str, op: str = "upsert", carry: list[str] | None = None
+) -> DataFrame:
     """New state of ``target`` together with what became of each source row.
 
     Columns: those of the target, ``in_source``, ``in_target``, ``outcome`` and
     ``error``. Insert of a key that exists, update of a key that does not, a key
     that repeats in the source, and a null key are error rows. ``key`` must be
-    unique in the target.
+    unique in the target. ``carry`` names source columns (such as the batch) to
+    keep next to the outcome.
     """
     if op not in ("insert", "update", "upsert"):
         raise ValueError(f"unknown operation: {op}")
@@ -86,8 +89,10 @@ def upsert(source: DataFrame, target: DataFrame, key: str, op: str = "upsert") -
             return old.alias(c)
         return F.when(applies, F.coalesce(F.col(f"s_{c}"), old)).when(in_target, old).otherwise(F.col(f"s_{c}")).alias(c)
 
+    carry = carry or []
     done = joined.select(
         *[merged(c) for c in target.columns],
+        *[F.col(f"s_{c}").alias(c) for c in carry],
         in_source.alias("in_source"),
         in_target.alias("in_target"),
         outcome.alias("outcome"),
@@ -98,6 +103,7 @@ def upsert(source: DataFrame, target: DataFrame, key: str, op: str = "upsert") -
         *[
             (F.col(f"`{c}`") if c in source.columns else F.lit(None)).cast(types[c]).alias(c) for c in target.columns
         ],
+        *[F.col(f"`{c}`") for c in carry],
         F.lit(True).alias("in_source"),
         F.lit(False).alias("in_target"),
         F.lit("error").alias("outcome"),

@@ -76,13 +76,12 @@ def load_batches(
     ready: DataFrame, target: DataFrame, key: str, op: str = "upsert", batch_size: int = 10_000
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new snapshot, outcome per source row, report per batch)."""
-    batched = load.assign_batches(ready, [key], batch_size)
-    numbers = batched.select(F.col(key).alias("_key"), "batch_num")
-    merged = session.stage(load.upsert(batched.drop("batch_num", "row_index"), target, key, op), "merged")
+    batched = load.assign_batches(ready, [key], batch_size).drop("row_index")
+    merged = session.stage(load.upsert(batched, target, key, op, carry=["batch_num"]), "merged")
     outcomes = load.upsert_outcomes(merged)
-    # Only keys of one copy have a batch of their own; error rows of repeated keys share theirs.
-    one_batch = numbers.groupBy("_key").agg(F.min("batch_num").alias("batch_num"))
-    results = outcomes.join(one_batch, F.col(key) == F.col("_key"), "left").withColumn(
-        "success", F.col("outcome").isin("created", "updated")
+    results = outcomes.withColumn("success", F.col("outcome").isin("created", "updated"))
+    return (
+        load.upsert_snapshot(merged).drop("batch_num"),
+        outcomes,
+        load.batch_report(load.batch_results(results)),
     )
-    return load.upsert_snapshot(merged), outcomes, load.batch_report(load.batch_results(results))
