@@ -195,8 +195,8 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> Da
             "data_type": F.max(F.lit(c.dtype.simpleString())),
             "non_null": F.count(F.when(here, 1)),
             "nulls": F.count(F.when(c.missing, 1)),
-            "min_length": F.min(F.when(here, F.length(c.text))),
-            "max_length": F.max(F.when(here, F.length(c.text))),
+            "min_length": F.min(F.when(here, F.length(c.text))).cast("long"),
+            "max_length": F.max(F.when(here, F.length(c.text))).cast("long"),
             "low": F.min(F.when(here, c.value)).cast("string"),
             "high": F.max(F.when(here, c.value)).cast("string"),
         }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["queries_checks"]
+QUERY_MODULES = ["queries_checks", "queries_data", "queries_rules"]
 
 
 def catalogue_of_queries() -> tuple[dict, dict]:
