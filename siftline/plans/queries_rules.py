@@ -290,7 +290,7 @@ def errors_by_rule_lineitem(t):
 
 @query("formula_missing_column", "SELECT count(*) AS total, count(*) AS invalid FROM orders")
 def formula_missing_column(t):
-    listed = [rules.Rule("gone", "no_such_column > 1"), rules.Rule("never", "o_totalprice < 0")]
+    listed = [rules.Rule("gone", "no_such_column > 1", fields=("no_such_column",)), rules.Rule("never", "o_totalprice < 0")]
     return rules.validate_frame(t.orders, listed).agg(F.count("*").alias("total"), F.count_if(~F.col("is_valid")).alias("invalid"))
 
 
