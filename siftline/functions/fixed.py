@@ -65,8 +65,8 @@ SYSTEM_PREFIXES = ["Created", "LastModified", "System"]
 EXCLUDED_FIELD_WORDS = ["ownerid", "isdeleted", "sic", "createdby"]
 
 # --- rule text: field mentions -------------------------------------------------
-# Fixed values. Each entry: pattern, words of which at least one must occur in
-# the text for the pattern to match at all.
+# Fixed values. Each entry: pattern, words (in lower case) of which at least one
+# must occur in the text for the pattern to match at all.
 FIELD_MENTIONS = [
     (r"'([^']+)'\s+(?:field|must|cannot|should|is|are)", ["field", "must", "cannot", "should", "is", "are"]),
     (r'"([^"]+)"\s+(?:field|must|cannot|should|is|are)', ["field", "must", "cannot", "should", "is", "are"]),
@@ -100,83 +100,87 @@ RULE_WORDS = [
 ]
 
 # --- rule text: constraints ------------------------------------------------------
-# Fixed values.
+# Fixed values. Each entry: pattern, words (in lower case) of which at least one
+# must occur in the text for the pattern to match at all.
 REQUIRED_TEXT = [
-    r"(?:is\s+)?required",
-    r"(?:is\s+)?mandatory",
-    r"cannot\s+be\s+(?:blank|empty|null)",
-    r"must\s+not\s+be\s+(?:blank|empty|null)",
-    r"(?:must|should)\s+be\s+(?:provided|filled|specified)",
-    r"please\s+(?:enter|provide|fill|specify)",
+    (r"(?:is\s+)?required", ["required"]),
+    (r"(?:is\s+)?mandatory", ["mandatory"]),
+    (r"cannot\s+be\s+(?:blank|empty|null)", ["cannot"]),
+    (r"must\s+not\s+be\s+(?:blank|empty|null)", ["must"]),
+    (r"(?:must|should)\s+be\s+(?:provided|filled|specified)", ["must", "should"]),
+    (r"please\s+(?:enter|provide|fill|specify)", ["please"]),
 ]
 RANGE_TEXT = [
-    r"between\s+(\d+(?:\.\d+)?)\s+and\s+(\d+(?:\.\d+)?)",
-    r"from\s+(\d+(?:\.\d+)?)\s+to\s+(\d+(?:\.\d+)?)",
-    r"(\d+(?:\.\d+)?)\s*(?:to|-)\s*(\d+(?:\.\d+)?)",
-    r"(?:in\s+the\s+)?range\s+(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)",
+    (r"between\s+(\d+(?:\.\d+)?)\s+and\s+(\d+(?:\.\d+)?)", ["between"]),
+    (r"from\s+(\d+(?:\.\d+)?)\s+to\s+(\d+(?:\.\d+)?)", ["from"]),
+    (r"(\d+(?:\.\d+)?)\s*(?:to|-)\s*(\d+(?:\.\d+)?)", ["to", "-"]),
+    (r"(?:in\s+the\s+)?range\s+(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)", ["range"]),
 ]
 # Fixed values. A message rule reads "3-5" as a range only with a unit.
 RANGE_TEXT_WITH_UNIT = [
     RANGE_TEXT[0],
     RANGE_TEXT[1],
-    r"(\d+(?:\.\d+)?)\s*(?:to|-)\s*(\d+(?:\.\d+)?)\s+(?:years?|dollars?|range)",
+    (r"(\d+(?:\.\d+)?)\s*(?:to|-)\s*(\d+(?:\.\d+)?)\s+(?:years?|dollars?|range)", ["year", "dollar", "range"]),
     RANGE_TEXT[3],
 ]
 MINIMUM_TEXT = [
-    r"(?:minimum|min|at\s+least|greater\s+than\s+or\s+equal\s+to|>=)\s+(\d+(?:\.\d+)?)",
-    r"must\s+be\s+(\d+(?:\.\d+)?)\s+or\s+(?:more|greater|higher)",
-    r"(?:no\s+less\s+than|not\s+less\s+than)\s+(\d+(?:\.\d+)?)",
+    (r"(?:minimum|min|at\s+least|greater\s+than\s+or\s+equal\s+to|>=)\s+(\d+(?:\.\d+)?)", ["min", "least", "greater", ">="]),
+    (r"must\s+be\s+(\d+(?:\.\d+)?)\s+or\s+(?:more|greater|higher)", ["must"]),
+    (r"(?:no\s+less\s+than|not\s+less\s+than)\s+(\d+(?:\.\d+)?)", ["less"]),
 ]
 MAXIMUM_TEXT = [
-    r"(?:maximum|max|at\s+most|no\s+more\s+than|less\s+than\s+or\s+equal\s+to|<=)\s+(\d+(?:\.\d+)?)",
-    r"must\s+be\s+(\d+(?:\.\d+)?)\s+or\s+(?:less|fewer|lower)",
-    r"(?:cannot\s+exceed|should\s+not\s+exceed|must\s+not\s+exceed)\s+(\d+(?:\.\d+)?)",
+    (r"(?:maximum|max|at\s+most|no\s+more\s+than|less\s+than\s+or\s+equal\s+to|<=)\s+(\d+(?:\.\d+)?)",
+     ["max", "most", "more", "less", "<="]),
+    (r"must\s+be\s+(\d+(?:\.\d+)?)\s+or\s+(?:less|fewer|lower)", ["must"]),
+    (r"(?:cannot\s+exceed|should\s+not\s+exceed|must\s+not\s+exceed)\s+(\d+(?:\.\d+)?)", ["exceed"]),
 ]
-# Fixed values, most specific kind first.
+# Fixed values, most specific kind first: kind, pattern, words.
 LENGTH_TEXT = [
-    ("min_length", r"(?:minimum|min|at\s+least)\s+(\d+)\s+characters?"),
-    ("min_length", r"(?:must\s+be\s+at\s+least|should\s+be\s+at\s+least)\s+(\d+)\s+characters?"),
-    ("max_length", r"(?:maximum|max|at\s+most|no\s+more\s+than)\s+(\d+)\s+characters?"),
-    ("max_length", r"(?:must\s+not\s+exceed|cannot\s+exceed)\s+(\d+)\s+characters?"),
-    ("length_range", r"between\s+(\d+)\s+and\s+(\d+)\s+characters?"),
-    ("length_range", r"(\d+)\s*(?:to|-)\s*(\d+)\s+characters?"),
-    ("exact_length", r"(?:must\s+be\s+|exactly\s+|should\s+be\s+)?(\d+)\s+characters?\s+(?:long|in\s+length)"),
-    ("exact_length", r"length\s+(?:of\s+|must\s+be\s+|should\s+be\s+)?(\d+)"),
+    ("min_length", r"(?:minimum|min|at\s+least)\s+(\d+)\s+characters?", ["character"]),
+    ("min_length", r"(?:must\s+be\s+at\s+least|should\s+be\s+at\s+least)\s+(\d+)\s+characters?", ["character"]),
+    ("max_length", r"(?:maximum|max|at\s+most|no\s+more\s+than)\s+(\d+)\s+characters?", ["character"]),
+    ("max_length", r"(?:must\s+not\s+exceed|cannot\s+exceed)\s+(\d+)\s+characters?", ["character"]),
+    ("length_range", r"between\s+(\d+)\s+and\s+(\d+)\s+characters?", ["character"]),
+    ("length_range", r"(\d+)\s*(?:to|-)\s*(\d+)\s+characters?", ["character"]),
+    ("exact_length", r"(?:must\s+be\s+|exactly\s+|should\s+be\s+)?(\d+)\s+characters?\s+(?:long|in\s+length)", ["character"]),
+    ("exact_length", r"length\s+(?:of\s+|must\s+be\s+|should\s+be\s+)?(\d+)", ["length"]),
 ]
 FORMAT_TEXT = [
-    ("email", [r"(?:valid\s+)?email(?:\s+address)?(?:\s+format)?", r"@.*\..*format", r"electronic\s+mail"]),
-    ("phone", [r"(?:valid\s+)?phone(?:\s+number)?(?:\s+format)?", r"telephone(?:\s+number)?",
-               r"\d{3}[-.]?\d{3}[-.]?\d{4}"]),
-    ("date", [r"(?:valid\s+)?date(?:\s+format)?", r"mm/dd/yyyy|dd/mm/yyyy|yyyy-mm-dd", r"date\s+format"]),
-    ("url", [r"(?:valid\s+)?url(?:\s+format)?", r"web(?:site)?\s+address", r"http[s]?://"]),
-    ("zip", [r"(?:zip|postal)\s+code", r"\d{5}(?:-\d{4})?"]),
-    ("ssn", [r"social\s+security\s+number", r"ssn", r"\d{3}-\d{2}-\d{4}"]),
+    ("email", [(r"(?:valid\s+)?email(?:\s+address)?(?:\s+format)?", ["email"]), (r"@.*\..*format", ["format"]),
+               (r"electronic\s+mail", ["electronic"])]),
+    ("phone", [(r"(?:valid\s+)?phone(?:\s+number)?(?:\s+format)?", ["phone"]), (r"telephone(?:\s+number)?", ["telephone"]),
+               (r"\d{3}[-.]?\d{3}[-.]?\d{4}", ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9"])]),
+    ("date", [(r"(?:valid\s+)?date(?:\s+format)?", ["date"]), (r"mm/dd/yyyy|dd/mm/yyyy|yyyy-mm-dd", ["yyyy"]),
+              (r"date\s+format", ["date"])]),
+    ("url", [(r"(?:valid\s+)?url(?:\s+format)?", ["url"]), (r"web(?:site)?\s+address", ["address"]), (r"http[s]?://", ["http"])]),
+    ("zip", [(r"(?:zip|postal)\s+code", ["code"]), (r"\d{5}(?:-\d{4})?", ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9"])]),
+    ("ssn", [(r"social\s+security\s+number", ["social"]), (r"ssn", ["ssn"]), (r"\d{3}-\d{2}-\d{4}", ["-"])]),
 ]
 CUSTOM_FORMAT_TEXT = [
-    r'format\s+(?:must\s+be|should\s+be)\s+"([^"]+)"',
-    r'pattern\s+"([^"]+)"',
-    r'must\s+match\s+(?:the\s+)?pattern\s+"([^"]+)"',
+    (r'format\s+(?:must\s+be|should\s+be)\s+"([^"]+)"', ["format"]),
+    (r'pattern\s+"([^"]+)"', ["pattern"]),
+    (r'must\s+match\s+(?:the\s+)?pattern\s+"([^"]+)"', ["pattern"]),
 ]
 ALLOWED_TEXT = [
-    r"""must\s+be\s+(?:one\s+of\s+)?(?:the\s+following:?\s*)?["']([^"']+)["']""",
-    r"""(?:only\s+|should\s+be\s+)?(?:one\s+of\s+)?["']([^"']+)["'](?:\s+(?:or|,)\s+["']([^"']+)["'])*""",
-    r"""valid\s+values?\s+(?:are|include)?\s*:?\s*["']([^"']+)["']""",
+    (r"""must\s+be\s+(?:one\s+of\s+)?(?:the\s+following:?\s*)?["']([^"']+)["']""", ["must"]),
+    (r"""(?:only\s+|should\s+be\s+)?(?:one\s+of\s+)?["']([^"']+)["'](?:\s+(?:or|,)\s+["']([^"']+)["'])*""", ['"', "'"]),
+    (r"""valid\s+values?\s+(?:are|include)?\s*:?\s*["']([^"']+)["']""", ["valid"]),
 ]
 PROHIBITED_TEXT = [
-    r"""cannot\s+be\s+["']([^"']+)["']""",
-    r"""(?:not\s+allowed\s+to\s+be|should\s+not\s+be)\s+["']([^"']+)["']""",
-    r"""prohibited\s+values?\s*:?\s*["']([^"']+)["']""",
+    (r"""cannot\s+be\s+["']([^"']+)["']""", ["cannot"]),
+    (r"""(?:not\s+allowed\s+to\s+be|should\s+not\s+be)\s+["']([^"']+)["']""", ["allowed", "should"]),
+    (r"""prohibited\s+values?\s*:?\s*["']([^"']+)["']""", ["prohibited"]),
 ]
 CONDITION_TEXT = [
-    r"""when\s+([A-Za-z][A-Za-z0-9_\s]*?)\s+(?:is|equals?|contains?)\s+["']([^"']+)["']""",
-    r"""if\s+([A-Za-z][A-Za-z0-9_\s]*?)\s+(?:is|equals?|contains?)\s+["']([^"']+)["']""",
-    r"""only\s+when\s+([A-Za-z][A-Za-z0-9_\s]*?)\s+(?:is|equals?)\s+["']([^"']+)["']""",
+    (r"""when\s+([A-Za-z][A-Za-z0-9_\s]*?)\s+(?:is|equals?|contains?)\s+["']([^"']+)["']""", ["when"]),
+    (r"""if\s+([A-Za-z][A-Za-z0-9_\s]*?)\s+(?:is|equals?|contains?)\s+["']([^"']+)["']""", ["if"]),
+    (r"""only\s+when\s+([A-Za-z][A-Za-z0-9_\s]*?)\s+(?:is|equals?)\s+["']([^"']+)["']""", ["when"]),
 ]
 UNIQUE_TEXT = [
-    r"must\s+be\s+unique",
-    r"(?:already\s+exists|duplicate\s+(?:value|entry))",
-    r"uniqueness\s+(?:constraint|violation)",
-    r"cannot\s+be\s+(?:duplicated|the\s+same)",
+    (r"must\s+be\s+unique", ["unique"]),
+    (r"(?:already\s+exists|duplicate\s+(?:value|entry))", ["already", "duplicate"]),
+    (r"uniqueness\s+(?:constraint|violation)", ["uniqueness"]),
+    (r"cannot\s+be\s+(?:duplicated|the\s+same)", ["cannot"]),
 ]
 # Fixed values. A text with this word limits lengths, never numeric values.
 LENGTH_WORD = "characters"

@@ -7,6 +7,7 @@ bad cell.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.functions import fixed
-from siftline.session import col
+from siftline.session import col, sql_name, sql_text
 
 WHITE = " \t\n\r\x0b\x0c"
 
@@ -67,9 +68,26 @@ def number(c: Column | str) -> Column:
 def timestamp(c: Column | str) -> Column:
     """Text as a timestamp by the first accepted format; null when none fits."""
     value = strip(c)
-    return F.coalesce(
+    parsed = F.coalesce(
         *[F.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(fmt))) for shape, fmt in DATE_FORMATS]
     )
+    # No accepted form is longer, so long text is not tried at all.
+    return F.when(F.octet_length(value) <= 32, parsed)
+
+
+def stripped_timestamp(name: str) -> Column:
+    """``timestamp`` of a named text column without outer white space."""
+    c = sql_name(name)
+    tries = ", ".join(
+        f"CASE WHEN {c} RLIKE {sql_text(shape)} THEN try_to_timestamp({c}, {sql_text(fmt)}) END" for shape, fmt in DATE_FORMATS
+    )
+    return F.expr(f"CASE WHEN octet_length({c}) <= 32 THEN coalesce({tries}) END")
+
+
+def stripped_number(name: str) -> Column:
+    """``number`` of a named text column without outer white space."""
+    c = sql_name(name)
+    return F.expr(f"CASE WHEN {c} RLIKE {sql_text(NUMBER)} THEN try_cast({c} AS DOUBLE) END")
 
 
 def boolean(c: Column | str, short_tokens: bool = True) -> Column:
@@ -82,15 +100,7 @@ def boolean(c: Column | str, short_tokens: bool = True) -> Column:
 
 def contains_any(c: Column, words: list[str]) -> Column:
     """Does the (lower-case) text hold at least one of the words?"""
-    found = F.lit(False)
-    for word in _minimal(words):
-        found = found | c.contains(word)
-    return found
-
-
-def _minimal(words: list[str]) -> list[str]:
-    """Drop words that contain another word of the list: they add nothing."""
-    return [w for w in words if not any(o != w and o in w for o in words)]
+    return c.rlike("|".join(re.escape(w) for w in words))
 
 
 def title_case(c: Column | str) -> Column:
@@ -144,22 +154,23 @@ def group_key(c: Column | str) -> Column:
     A digest form is longer than any text kept as it is, so the two never meet.
     """
     value = text(c)
-    return F.when(F.length(value) <= 64, value).otherwise(F.concat(F.lit("sha256:"), F.sha2(value, 256)))
+    return F.when(F.octet_length(value) <= 64, value).otherwise(F.concat(F.lit("sha256:"), F.sha2(value, 256)))
 
 
 @dataclass(frozen=True)
 class Cell:
     """One column of a frame together with its type, for type-aware checks.
 
-    ``stripped_as`` and ``number_as`` name columns that already hold the
-    stripped text and the parsed number (see ``prepared_cells``); without them
-    the expressions are written out at each use.
+    ``stripped_as``, ``number_as`` and ``date_as`` name columns that already
+    hold the stripped text, the parsed number and the parsed date (see
+    ``prepared_cells``); without them the expressions are written out at each use.
     """
 
     name: str
     dtype: T.DataType
     stripped_as: str | None = None
     number_as: str | None = None
+    date_as: str | None = None
 
     @property
     def value(self) -> Column:
@@ -218,6 +229,12 @@ class Cell:
             return self.value.cast("int").cast("double")
         return number(self.value)
 
+    @property
+    def date(self) -> Column:
+        if self.date_as:
+            return F.col(self.date_as)
+        return self.value.cast("timestamp") if self.is_date else timestamp(self.text)
+
 
 def cell(df: DataFrame, name: str) -> Cell:
     return Cell(name, df.schema[name].dataType)
@@ -227,22 +244,29 @@ def cells(df: DataFrame, names: list[str] | None = None) -> list[Cell]:
     return [cell(df, n) for n in (names or df.columns)]
 
 
-def prepared_cells(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Cell]]:
-    """Frame with stripped text and parsed number of every text column, and its cells.
+def prepared_cells(
+    df: DataFrame, names: list[str], numbers: set[str] | None = None, dates: set[str] | None = None
+) -> tuple[DataFrame, dict[str, Cell]]:
+    """Frame with stripped text, number and date of text columns, and its cells.
 
     Several checks of one cell then share them: without this each check would
-    strip and parse again. Columns no check uses are pruned by the optimizer.
+    strip and parse again. ``numbers`` and ``dates`` name the columns to parse
+    (all when omitted).
     """
     plain = {n: cell(df, n) for n in names}
-    texts = [n for n, c in plain.items() if c.is_text]
-    ids = {n: i for i, n in enumerate(texts)}
+    ids = {n: i for i, n in enumerate(n for n, c in plain.items() if c.is_text)}
     df = df.select("*", *[strip(plain[n].value).alias(f"_stripped_{i}") for n, i in ids.items()])
-    parsed = [
-        F.when(F.col(f"_stripped_{i}").rlike(NUMBER), F.col(f"_stripped_{i}").try_cast("double")).alias(f"_number_{i}")
-        for i in ids.values()
-    ]
-    df = df.select("*", *parsed)
-    out = {
-        n: Cell(n, c.dtype, f"_stripped_{ids[n]}", f"_number_{ids[n]}") if n in ids else c for n, c in plain.items()
-    }
-    return df, out
+    parsed, out = [], {}
+    for n, c in plain.items():
+        if n not in ids:
+            out[n] = c
+            continue
+        i = ids[n]
+        number_as = f"_number_{i}" if numbers is None or n in numbers else None
+        date_as = f"_date_{i}" if dates is None or n in dates else None
+        if number_as:
+            parsed.append(stripped_number(f"_stripped_{i}").alias(number_as))
+        if date_as:
+            parsed.append(stripped_timestamp(f"_stripped_{i}").alias(date_as))
+        out[n] = Cell(n, c.dtype, f"_stripped_{i}", number_as, date_as)
+    return (df.select("*", *parsed) if parsed else df), out

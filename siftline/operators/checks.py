@@ -19,6 +19,9 @@ from siftline.operators import keyed
 
 #: Picklists up to this many values are tested in place; larger ones are joined.
 INLINE_PICKLIST = 1000
+#: Field types whose checks read the number or the date of a cell.
+NUMBER_KINDS = {"int", "integer", "double", "currency", "percent", "number", "string", "textarea", "text"}
+DATE_KINDS = {"date", "datetime"}
 VIOLATION = (
     "array<struct<rule:string,field:string,category:string,severity:string,message:string>>"
 )
@@ -52,7 +55,7 @@ def not_boolean(c: Cell) -> Column:
 
 
 def not_date(c: Cell) -> Column:
-    return F.lit(False) if c.is_date else values.timestamp(c.value).isNull()
+    return F.lit(False) if c.is_date else c.date.isNull()
 
 
 def bad_email(c: Cell) -> Column:
@@ -385,7 +388,13 @@ def validate_schema(
     by_name = {f.name: f for f in read_fields(catalog, list(mapping.values()), object_name)}
     columns = list(df.columns)
     checks: list[Check] = []
-    df, ready = values.prepared_cells(df, [s for s, t in mapping.items() if t in by_name])
+    kinds = {s: by_name[t].type.lower() for s, t in mapping.items() if t in by_name}
+    df, ready = values.prepared_cells(
+        df,
+        list(kinds),
+        numbers={s for s, k in kinds.items() if k in NUMBER_KINDS},
+        dates={s for s, k in kinds.items() if k in DATE_KINDS},
+    )
     for source, target in mapping.items():
         field = by_name.get(target)
         if field is None:
@@ -422,7 +431,7 @@ def issues_column(df: DataFrame, catalog: DataFrame, object_name: str | None = N
     columns = list(df.columns)
     df, _ = unique_checks(df, [n for n in columns if n in fields and fields[n].is_unique], trim=False)
     dup = {n: f"_dup_{i}" for i, n in enumerate(n for n in columns if n in fields and fields[n].is_unique)}
-    df, by_name = values.prepared_cells(df, columns)
+    df, by_name = values.prepared_cells(df, columns, numbers=set(), dates=set())
     parts = []
     for name in columns:
         if name in fields and not fields[name].nillable:

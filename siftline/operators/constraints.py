@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftline import session
 from siftline.functions import fixed, values
+from siftline.session import sql_name, sql_text
 
 #: Case-insensitive; only a line feed ends a line.
 FLAGS = "(?id)"
@@ -23,37 +24,62 @@ CONSTRAINT_COLUMNS = [
 ]
 
 
-def _any(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(FLAGS + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
+class Text:
+    """A text column prepared for many patterns.
 
+    Every pattern names words without which it cannot match. They are looked up
+    once per word in the lower-case text, a plain byte search, and a pattern runs
+    only on texts that have one of its words. Nothing is lost by it, and long
+    prose is not scanned by fifty patterns in vain. Expressions are SQL text, so
+    that one call builds a whole column.
+    """
 
-def _first(text: Column, patterns: list[str], group: int = 1) -> Column:
-    """Capture of the first pattern that matches; null when none does."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, FLAGS + p, group), F.lit("")) for p in patterns])
-
+    def __init__(self, name: str, lower: str | None = None, flags: dict[str, str] | None = None):
+        self.name = sql_name(name)
+        self.lower = lower or f"lower({self.name})"
+        self.flags = flags or {}
+
+    @classmethod
+    def prepared(cls, df: DataFrame, name: str, words: list[str]) -> tuple[DataFrame, "Text"]:
+        """Frame with the lower-case text and one flag per word, and its Text."""
+        session.tune(df.sparkSession)
+        flags = {w: f"_has_{i}" for i, w in enumerate(dict.fromkeys(words))}
+        df = df.selectExpr("*", f"lower({sql_name(name)}) AS _lower")
+        df = df.selectExpr("*", *[f"contains(_lower, {sql_text(w)}) AS {f}" for w, f in flags.items()])
+        return df, cls(name, "_lower", flags)
+
+    def has(self, words: list[str]) -> str:
+        tests = [self.flags.get(w) or f"contains({self.lower}, {sql_text(w)})" for w in words]
+        return "(" + " OR ".join(tests) + ")"
+
+    def matches(self, patterns: list[tuple[str, list[str]]]) -> str:
+        """Does any pattern match?"""
+        return "(" + " OR ".join(f"({self.has(ws)} AND {self.name} RLIKE {sql_text(FLAGS + p)})" for p, ws in patterns) + ")"
+
+    def first(self, patterns: list[tuple[str, list[str]]], group: int = 1) -> str:
+        """Capture of the first pattern that matches; null when none does."""
+        branches = " ".join(
+            f"WHEN {self.matches([(p, ws)])} THEN regexp_extract({self.name}, {sql_text(FLAGS + p)}, {group})" for p, ws in patterns
+        )
+        return f"CASE {branches} END"
 
-def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(group))
+    def all(self, pattern: tuple[str, list[str]], group: int = 1) -> str:
+        """All captures of one pattern."""
+        p, words = pattern
+        found = f"regexp_extract_all({self.name}, {sql_text(FLAGS + p)}, {group})"
+        return f"CASE WHEN {self.has(words)} THEN {found} ELSE CAST(array() AS ARRAY<STRING>) END"
 
 
-def _no_text() -> Column:
-    return F.array().cast("array<string>")
+def _words(*groups) -> list[str]:
+    return [w for group in groups for entry in group for w in entry[-1]]
 
 
 # --- fields ------------------------------------------------------------------------
 
 
-def mentions(text: Column, patterns: list[tuple[str, list[str]]]) -> Column:
-    """All captures of all patterns, pattern by pattern, that can be field names.
-
-    A pattern runs only on texts that hold one of its words: the words are a
-    necessary condition, so nothing is lost, and long prose is not scanned in vain.
-    """
-    found = [
-        F.when(text.rlike(FLAGS + "(?:" + "|".join(words) + ")"), _all(text, pattern)).otherwise(_no_text())
-        for pattern, words in patterns
-    ]
-    names = F.transform(F.concat(*found), values.strip)
+def mentions(text: Text, patterns: list[tuple[str, list[str]]]) -> Column:
+    """All captures of all patterns, pattern by pattern, that can be field names."""
+    names = F.transform(F.concat(*[F.expr(text.all(p)) for p in patterns]), lambda n: F.trim(n, F.lit(values.WHITE)))
     banned = fixed.STOP_WORDS + fixed.RULE_WORDS
     return F.filter(names, lambda n: F.length(n).between(2, 50) & ~F.lower(n).isin(banned))
 
@@ -71,9 +97,11 @@ def distinct_ignoring_case(names: Column) -> Column:
     return F.element_at(F.transform(F.array(F.sort_array(tagged)), firsts), 1)
 
 
-def extract_fields(text: Column) -> Column:
-    """Field names mentioned in a message."""
-    return distinct_ignoring_case(mentions(text, fixed.FIELD_MENTIONS))
+def extract_fields(df: DataFrame, text: str, out: str = "fields") -> DataFrame:
+    """Adds the array of field names mentioned in a text column."""
+    ready, t = Text.prepared(df, text, _words(fixed.FIELD_MENTIONS))
+    found = distinct_ignoring_case(mentions(t, fixed.FIELD_MENTIONS))
+    return ready.select(*[F.col(f"`{c}`") for c in df.columns], found.alias(out))
 
 
 # --- constraints -----------------------------------------------------------------------
@@ -86,57 +114,58 @@ def extract_constraints(df: DataFrame, text: str, with_units: bool = False) -> D
     characters limits lengths only, and the specific length forms (at least,
     at most, between) go before the exact one.
     """
-    t = F.col(text)
-    about_length = F.lower(t).contains(fixed.LENGTH_WORD)
     ranges = fixed.RANGE_TEXT_WITH_UNIT if with_units else fixed.RANGE_TEXT
-
-    def value(patterns: list[str], group: int = 1) -> Column:
-        return F.when(~about_length, _first(t, patterns, group).try_cast("double"))
-
-    low, high = value(ranges, 1), value(ranges, 2)
-    minimum, maximum = value(fixed.MINIMUM_TEXT), value(fixed.MAXIMUM_TEXT)
-
-    kind = F.coalesce(*[F.when(t.rlike(FLAGS + p), F.lit(k)) for k, p in fixed.LENGTH_TEXT])
-    first_number = F.coalesce(
-        *[F.nullif(F.regexp_extract(t, FLAGS + p, 1), F.lit("")) for _, p in fixed.LENGTH_TEXT]
-    ).try_cast("long")
-    second_number = _first(t, [p for k, p in fixed.LENGTH_TEXT if k == "length_range"], 2).try_cast("long")
-
-    format_type = F.coalesce(*[F.when(_any(t, ps), F.lit(name)) for name, ps in fixed.FORMAT_TEXT])
-    allowed = F.coalesce(
-        F.nullif(_all(t, fixed.ALLOWED_TEXT[0]), _no_text()),
-        F.nullif(
-            F.filter(
-                F.flatten(
-                    F.zip_with(
-                        _all(t, fixed.ALLOWED_TEXT[1], 1), _all(t, fixed.ALLOWED_TEXT[1], 2), lambda a, b: F.array(a, b)
-                    )
-                ),
-                lambda v: v != "",
-            ),
-            _no_text(),
-        ),
-        F.nullif(_all(t, fixed.ALLOWED_TEXT[2]), _no_text()),
+    formats = [p for _, ps in fixed.FORMAT_TEXT for p in ps]
+    words = _words(
+        fixed.REQUIRED_TEXT, ranges, fixed.MINIMUM_TEXT, fixed.MAXIMUM_TEXT, fixed.LENGTH_TEXT, formats,
+        fixed.CUSTOM_FORMAT_TEXT, fixed.ALLOWED_TEXT, fixed.PROHIBITED_TEXT, fixed.CONDITION_TEXT, fixed.UNIQUE_TEXT,
     )
-    prohibited = F.coalesce(*[F.nullif(_all(t, p), _no_text()) for p in fixed.PROHIBITED_TEXT])
-
-    step = df.withColumns(
+    ready, t = Text.prepared(df, text, [*words, fixed.LENGTH_WORD])
+    # No number can be found in a text without a digit.
+    ready = ready.withColumn("_digit", F.col(text).rlike("[0-9]"))
+    about_length = t.has([fixed.LENGTH_WORD])
+
+    def value(patterns: list, group: int = 1) -> str:
+        return f"CASE WHEN _digit AND NOT {about_length} THEN try_cast({t.first(patterns, group)} AS DOUBLE) END"
+
+    lengths = [(p, ws) for _, p, ws in fixed.LENGTH_TEXT]
+    spans = [(p, ws) for k, p, ws in fixed.LENGTH_TEXT if k == "length_range"]
+    kinds = " ".join(f"WHEN {t.matches([(p, ws)])} THEN '{k}'" for k, p, ws in fixed.LENGTH_TEXT)
+    format_kinds = " ".join(f"WHEN {t.matches(ps)} THEN '{name}'" for name, ps in fixed.FORMAT_TEXT)
+
+    found = {
+        "required": f"coalesce({t.matches(fixed.REQUIRED_TEXT)}, false)",
+        "_low": value(ranges, 1),
+        "_high": value(ranges, 2),
+        "_minimum": value(fixed.MINIMUM_TEXT),
+        "_maximum": value(fixed.MAXIMUM_TEXT),
+        "_length_kind": f"CASE WHEN _digit THEN CASE {kinds} END END",
+        "_first_number": f"CASE WHEN _digit THEN try_cast({t.first(lengths)} AS BIGINT) END",
+        "_second_number": f"CASE WHEN _digit THEN try_cast({t.first(spans, 2)} AS BIGINT) END",
+        "format_type": f"CASE {format_kinds} END",
+        "format_pattern": t.first(fixed.CUSTOM_FORMAT_TEXT),
+        "_allowed_0": t.all(fixed.ALLOWED_TEXT[0]),
+        "_allowed_1": t.all(fixed.ALLOWED_TEXT[1], 1),
+        "_allowed_2": t.all(fixed.ALLOWED_TEXT[1], 2),
+        "_allowed_3": t.all(fixed.ALLOWED_TEXT[2]),
+        **{f"_prohibited_{i}": t.all(p) for i, p in enumerate(fixed.PROHIBITED_TEXT)},
+        "condition_field": f"trim({t.first(fixed.CONDITION_TEXT, 1)})",
+        "condition_value": f"trim({t.first(fixed.CONDITION_TEXT, 2)})",
+        "is_unique": f"coalesce({t.matches(fixed.UNIQUE_TEXT)}, false)",
+    }
+    step = ready.selectExpr(*[sql_name(c) for c in df.columns], *[f"{e} AS {n}" for n, e in found.items()])
+
+    def filled(name: str) -> Column:
+        return F.when(F.size(name) > 0, F.col(name))
+
+    # The second form has two captures per match; both count when present.
+    pairs = F.filter(F.flatten(F.zip_with("_allowed_1", "_allowed_2", lambda a, b: F.array(a, b))), lambda v: v != "")
+    step = step.withColumns(
         {
-            "required": F.coalesce(_any(t, fixed.REQUIRED_TEXT), F.lit(False)),
-            "_low": low,
-            "_high": high,
-            "_minimum": minimum,
-            "_maximum": maximum,
-            "_length_kind": kind,
-            "_first_number": first_number,
-            "_second_number": second_number,
-            "format_type": format_type,
-            "format_pattern": _first(t, fixed.CUSTOM_FORMAT_TEXT),
-            "allowed_values": allowed,
-            "prohibited_values": prohibited,
-            "condition_field": values.strip(_first(t, fixed.CONDITION_TEXT, 1)),
-            "condition_value": values.strip(_first(t, fixed.CONDITION_TEXT, 2)),
-            "is_unique": F.coalesce(_any(t, fixed.UNIQUE_TEXT), F.lit(False)),
+            "allowed_values": F.coalesce(
+                filled("_allowed_0"), F.when(F.size("_allowed_1") > 0, pairs), filled("_allowed_3")
+            ),
+            "prohibited_values": F.coalesce(*[filled(f"_prohibited_{i}") for i in range(len(fixed.PROHIBITED_TEXT))]),
         }
     )
     ranged = F.col("_low").isNotNull()
@@ -218,13 +247,13 @@ def picture_pattern(picture: Column) -> Column:
     )
 
 
-def _format_ok(value: Column, format_type: Column, picture: Column) -> Column:
+def _format_ok(value: Column, date: Column, format_type: Column, picture: Column) -> Column:
     after_at = F.element_at(F.split(value, "@"), -1)
     digits = F.regexp_replace(value, "[^0-9]", "")
     by_type = (
         F.when(format_type == "email", value.contains("@") & after_at.contains("."))
         .when(format_type == "phone", F.length(digits) >= 10)
-        .when(format_type == "date", values.timestamp(value).isNotNull())
+        .when(format_type == "date", date.isNotNull())
         .when(format_type == "url", value.rlike(fixed.URL))
         .when(format_type == "zip", value.rlike(r"^[0-9]{5}(?:-[0-9]{4})?$"))
         .when(format_type == "ssn", value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"))
@@ -233,14 +262,21 @@ def _format_ok(value: Column, format_type: Column, picture: Column) -> Column:
     return F.coalesce(by_picture, by_type, F.lit(True))
 
 
-def constraint_passes(value: Column, k: dict[str, Column]) -> Column:
-    """Does a text value keep the constraints ``k`` (one Column per name)?
+def parsed_cells(cells: DataFrame) -> DataFrame:
+    """Cells (``value``) with ``stripped``, ``number`` and ``date``, each worked out once."""
+    cells = cells.withColumn("stripped", values.strip("value"))
+    return cells.select(
+        "*", values.stripped_number("stripped").alias("number"), values.stripped_timestamp("stripped").alias("date")
+    )
+
+
+def constraint_passes(k: dict[str, Column]) -> Column:
+    """Does a parsed cell keep the constraints ``k`` (one Column per name)?
 
     A blank fails only when required; a value that should be a number and is
     not one fails; uniqueness is a property of the table, not of a value.
     """
-    v = values.strip(value)
-    n = values.number(v)
+    v, n = F.col("stripped"), F.col("number")
     size = F.length(v)
     logic = k["logic"]
     at_least = F.coalesce(n >= k["min_value"], F.lit(False))
@@ -254,17 +290,21 @@ def constraint_passes(value: Column, k: dict[str, Column]) -> Column:
             F.coalesce(size >= k["min_length"], F.lit(True)) & F.coalesce(size <= k["max_length"], F.lit(True)),
         )
         .when(logic == "exact_length_validation", size == k["exact_length"])
-        .when(logic == "format_validation", _format_ok(v, k["format_type"], k["format_pattern"]))
+        .when(logic == "format_validation", _format_ok(v, F.col("date"), k["format_type"], k["format_pattern"]))
         .when(logic == "allowed_values_validation", F.array_contains(k["allowed_values"], v))
         .when(logic == "prohibited_values_validation", ~F.array_contains(k["prohibited_values"], v))
         .otherwise(F.lit(True))
     )
-    return F.when(values.blank(value), ~k["required"]).otherwise(not_blank)
+    return F.when(_blank_cell(), ~k["required"]).otherwise(not_blank)
+
+
+def _blank_cell() -> Column:
+    return F.col("stripped").isNull() | (F.col("stripped") == "")
 
 
-def constraint_reason(value: Column, field: Column, passed: Column, k: dict[str, Column]) -> Column:
-    """Why the value passed or failed."""
-    v = values.strip(value)
+def constraint_reason(field: Column, passed: Column, k: dict[str, Column]) -> Column:
+    """Why the cell passed or failed."""
+    v = F.col("stripped")
     logic = k["logic"]
 
     def both(yes: list, no: list) -> Column:
@@ -328,7 +368,7 @@ def constraint_reason(value: Column, field: Column, passed: Column, k: dict[str,
         .otherwise(F.concat(F.lit("Default validation passed for field '"), field, F.lit("'")))
     )
     return F.when(
-        values.blank(value),
+        _blank_cell(),
         both([F.lit("Empty field '"), field, F.lit("' is acceptable")], [F.lit("Required field '"), field, F.lit("' is empty")]),
     ).otherwise(checked)
 
@@ -368,14 +408,14 @@ def apply_constraints(df: DataFrame, row_id: str, constraints: DataFrame) -> Dat
         constraints = constraints.withColumn("rule_name", F.col("field"))
     rules = constraints.select("rule_name", "field", *CONSTRAINT_COLUMNS).withColumn("logic", classify_logic())
     columns = [c for c in df.columns if c != row_id]
-    joined = join_by_field(unpivot(df, row_id, columns), rules)
+    joined = join_by_field(parsed_cells(unpivot(df, row_id, columns)), rules)
     k = {name: F.col(name) for name in [*CONSTRAINT_COLUMNS, "logic"]}
-    judged = joined.withColumn("passed", constraint_passes(F.col("value"), k))
+    judged = joined.withColumn("passed", constraint_passes(k))
     return judged.select(
         "row_id",
         "rule_name",
         "field",
         "logic",
         "passed",
-        constraint_reason(F.col("value"), F.col("field"), F.col("passed"), k).alias("reason"),
+        constraint_reason(F.col("field"), F.col("passed"), k).alias("reason"),
     )

@@ -190,7 +190,9 @@ def resolve_rule_field(rules: DataFrame) -> DataFrame:
     )["key"]
 
     patterns = fixed.FIELD_MENTIONS[:9] + fixed.FIELD_MENTIONS_RESOLVE
-    candidates = constraints.mentions(F.coalesce(F.col("error_message"), F.lit("")), patterns)
+    plain = list(rules.columns)
+    rules = rules.withColumn("_message", F.coalesce(F.col("error_message"), F.lit("")))
+    candidates = constraints.mentions(constraints.Text("_message"), patterns)
 
     def shares_words(candidate: Column) -> Column:
         c = F.lower(candidate)
@@ -209,9 +211,8 @@ def resolve_rule_field(rules: DataFrame) -> DataFrame:
     by_mention = F.get(F.flatten(F.transform(candidates, shares_words)), F.lit(0))["key"]
     has_mapping = F.coalesce(F.size("mappings") > 0, F.lit(False))
     target = F.when(has_mapping, F.coalesce(direct, by_kind, by_mention))
-    return rules.withColumn("target_field", target).withColumn(
-        "source_column", F.when(F.col("target_field").isNotNull(), F.try_element_at("mappings", F.col("target_field")))
-    )
+    source = F.when(F.col("target_field").isNotNull(), F.try_element_at("mappings", F.col("target_field")))
+    return rules.withColumn("target_field", target).select(*plain, "target_field", source.alias("source_column"))
 
 
 # --- message rules: which check ------------------------------------------------------------
@@ -283,30 +284,31 @@ def message_rule_plan(rules: DataFrame) -> DataFrame:
 # --- message rules: contexts -----------------------------------------------------------------
 
 
-def date_context(value: Column, text: Column, as_of: dt.date) -> Column:
+def date_context(value: Column, text: Column, as_of: dt.date, parsed: Column | None = None) -> Column:
     """A date; before or after ``as_of`` when the text says so. Blank passes."""
-    day = values.timestamp(value).cast("date")
+    day = (values.timestamp(value) if parsed is None else parsed).cast("date")
     today = F.lit(as_of).cast("date")
     judged = (
         F.when(values.contains_any(text, fixed.FUTURE_WORDS), day > today)
         .when(values.contains_any(text, fixed.PAST_WORDS), day < today)
-        .otherwise(F.lit(True))
+        .otherwise(day.isNotNull())
     )
-    return values.blank(value) | (day.isNotNull() & F.coalesce(judged, F.lit(False)))
+    return values.blank(value) | F.coalesce(judged, F.lit(False))
 
 
-def number_context(value: Column, text: Column) -> Column:
+def number_context(value: Column, text: Column, parsed: Column | None = None) -> Column:
     """A number; positive, negative or whole when the text says so. Blank passes."""
-    n = values.number(value)
+    n = values.number(value) if parsed is None else parsed
     whole = ~F.isnan(n) & (F.abs(n) != F.lit(float("inf"))) & (n == F.floor(n))
+    above_zero = ~F.isnan(n) & (n > 0)
     judged = (
-        F.when(text.contains("positive number"), ~F.isnan(n) & (n > 0))
+        F.when(text.contains("positive number"), above_zero)
         .when(text.contains("negative number"), n < 0)
-        .when(text.contains("greater than zero"), ~F.isnan(n) & (n > 0))
+        .when(text.contains("greater than zero"), above_zero)
         .when(text.contains("integer"), whole)
-        .otherwise(F.lit(True))
+        .otherwise(n.isNotNull())
     )
-    return values.blank(value) | (n.isNotNull() & F.coalesce(judged, F.lit(False)))
+    return values.blank(value) | F.coalesce(judged, F.lit(False))
 
 
 def length_context(value: Column, text: Column) -> Column:
@@ -367,38 +369,71 @@ def not_null(value: Column) -> Column:
 # --- message rules: evaluation ------------------------------------------------------------------
 
 
-def message_passes(value: Column, p: Callable[[str], Column], as_of: dt.date) -> Column:
+@dataclass(frozen=True)
+class Parsed:
+    """A cell with its number and date, parsed once for all rules."""
+
+    value: Column
+    number: Column
+    date: Column
+
+    @property
+    def empty(self) -> Column:
+        return values.blank(self.value)
+
+    @property
+    def size(self) -> Column:
+        return F.length(F.coalesce(values.text(self.value), F.lit("")))
+
+
+def _tests(c: Parsed, p: Callable[[str], Column], as_of: dt.date) -> dict[str, Callable[[], Column]]:
+    """The test of each kind of planned rule; ``p`` gives the plan's columns."""
+
+    def within() -> Column:
+        n = c.number
+        fits = F.coalesce(n >= p("min_value"), F.lit(True)) & F.coalesce(n <= p("max_value"), F.lit(True))
+        return c.empty | (n.isNotNull() & ~F.isnan(n) & fits)
+
+    def length() -> Column:
+        return (
+            F.coalesce(c.size >= p("min_length"), F.lit(True))
+            & F.coalesce(c.size <= p("max_length"), F.lit(True))
+            & F.coalesce(c.size == p("exact_length"), F.lit(True))
+        )
+
+    return {
+        "length": length,
+        "range": within,
+        "minimum": within,
+        "maximum": within,
+        "allowed": lambda: F.array_contains(p("allowed_values"), F.coalesce(values.strip(c.value), F.lit(""))),
+        "email": lambda: loose_email(c.value),
+        "phone": lambda: loose_phone(c.value),
+        "date": lambda: date_context(c.value, p("text"), as_of, c.date),
+        "number": lambda: number_context(c.value, p("text"), c.number),
+        "length_text": lambda: length_context(c.value, p("text")),
+        "format_text": lambda: format_context(c.value, p("text")),
+        "business": lambda: ~c.empty,
+        "critical": lambda: ~c.empty,
+        "unresolved_fails": lambda: F.lit(False),
+    }
+
+
+def message_passes(kind: str | Column, c: Parsed, p: Callable[[str], Column], as_of: dt.date) -> Column:
     """Verdict of one cell on one planned rule.
 
-    ``p`` gives the plan's columns: literals when the rule is part of the plan
-    (Catalyst then folds this chain to the one test), real columns when rules
-    are joined to cells.
+    A rule that is part of the plan has a known kind and gives just its test;
+    rules joined to cells choose by their kind column.
     """
-    empty = values.blank(value)
-    size = F.length(F.coalesce(values.text(value), F.lit("")))
-    n = values.number(value)
-    kind = p("kind")
-    in_range = F.coalesce(n >= p("min_value"), F.lit(True)) & F.coalesce(n <= p("max_value"), F.lit(True))
-    in_length = (
-        F.coalesce(size >= p("min_length"), F.lit(True))
-        & F.coalesce(size <= p("max_length"), F.lit(True))
-        & F.coalesce(size == p("exact_length"), F.lit(True))
-    )
-    by_kind = (
-        F.when(kind == "length", in_length)
-        .when(kind.isin("range", "minimum", "maximum"), empty | (n.isNotNull() & ~F.isnan(n) & in_range))
-        .when(kind == "allowed", F.array_contains(p("allowed_values"), F.coalesce(values.strip(value), F.lit(""))))
-        .when(kind == "email", loose_email(value))
-        .when(kind == "phone", loose_phone(value))
-        .when(kind == "date", date_context(value, p("text"), as_of))
-        .when(kind == "number", number_context(value, p("text")))
-        .when(kind == "length_text", length_context(value, p("text")))
-        .when(kind == "format_text", format_context(value, p("text")))
-        .when(kind.isin("business", "critical"), ~empty)
-        .when(kind == "unresolved_fails", F.lit(False))
-        .otherwise(F.lit(True))
-    )
-    return ~(p("fails_blank") & empty) & F.coalesce(by_kind, F.lit(True))
+    tests = _tests(c, p, as_of)
+    if isinstance(kind, str):
+        passed = tests[kind]() if kind in tests else F.lit(True)
+    else:
+        chain = F
+        for name, test in tests.items():
+            chain = chain.when(kind == name, test())
+        passed = chain.otherwise(F.lit(True))
+    return ~(p("fails_blank") & c.empty) & F.coalesce(passed, F.lit(True))
 
 
 def message_rule_check(
@@ -411,7 +446,16 @@ def message_rule_check(
     """
     plan = session.stage(message_rule_plan(rules), "rule-plan")
     if plan.count() <= inline_rules:
-        return checks.with_violations(df, [_inline_check(df, r, as_of) for r in plan.collect()])
+        listed = plan.collect()
+        used = [c for c in df.columns if c in {r["source_column"] for r in listed}]
+        ready, cells = values.prepared_cells(
+            df,
+            used,
+            numbers={r["source_column"] for r in listed if r["kind"] in ("range", "minimum", "maximum", "number")},
+            dates={r["source_column"] for r in listed if r["kind"] == "date"},
+        )
+        judged = checks.with_violations(ready, [_inline_check(cells, r, as_of) for r in listed])
+        return judged.select(*[F.col(f"`{c}`") for c in df.columns], "violations", "error_count", "is_valid")
     long = message_rule_violations(df, plan, row_id, as_of)
     # A row has at most one violation per rule, so the list is as long as the rule table.
     per_row = long.groupBy("row_id").agg(
@@ -424,27 +468,28 @@ def message_rule_check(
     )
 
 
-def _inline_check(df: DataFrame, r, as_of: dt.date) -> checks.Check:
-    kind, source = r["kind"], r["source_column"]
-    if source is not None and source not in df.columns:
-        fails = any(w in r["text"] for w in fixed.UNRESOLVED_FAILS_WORDS)
-        kind, source = ("unresolved_fails" if fails else "unresolved_passes"), None
-    types = {"fails_blank": "boolean", "min_value": "double", "max_value": "double", "min_length": "long",
-             "max_length": "long", "exact_length": "long", "allowed_values": "array<string>"}
+_PLAN_TYPES = {
+    "fails_blank": "boolean", "min_value": "double", "max_value": "double", "min_length": "long", "max_length": "long",
+    "exact_length": "long", "text": "string",
+}
+
+
+def _inline_check(cells: dict[str, values.Cell], r, as_of: dt.date) -> checks.Check:
+    kind, c = r["kind"], cells.get(r["source_column"])
+    if r["source_column"] is not None and c is None:
+        kind = "unresolved_fails" if any(w in r["text"] for w in fixed.UNRESOLVED_FAILS_WORDS) else "unresolved_passes"
 
     def literal(name: str) -> Column:
-        if name == "kind":
-            return F.lit(kind)
-        value = r[name]
-        if isinstance(value, list):
-            return F.array(*[F.lit(v) for v in value])
-        return F.lit(value).cast(types.get(name, "string"))
-
-    value = F.lit(None).cast("string") if source is None else checks.cell(df, source).value
-    passed = message_passes(value, literal, as_of) if source is not None else F.lit(kind != "unresolved_fails")
-    return checks.Check(
-        r["rule_name"], source or "", CATEGORY, ~passed, F.lit(r["error_message"] or f"Validation failed for {r['rule_name']}")
-    )
+        if name == "allowed_values":
+            return F.array(*[F.lit(v) for v in r[name] or []]).cast("array<string>")
+        return F.lit(r[name]).cast(_PLAN_TYPES[name])
+
+    if c is None:
+        passed = F.lit(kind != "unresolved_fails")
+    else:
+        passed = message_passes(kind, Parsed(c.value, c.number, c.date), literal, as_of)
+    message = F.lit(r["error_message"] or f"Validation failed for {r['rule_name']}")
+    return checks.Check(r["rule_name"], c.name if c else "", CATEGORY, ~passed, message)
 
 
 def message_rule_violations(df: DataFrame, plan: DataFrame, row_id: str, as_of: dt.date) -> DataFrame:
@@ -453,8 +498,9 @@ def message_rule_violations(df: DataFrame, plan: DataFrame, row_id: str, as_of:
     known = F.col("source_column").isin(columns)
     unknown_fails = values.contains_any(F.col("text"), fixed.UNRESOLVED_FAILS_WORDS)
     tested = plan.filter(known).withColumn("field", F.col("source_column"))
-    cells = constraints.join_by_field(constraints.unpivot(df, row_id, columns), tested)
-    failed = cells.filter(~message_passes(F.col("value"), F.col, as_of))
+    cells = constraints.parsed_cells(constraints.unpivot(df, row_id, columns))
+    cell = Parsed(F.col("value"), F.col("number"), F.col("date"))
+    failed = constraints.join_by_field(cells, tested).filter(~message_passes(F.col("kind"), cell, F.col, as_of))
     # Rules without a usable column fail every row or none; no cell is needed to know which.
     orphan = plan.filter(
         (F.col("kind") == "unresolved_fails")

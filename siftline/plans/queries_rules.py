@@ -21,11 +21,11 @@ def _q(pattern: str) -> str:
 
 
 def _first_sql(patterns: list[str], group: int = 1) -> str:
-    return "COALESCE(" + ", ".join(f"NULLIF(regexp_extract(text, {_q(p)}, {group}), '')" for p in patterns) + ", NULL)"
+    return "COALESCE(" + ", ".join(f"NULLIF(regexp_extract(text, {_q(p)}, {group}), '')" for p, _ in patterns) + ", NULL)"
 
 
 def _any_sql(patterns: list[str]) -> str:
-    return "(" + " OR ".join(f"regexp_matches(text, {_q(p)})" for p in patterns) + ")"
+    return "(" + " OR ".join(f"regexp_matches(text, {_q(p)})" for p, _ in patterns) + ")"
 
 
 # --- fields and constraints from text -----------------------------------------------------
@@ -44,7 +44,7 @@ def _fields_sql() -> str:
 
 
 def _extracted(df):
-    return df.select("id", F.array_join(constraints.extract_fields(F.col("text")), "|").alias("fields"))
+    return constraints.extract_fields(df, "text").select("id", F.array_join("fields", "|").alias("fields"))
 
 
 @query("extract_fields_messages", f"WITH {S.MESSAGE_SQL}, " + _fields_sql())
@@ -58,11 +58,11 @@ def extract_fields_documents(t):
 
 
 _LENGTH_FIRST = "CASE " + " ".join(
-    f"WHEN regexp_matches(text, {_q(p)}) THEN regexp_extract(text, {_q(p)}, 1)" for _, p in fixed.LENGTH_TEXT
+    f"WHEN regexp_matches(text, {_q(p)}) THEN regexp_extract(text, {_q(p)}, 1)" for _, p, _ in fixed.LENGTH_TEXT
 ) + " END"
-_LENGTH_KIND = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN '{k}'" for k, p in fixed.LENGTH_TEXT) + " END"
+_LENGTH_KIND = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p)}) THEN '{k}'" for k, p, _ in fixed.LENGTH_TEXT) + " END"
 _FORMAT = "CASE " + " ".join(f"WHEN {_any_sql(ps)} THEN '{k}'" for k, ps in fixed.FORMAT_TEXT) + " END"
-_RANGE_SECOND = _first_sql([p for k, p in fixed.LENGTH_TEXT if k == "length_range"], 2)
+_RANGE_SECOND = _first_sql([(p, _) for k, p, _ in fixed.LENGTH_TEXT if k == "length_range"], 2)
 
 CONSTRAINT_SQL = f"""c0 AS (SELECT id, text, {_any_sql(fixed.REQUIRED_TEXT)} AS required,
   CASE WHEN NOT contains(lower(text), 'characters') THEN TRY_CAST({_first_sql(fixed.RANGE_TEXT, 1)} AS DOUBLE) END AS low,
@@ -71,8 +71,8 @@ CONSTRAINT_SQL = f"""c0 AS (SELECT id, text, {_any_sql(fixed.REQUIRED_TEXT)} AS
   CASE WHEN NOT contains(lower(text), 'characters') THEN TRY_CAST({_first_sql(fixed.MAXIMUM_TEXT)} AS DOUBLE) END AS mx,
   {_LENGTH_KIND} AS lk, TRY_CAST({_LENGTH_FIRST} AS BIGINT) AS l1, TRY_CAST({_RANGE_SECOND} AS BIGINT) AS l2, {_FORMAT} AS format_type,
   {_first_sql(fixed.CUSTOM_FORMAT_TEXT)} AS format_pattern,
-  CASE WHEN regexp_matches(text, {_q(fixed.ALLOWED_TEXT[0])}) THEN array_to_string(regexp_extract_all(text, {_q(fixed.ALLOWED_TEXT[0])}, 1), '|')
-    WHEN regexp_matches(text, {_q(fixed.ALLOWED_TEXT[1])}) THEN array_to_string(regexp_extract_all(text, {_q(fixed.ALLOWED_TEXT[1])}, 1), '|') END AS allowed,
+  CASE WHEN regexp_matches(text, {_q(fixed.ALLOWED_TEXT[0][0])}) THEN array_to_string(regexp_extract_all(text, {_q(fixed.ALLOWED_TEXT[0][0])}, 1), '|')
+    WHEN regexp_matches(text, {_q(fixed.ALLOWED_TEXT[1][0])}) THEN array_to_string(regexp_extract_all(text, {_q(fixed.ALLOWED_TEXT[1][0])}, 1), '|') END AS allowed,
   trim({_first_sql(fixed.CONDITION_TEXT, 1)}) AS condition_field, trim({_first_sql(fixed.CONDITION_TEXT, 2)}) AS condition_value,
   {_any_sql(fixed.UNIQUE_TEXT)} AS is_unique FROM message),
 c AS (SELECT id, text, required, COALESCE(low, mn) AS min_value, COALESCE(high, mx) AS max_value,

@@ -31,6 +31,9 @@ def build_session(app: str = "siftline", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Frames with many checks are built from thousands of Column calls; do not
+        # record a Python call site for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -85,3 +88,13 @@ def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
 
 def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
+
+
+def sql_text(value: str) -> str:
+    """A Python string as a Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(name: str) -> str:
+    """A column name as a Spark SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
