@@ -81,7 +81,8 @@ def stripped_timestamp(name: str) -> Column:
     tries = ", ".join(
         f"CASE WHEN {c} RLIKE {sql_text(shape)} THEN try_to_timestamp({c}, {sql_text(fmt)}) END" for shape, fmt in DATE_FORMATS
     )
-    return F.expr(f"CASE WHEN octet_length({c}) <= 32 THEN coalesce({tries}) END")
+    start = sql_text(r"^(?:[0-9]|[A-Za-z]{3} [0-9])")
+    return F.expr(f"CASE WHEN octet_length({c}) <= 32 AND {c} RLIKE {start} THEN coalesce({tries}) END")
 
 
 def stripped_number(name: str) -> Column:

@@ -7,9 +7,12 @@ columns so that generated code stays small. Exact distinct counts group
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline import session
 from siftline.functions import fixed, values
 from siftline.functions.values import Cell
 
@@ -20,76 +23,110 @@ SLICE = 50
 def _long(df: DataFrame, per_column: dict[str, dict[str, Column]], extra: dict[str, Column] | None = None) -> DataFrame:
     """One aggregate per slice of columns, turned to one row per column.
 
-    ``per_column`` gives the named aggregates of each column; ``extra`` are
-    further aggregates repeated on every row.
+    ``per_column`` gives the named facts of each column: aggregates, or constants
+    known from its type (wrapped in ``Known``), which cost nothing per row.
+    ``extra`` are further aggregates repeated on every row. Length, stripped text
+    and number are worked out once per cell, as ``_length_<n>``, ``_stripped_<n>``
+    and ``_number_<n>`` of the n-th column.
     """
     names = list(per_column)
     parts = []
     for start in range(0, len(names), SLICE):
         chunk = names[start : start + SLICE]
-        aggs = [
-            e.alias(f"{label}_{i}") for i, name in enumerate(chunk) for label, e in per_column[name].items()
-        ]
-        shared = [e.alias(label) for label, e in (extra or {}).items()]
-        rows = F.array(
+        sized = df.select(
+            *[F.col(f"`{n}`") for n in chunk],
+            *[F.length(F.col(f"`{n}`").cast("string")).alias(_length_name(start + i)) for i, n in enumerate(chunk)],
+            *[
+                values.strip(F.col(f"`{n}`")).alias(_stripped_name(start + i))
+                for i, n in enumerate(chunk)
+                if values.cell(df, n).is_text
+            ],
+        )
+        sized = sized.select(
+            "*",
             *[
-                F.struct(
-                    F.lit(start + i).alias("position"),
-                    F.lit(name).alias("column"),
-                    *[F.col(f"{label}_{i}").alias(label) for label in per_column[name]],
-                )
-                for i, name in enumerate(chunk)
-            ]
+                values.stripped_number(_stripped_name(start + i)).alias(_number_name(start + i))
+                for i, n in enumerate(chunk)
+                if values.cell(df, n).is_text
+            ],
         )
-        parts.append(df.agg(*aggs, *shared).select(*(extra or {}), F.inline(rows)))
+        aggs, structs = [], []
+        for i, name in enumerate(chunk):
+            members = [F.lit(start + i).alias("position"), F.lit(name).alias("column")]
+            for label, fact in per_column[name].items():
+                if isinstance(fact, Known):
+                    members.append(fact.value.alias(label))
+                else:
+                    aggs.append(fact.alias(f"{label}_{i}"))
+                    members.append(F.col(f"{label}_{i}").alias(label))
+            structs.append(F.struct(*members))
+        shared = [e.alias(label) for label, e in (extra or {}).items()]
+        parts.append(sized.agg(*(aggs + shared or [F.count("*")])).select(*(extra or {}), F.inline(F.array(*structs))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+@dataclass(frozen=True)
+class Known:
+    """A fact that follows from the column type."""
+
+    value: Column
+
+
+def _length_name(position: int) -> str:
+    return f"_length_{position}"
+
+
+def _stripped_name(position: int) -> str:
+    return f"_stripped_{position}"
+
+
+def _number_name(position: int) -> str:
+    return f"_number_{position}"
+
+
 # --- types ----------------------------------------------------------------------------
 
 
-def detect_types(df: DataFrame) -> DataFrame:
-    """(column, detected_type), by all or any of the column's values."""
-    facts = {}
-    for c in values.cells(df):
-        here = ~c.missing
-        text = c.text
-        lower = F.lower(text)
-        if c.is_text:
-            n = values.number(text)
-            numeric = F.every(F.when(here, n.isNotNull()))
-            whole = F.every(F.when(here, F.coalesce((n == F.floor(n)) & (F.abs(n) != F.lit(float("inf"))), F.lit(False))))
-            token = F.every(F.when(here, lower.isin(fixed.DETECT_BOOLEAN)))
-            date = F.every(F.when(here, values.timestamp(text).isNotNull()))
-            email = F.some(F.when(here, text.rlike(fixed.DETECT_EMAIL)))
-            phone = F.some(F.when(here, text.rlike(fixed.DETECT_PHONE)))
-            url = F.some(F.when(here, text.rlike(fixed.DETECT_URL)))
-        else:
-            yes, no = F.max(F.lit(True)), F.max(F.lit(False))
-            numeric = yes if c.is_numeric else no
-            whole = (
-                F.every(F.when(here, F.coalesce(c.value == F.floor(c.value), F.lit(False)))) if c.is_fractional else yes
-            )
-            token = yes if c.is_boolean else no
-            date = yes if c.is_date else no
-            email = phone = url = no
-        facts[c.name] = {
-            "present": F.count(F.when(here, 1)),
-            "numeric": numeric,
-            "whole": whole,
-            "token": token,
-            "date": date,
-            "email": email,
-            "phone": phone,
-            "url": url,
-            "longest": F.max(F.length(text)),
+def _type_facts(c: Cell, position: int) -> dict[str, Column | Known]:
+    here = ~c.missing
+    facts: dict[str, Column | Known] = {
+        "non_null": F.count(F.when(here, 1)),
+        "longest": F.max(_length_name(position)),
+    }
+    if c.is_text:
+        name, n = session.sql_name(c.name), F.col(_number_name(position))
+        token = (F.octet_length(c.value) <= 8) & F.lower(c.value).isin(fixed.DETECT_BOOLEAN)
+        facts |= {
+            "numeric": F.every(F.when(here, n.isNotNull())),
+            "whole": F.every(F.when(here, F.coalesce((n == F.floor(n)) & (F.abs(n) != F.lit(float("inf"))), F.lit(False)))),
+            "token": F.every(F.when(here, token)),
+            "date": F.every(F.when(here, values.stripped_timestamp(_stripped_name(position)).isNotNull())),
+            **{
+                label: F.expr(f"some({name} RLIKE {session.sql_text(pattern)})")
+                for label, pattern in (("email", fixed.DETECT_EMAIL), ("phone", fixed.DETECT_PHONE), ("url", fixed.DETECT_URL))
+            },
         }
+        return facts
+    no = Known(F.lit(False))
+    fractional = F.every(F.when(here, F.coalesce(c.value == F.floor(c.value), F.lit(False))))
+    return facts | {
+        "numeric": Known(F.lit(c.is_numeric)),
+        "whole": Known(F.lit(True)) if not c.is_numeric or c.is_whole else fractional,
+        "token": Known(F.lit(c.is_boolean)),
+        "date": Known(F.lit(c.is_date)),
+        "email": no,
+        "phone": no,
+        "url": no,
+    }
+
+
+def _detected() -> Column:
     longest = F.col("longest")
-    kind = (
-        F.when(F.col("present") == 0, "Text")
+    return (
+        F.when(F.col("non_null") == 0, "Text")
         .when(F.col("numeric") & F.col("whole"), "Number (Integer)")
         .when(F.col("numeric"), "Number (Decimal)")
         .when(F.col("token"), "Checkbox (Boolean)")
@@ -102,19 +139,23 @@ def detect_types(df: DataFrame) -> DataFrame:
         .when(longest <= 32000, "Text (Long)")
         .otherwise("Text Area (Rich)")
     )
-    return _long(df, facts).select("column", kind.alias("detected_type"))
+
+
+def detect_types(df: DataFrame) -> DataFrame:
+    """(column, detected_type), by all or any of the column's values."""
+    facts = {c.name: _type_facts(c, i) for i, c in enumerate(values.cells(df))}
+    return _long(df, facts).select("column", _detected().alias("detected_type"))
 
 
 def infer_sql_types(df: DataFrame) -> DataFrame:
     """(column, sql_type) wide enough for the data."""
+    none = F.lit(None)
     facts = {}
-    for c in values.cells(df):
-        top = F.max(c.value).cast("double") if c.is_whole else F.lit(None).cast("double")
+    for i, c in enumerate(values.cells(df)):
         facts[c.name] = {
-            "family": F.lit(_family(c)),
-            "top": top if c.is_whole else F.max(top),
-            "longest": F.max(F.length(c.text)) if c.is_text else F.max(F.lit(None).cast("int")),
-            "present": F.count("*"),
+            "family": Known(F.lit(_family(c))),
+            "top": F.max(c.value).cast("double") if c.is_whole else Known(none.cast("double")),
+            "longest": F.max(_length_name(i)) if c.is_text else Known(none.cast("int")),
         }
     top, n = F.coalesce("top", F.lit(0.0)), F.col("longest")
     whole = F.when(top <= 127, "TINYINT").when(top <= 32767, "SMALLINT").when(top <= 2147483647, "INT").otherwise("BIGINT")
@@ -189,26 +230,25 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> Da
     """
     cells = values.cells(df)
     facts = {}
-    for c in cells:
+    for i, c in enumerate(cells):
         here = ~c.missing
-        facts[c.name] = {
-            "data_type": F.max(F.lit(c.dtype.simpleString())),
-            "non_null": F.count(F.when(here, 1)),
+        shown = F.when(here, c.value)
+        facts[c.name] = _type_facts(c, i) | {
+            "data_type": Known(F.lit(c.dtype.simpleString())),
             "nulls": F.count(F.when(c.missing, 1)),
-            "min_length": F.min(F.when(here, F.length(c.text))).cast("long"),
-            "max_length": F.max(F.when(here, F.length(c.text))).cast("long"),
-            "low": F.min(F.when(here, c.value)).cast("string"),
-            "high": F.max(F.when(here, c.value)).cast("string"),
+            "min_length": F.min(F.when(here, F.col(_length_name(i)))).cast("long"),
+            "max_length": F.max(F.when(here, F.col(_length_name(i)))).cast("long"),
+            "low": F.min(shown).cast("string"),
+            "high": F.max(shown).cast("string"),
         }
         if approx:
-            facts[c.name]["distinct_values"] = F.approx_count_distinct(F.when(here, c.value), rsd)
-    stats = _long(df, facts)
+            facts[c.name]["distinct_values"] = F.approx_count_distinct(shown, rsd)
+    stats = _long(df, facts).withColumn("detected_type", _detected())
     if not approx:
         distinct = value_counts(df).groupBy("position").agg(F.count("*").alias("distinct_values"))
         stats = stats.join(distinct, "position", "left").withColumn(
             "distinct_values", F.coalesce("distinct_values", F.lit(0))
         )
-    stats = stats.join(detect_types(df), "column")
     samples = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.concat_ws(", ", "low", "high"))
     return stats.select(
         "column", "data_type", "detected_type", "non_null", "nulls", "distinct_values",
@@ -249,14 +289,15 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """(issue, column, amount): nulls above half, long text, numbers kept as text, duplicate rows."""
+    none = F.lit(None)
     facts = {}
-    for c in values.cells(df):
+    for i, c in enumerate(values.cells(df)):
         here = ~c.missing
         facts[c.name] = {
             "nulls": F.count(F.when(c.missing, 1)),
-            "longest": F.max(F.length(c.text)) if c.is_text else F.max(F.lit(None).cast("int")),
+            "longest": F.max(_length_name(i)) if c.is_text else Known(none.cast("int")),
             "numeric": (
-                F.every(F.when(here, values.number(c.value).isNotNull())) if c.is_text else F.max(F.lit(None).cast("boolean"))
+                F.every(F.when(here, F.col(_number_name(i)).isNotNull())) if c.is_text else Known(none.cast("boolean"))
             ),
         }
     stats = _long(df, facts, {"total": F.count("*")})
