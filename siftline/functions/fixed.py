@@ -80,7 +80,7 @@ FIELD_MENTIONS = [
      ["invalid", "missing", "empty", "blank", "incorrect", "wrong"]),
     (r"for\s+(?:the\s+)?([A-Za-z][A-Za-z0-9_\s]*?)(?:\s|$|\.)", ["for"]),
     (r"([A-Za-z][A-Za-z0-9_\s]*?)\s+field", ["field"]),
-    (r"([A-Za-z][A-Za-z0-9_\s]*?)'s\s+(?:value|format|length)", ["value", "format", "length"]),
+    (r"([A-Za-z][A-Za-z0-9_\s]*?)'s\s+(?:value|format|length)", ["'s"]),
     (r"when\s+([A-Za-z][A-Za-z0-9_\s]*?)\s+(?:is|equals|contains)", ["when"]),
     (r"([A-Za-z][A-Za-z0-9_\s]*?)\s+(?:format|type|value|number|date|email|phone)",
      ["format", "type", "value", "number", "date", "email", "phone"]),

@@ -92,7 +92,11 @@ def beyond_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     The first row of each key is found by a map-side combined minimum of the
     order columns; rows are then compared with it.
     """
-    joined_key = values.group_key(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    joined_key = values.group_key(
+        F.to_json(
+            F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)]), {"ignoreNullFields": "false"}
+        )
+    )
     rank = F.struct(*[F.col(o) for o in order])
     firsts = df.select(joined_key.alias("key"), rank.alias("_first")).groupBy("key").agg(
         F.min("_first").alias("_first"), F.count("*").alias("_rows")

@@ -375,7 +375,7 @@ def _profile_sql(table: str, columns: dict[str, tuple[str, str, str]]) -> str:
     ),
 )
 def profile_lineitem(t):
-    return profile.column_profile(t.lineitem.select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag", "l_partkey")).drop("samples")
+    return profile.column_profile(session.spread(t.lineitem).select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag", "l_partkey")).drop("samples")
 
 
 @query(
@@ -384,12 +384,12 @@ def profile_lineitem(t):
     + " UNION ALL SELECT 'text', 'string', 'Email', count(text), 0, count(DISTINCT text), min(length(text)), max(length(text)) FROM documents",
 )
 def profile_documents(t):
-    return profile.column_profile(t.documents.select("doc_id", "lang", "source", "text")).drop("samples")
+    return profile.column_profile(session.spread(t.documents).select("doc_id", "lang", "source", "text")).drop("samples")
 
 
 @query("profile_lineitem_approx")
 def profile_lineitem_approx(t):
-    return profile.column_profile(t.lineitem, approx=True)
+    return profile.column_profile(session.spread(t.lineitem), approx=True)
 
 
 def _detect_sql(columns: list[str]) -> str:
@@ -427,7 +427,7 @@ def detect_types_contact(t):
     """WITH typed AS (SELECT text, lang, source FROM documents) """ + _detect_sql(["text", "lang", "source"]),
 )
 def detect_types_texts(t):
-    return profile.detect_types(t.documents.select("text", "lang", "source"))
+    return profile.detect_types(session.spread(t.documents).select("text", "lang", "source"))
 
 
 @query(

@@ -11,6 +11,7 @@ from siftline.operators import checks, constraints, coverage, logs, report, rule
 from siftline.plans import flows
 from siftline.plans import samples as S
 from siftline.plans.registry import query
+from siftline.session import spread
 
 AS_OF = dt.date(2020, 1, 15)
 
@@ -49,12 +50,12 @@ def _extracted(df):
 
 @query("extract_fields_messages", f"WITH {S.MESSAGE_SQL}, " + _fields_sql())
 def extract_fields_messages(t):
-    return _extracted(S.messages(t))
+    return _extracted(spread(S.messages(t)))
 
 
 @query("extract_fields_documents", "WITH message AS (SELECT doc_id AS id, text FROM documents), " + _fields_sql())
 def extract_fields_documents(t):
-    return _extracted(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    return _extracted(spread(t.documents.select(F.col("doc_id").alias("id"), "text")))
 
 
 _LENGTH_FIRST = "CASE " + " ".join(
@@ -99,17 +100,17 @@ def _constraint_out(df):
 
 @query("extract_constraints_messages", f"WITH {S.MESSAGE_SQL}, {CONSTRAINT_SQL} {_CONSTRAINT_OUT}")
 def extract_constraints_messages(t):
-    return _constraint_out(S.messages(t))
+    return _constraint_out(spread(S.messages(t)))
 
 
 @query("extract_constraints_documents", f"WITH message AS (SELECT doc_id AS id, text FROM documents), {CONSTRAINT_SQL} {_CONSTRAINT_OUT.replace(', format_pattern', '')}")
 def extract_constraints_documents(t):
-    return _constraint_out(t.documents.select(F.col("doc_id").alias("id"), "text")).drop("format_pattern")
+    return _constraint_out(spread(t.documents.select(F.col("doc_id").alias("id"), "text"))).drop("format_pattern")
 
 
 @query("classify_logic_messages", f"WITH {S.MESSAGE_SQL}, {CONSTRAINT_SQL} SELECT logic, count(*) AS rules FROM c GROUP BY 1")
 def classify_logic_messages(t):
-    found = constraints.extract_constraints(S.messages(t), "text").select(constraints.classify_logic().alias("logic"))
+    found = constraints.extract_constraints(spread(S.messages(t)), "text").select(constraints.classify_logic().alias("logic"))
     return found.groupBy("logic").agg(F.count("*").alias("rules"))
 
 

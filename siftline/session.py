@@ -69,6 +69,19 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table scan over all cores when it has fewer splits than there are cores.
+
+    For work that costs far more per row than moving the row (many patterns on
+    long texts). A large input has more splits than cores and is left as it is.
+    Meant for plain scans: a frame with shuffles would be run to count its splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def measured_bytes(staged: DataFrame, columns: list[str]) -> tuple[int, int]:
     """(rows, bytes of text form) of a staged table, for broadcast decisions."""
     size = F.lit(0).cast("long")

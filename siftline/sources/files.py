@@ -18,16 +18,19 @@ DETAILS_SCHEMA = (
 )
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+def scan_csv(
+    spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8", multi_line: bool = True
+) -> DataFrame:
     """CSV with a header; all columns are text unless a schema is given.
 
-    Quoted cells may hold line breaks. Files without columns or rows are refused.
+    Quoted cells may hold line breaks, which makes a file one task; a few large
+    files without such cells are read in splits with ``multi_line=False``. Files without columns or rows are refused.
     ``encoding="ISO-8859-1"`` reads files that are not UTF-8.
     """
     reader = (
         spark.read.option("header", True)
         .option("encoding", encoding)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
