@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact, mixing, quality_rules
+from siftline.llm import bpe, exact, minhash, mixing, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    marked = minhash.near_copies(_table(spark, folder, "documents"))
+    return marked.select("*", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.mark_copies(_table(spark, folder, "documents"))
 
@@ -29,10 +35,25 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
+#: The vocabulary of the BPE query; a file of an installed package.
+BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), BPE_FILE, public_tokenizers.PATTERN)
+    coded = bpe.decode(coded, BPE_FILE, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.joined(F.col("token_ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES = {
