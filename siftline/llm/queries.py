@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, exact, minhash, mixing, quality_rules
+from siftline.llm import bpe, classifier, exact, minhash, mixing, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,12 +48,22 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = classifier.fit(docs, _table(spark, folder, "labels"), held_out=classifier.held_out())
+    scored = classifier.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES = {
