@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, classifier, exact, minhash, mixing, quality_rules
+from siftline.llm import bpe, classifier, exact, lm, minhash, mixing, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = lm.fit(docs.filter(~lm.held_out()))
+    return lm.score(docs, model).select(
+        "doc_id", lm.held_out().alias("held_out"), "lm.n_tokens", "lm.n_known",
+        F.lit(model.unigram[5]).cast("long").alias("train_tokens"), "lm.base_score", "lm.score",
+    )
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
@@ -61,6 +70,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_source_mix": op7_source_mix,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_quality_classifier": op10_quality_classifier,
