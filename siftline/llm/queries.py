@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, classifier, exact, lm, minhash, mixing, quality_rules
+from siftline.llm import bpe, classifier, exact, lm, lz, minhash, mixing, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_lz_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = lz.drop_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = classifier.fit(docs, _table(spark, folder, "labels"), held_out=classifier.held_out())
@@ -73,6 +78,7 @@ QUERIES = {
     "op6_kneser_ney": op6_kneser_ney,
     "op7_source_mix": op7_source_mix,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_lz_substring_dedup": op9_lz_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
