@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -21,6 +22,19 @@ HEAVY = 50_000
 BLOCK_BYTES = 1 << 20
 
 
+def mapped_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one, as a path that every worker can open and map."""
+    root = session.shared_dir(spark)
+    if "://" in root or root.startswith("file:"):
+        scheme, _, path = root.partition(":")
+        if scheme != "file":
+            raise ValueError(f"memory-mapped arrays need a mounted shared folder, not {scheme}:")
+        root = "/" + path.lstrip("/")
+    path = f"{root}/siftline-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
 _shipped: set[str] = set()
 
 

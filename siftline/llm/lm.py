@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import session
@@ -211,19 +211,6 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3))  # type: ignore[return-value]
 
 
-def mapped_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one, as a path that every worker can map."""
-    root = session.shared_dir(spark)
-    if "://" in root or root.startswith("file:"):
-        scheme, _, path = root.partition(":")
-        if scheme != "file":
-            raise ValueError(f"memory-mapped arrays need a mounted shared folder, not {scheme}:")
-        root = "/" + path.lstrip("/")
-    path = f"{root}/siftline-{spark.sparkContext.applicationId}/lm-{uuid.uuid4().hex}"
-    os.makedirs(path)
-    return path
-
-
 def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Counts all n-grams of ``docs`` up to ``order`` (2 or more). A null text is an empty one."""
     spark = docs.sparkSession
@@ -231,7 +218,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     texts = docs.select(common.text_of(text).alias("_text"))
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = common.parts(size, BUCKET_BYTES)
-    folder = mapped_folder(spark)
+    folder = common.mapped_folder(spark, "lm")
     rows = texts.mapInArrow(_counter(order, buckets), "bucket int, blob binary")
     discounts, facts = [], [0] * 7
     for level in range(order, 0, -1):

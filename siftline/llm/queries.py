@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, classifier, exact, lm, lz, minhash, mixing, quality_rules
+from siftline.llm import bpe, classifier, exact, lm, lz, minhash, mixing, quality_rules, suffix
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix.drop_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = lm.fit(docs.filter(~lm.held_out()))
@@ -75,6 +80,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_kneser_ney": op6_kneser_ney,
     "op7_source_mix": op7_source_mix,
     "op8_byte_bpe": op8_byte_bpe,

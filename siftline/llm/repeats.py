@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from siftline import session
 from siftline.llm import common
 
-#: Text bytes per bucket.
-BUCKET_BYTES = 16 << 20
 #: Text bytes whose runs a task holds before it sends them on.
 FLUSH_BYTES = 24 << 20
 #: A null id comes after all others.
@@ -47,6 +45,8 @@ class Shape:
     unit: str
     length: int
     gram: int
+    #: Text bytes per bucket: as many buckets as the text has of these.
+    bucket_bytes: int = 16 << 20
 
     @property
     def cuts(self) -> list[tuple[int, int]]:
@@ -303,7 +303,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text: str, shape: Shape, meth
     rows = common.attach(plain, copies, "_sha", ["_least", "_n"], weight="_n").select(
         "_id", "_text", F.coalesce(F.col("_id") > F.col("_least"), F.lit(False)).alias("_copy")
     )
-    buckets = common.parts(keys.agg(F.sum("size")).first()[0] or 0, BUCKET_BYTES)
+    buckets = common.parts(keys.agg(F.sum("size")).first()[0] or 0, shape.bucket_bytes)
     own = rows.filter("NOT _copy").select("_id", "_text")
     entries = own.mapInArrow(lambda b: _entries(b, shape, buckets), "bucket int, blob binary")
     answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "_id bigint, marks binary")
