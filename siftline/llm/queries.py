@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, classifier, exact, lm, lz, minhash, mixing, quality_rules, suffix
+from siftline.llm import bpe, classifier, exact, lm, lz, minhash, mixing, quality_rules, suffix, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,16 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.mark_copies(_table(spark, folder, "documents"))
 
 
+#: Pieces and scores of the token counts; a file of an installed package.
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, folder, "documents").select("doc_id", "text"), PIECE_FILE).select(
+        "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_tokens"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -79,6 +89,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_kneser_ney": op6_kneser_ney,
