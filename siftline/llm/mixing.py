@@ -24,20 +24,20 @@ WEIGHTS = (3, 1, 2)
 MAX_PATTERNS = 200_000
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Words wanted of each source: ``share`` of all sizes by weight, none above ``most`` times its size.
+def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, most: float = 2.0, total: int | None = None) -> dict[str | None, float]:
+    """Words wanted of each source: ``share`` of all sizes (or of ``total``) by weight, none above ``most`` times its size.
 
     What a stopped source leaves is shared by weight among the others until none is above.
     """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     out: dict[str | None, float] = {}
-    left, open_ = share * sum(sizes.values()), list(order)
+    left, open_ = share * (sum(sizes.values()) if total is None else total), list(order)
     while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        parts = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / parts > most * sizes[s]]
         if not full:
-            out |= {s: left * weight[s] / total for s in open_}
+            out |= {s: left * weight[s] / parts for s in open_}
             break
         out |= {s: most * sizes[s] for s in full}
         left -= sum(most * sizes[s] for s in full)
@@ -139,7 +139,7 @@ def mix(
     for members, size, _ in found:
         for s in members:
             sizes[s] = sizes.get(s, 0) + size
-    wanted = targets(sizes, weights, share, float(repeats))
+    wanted = targets(sizes, weights, share, float(repeats), sum(size for _, size, _ in found))
     flows = min_cost_flow([(p, size) for p, size, _ in found], {s: round(t) for s, t in wanted.items()}, repeats)
     # Buckets of the seeded order: about sqrt(n) of them, with sqrt(n) documents each.
     bits = max(1, math.ceil(math.log2(max(2, sum(n for *_, n in found))) / 2))
