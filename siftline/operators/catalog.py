@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline import session
 from siftline.functions import fixed, values
 
 SCHEMA = (
@@ -46,9 +45,13 @@ def classify_columns(columns: list[str], catalog: DataFrame, object_name: str |
 
 
 def drop_incompatible(df: DataFrame, catalog: DataFrame, object_name: str | None = None) -> DataFrame:
-    """Only the columns that can be loaded; an error when none is left."""
+    """Only the columns that can be loaded; an error when none is left.
+
+    Names that several objects of the catalogue have need ``object_name``; a column
+    passes when one of the fields that its name fits can be loaded.
+    """
     status = classify_columns(df.columns, catalog, object_name).filter("status = 'valid'")
-    valid = {r["column"] for r in session.bounded_collect(status, len(df.columns), "column status")}
+    valid = {r["column"] for r in status.select("column").distinct().collect()}  # as many as columns at most
     kept = [c for c in df.columns if c in valid]
     if not kept:
         raise ValueError("no column can be loaded into the target")

@@ -17,11 +17,12 @@ from siftline.functions import fixed, values
 from siftline.functions.values import Cell, cell
 from siftline.operators import keyed
 
-#: Picklists up to this many values are tested in place; larger ones are joined.
+#: Picklists up to this many values are tested in place; larger ones are joined. Results are equal.
 INLINE_PICKLIST = 1000
 #: Field types whose checks read the number or the date of a cell.
 NUMBER_KINDS = {"int", "integer", "double", "currency", "percent", "number", "string", "textarea", "text"}
 DATE_KINDS = {"date", "datetime"}
+PICKLIST_KINDS = {"picklist", "multipicklist"}
 VIOLATION = (
     "array<struct<rule:string,field:string,category:string,severity:string,message:string>>"
 )
@@ -204,7 +205,10 @@ def read_fields(catalog: DataFrame, names: list[str], object_name: str | None =
         F.when(F.size(active) <= INLINE_PICKLIST, active).alias("values"),
         (F.size(active) > INLINE_PICKLIST).alias("large"),
     )
-    rows = session.bounded_collect(slim, len(names), "field catalogue")
+    rows = slim.limit(2 * len(names) + 1).collect()
+    seen = [r["name"] for r in rows]
+    if twice := sorted({n for n in seen if seen.count(n) > 1}):
+        raise ValueError(f"the catalogue has several fields named {', '.join(twice)}: give object_name")
     return [
         Field(
             r["name"],
@@ -229,8 +233,11 @@ class Switches:
     type_length_limits: bool = False
 
 
-def field_checks(c: Cell, field: Field, on: Switches = Switches()) -> list[Check]:
-    """All enabled checks of one column against one catalogue field."""
+def field_checks(c: Cell, field: Field, on: Switches = Switches(), listed: Column | None = None) -> list[Check]:
+    """All enabled checks of one column against one catalogue field.
+
+    ``listed`` tells for a large picklist whether the cell is in it.
+    """
     shown = F.lit(f"field '{c.name}' (mapped to '{field.name}')" if c.name != field.name else f"field '{c.name}'")
     kind = field.type.lower()
     present = ~c.blank
@@ -290,8 +297,8 @@ def field_checks(c: Cell, field: Field, on: Switches = Switches()) -> list[Check
             add("type_length", "Length Errors", present & too_long(c, limit), shown,
                 F.lit(f" of type '{kind}' exceeds maximum length of {limit} characters: "), size)
 
-    if on.picklists and kind in ("picklist", "multipicklist") and field.picklist:
-        add("picklist", "Picklist Errors", present & not_in_picklist(c, list(field.picklist)),
+    if on.picklists and kind in PICKLIST_KINDS and (field.picklist or listed is not None):
+        add("picklist", "Picklist Errors", present & (not_in_picklist(c, list(field.picklist)) if listed is None else ~listed),
             F.lit("Invalid picklist value in "), shown, F.lit(": "), c.text)
     return out
 
@@ -321,6 +328,23 @@ def picklist_member(df: DataFrame, column: str, allowed: DataFrame, out: str, tr
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
+def picklist_flags(
+    df: DataFrame, catalog: DataFrame, columns: dict[str, str], object_name: str | None = None, trim: bool = False
+) -> tuple[DataFrame, dict[str, Column]]:
+    """For columns (to field names) with large picklists: the frame with a flag each, true for listed cells."""
+    flags: dict[str, Column] = {}
+    for i, (source, target) in enumerate(columns.items()):
+        listed = catalog.filter(F.col("name") == target)
+        if object_name is not None:
+            listed = listed.filter(F.col("object") == object_name)
+        active = listed.select(F.explode("picklist").alias("p")).filter(F.coalesce(F.col("p.active"), F.lit(True)))
+        value = values.strip(F.col("p.value")) if trim else F.col("p.value")
+        allowed = active.select(value.alias("value")).filter("value <> ''" if trim else "true")
+        df = picklist_member(df, source, allowed, f"_listed_{i}", trim=trim)
+        flags[source] = F.col(f"_listed_{i}")
+    return df, flags
+
+
 def group_key_of(name: str) -> Column:
     return values.group_key(F.col(name))
 
@@ -395,25 +419,13 @@ def validate_schema(
         numbers={s for s, k in kinds.items() if k in NUMBER_KINDS},
         dates={s for s, k in kinds.items() if k in DATE_KINDS},
     )
+    large = {s: t for s, t in mapping.items() if t in by_name and by_name[t].large_picklist and kinds[s] in PICKLIST_KINDS}
+    df, flags = picklist_flags(df, catalog, large if switches.picklists else {}, object_name)
     for source, target in mapping.items():
         field = by_name.get(target)
         if field is None:
             continue
-        c = ready[source]
-        checks += field_checks(c, field, switches)
-        if field.large_picklist and switches.picklists:
-            flag = f"_listed_{source}"
-            listed = catalog.filter(F.col("name") == target)
-            if object_name is not None:
-                listed = listed.filter(F.col("object") == object_name)
-            allowed = listed.select(F.explode("picklist").alias("p")).filter(
-                F.coalesce(F.col("p.active"), F.lit(True))
-            ).select(F.col("p.value").alias("value"))
-            df = picklist_member(df, source, allowed, flag)
-            checks.append(
-                Check("picklist", source, "Picklist Errors", ~c.blank & ~F.col(flag),
-                      F.concat(F.lit(f"Invalid picklist value in field '{source}': "), c.text))
-            )
+        checks += field_checks(ready[source], field, switches, flags.get(source))
     if unique_fails_row:
         unique = [s for s, t in mapping.items() if t in by_name and by_name[t].is_unique]
         df, more = unique_checks(df, unique)
@@ -432,6 +444,8 @@ def issues_column(df: DataFrame, catalog: DataFrame, object_name: str | None = N
     df, _ = unique_checks(df, [n for n in columns if n in fields and fields[n].is_unique], trim=False)
     dup = {n: f"_dup_{i}" for i, n in enumerate(n for n in columns if n in fields and fields[n].is_unique)}
     df, by_name = values.prepared_cells(df, columns, numbers=set(), dates=set())
+    large = {n: n for n in columns if n in fields and fields[n].type == "picklist" and fields[n].large_picklist}
+    df, flags = picklist_flags(df, catalog, large, object_name, trim=True)
     parts = []
     for name in columns:
         if name in fields and not fields[name].nillable:
@@ -444,10 +458,11 @@ def issues_column(df: DataFrame, catalog: DataFrame, object_name: str | None = N
     for name, flag in dup.items():
         parts.append(F.when(F.col(flag).isNotNull(), F.lit(f"Duplicate value in unique field '{name}'")))
     for name in columns:
-        if name in fields and fields[name].type == "picklist" and fields[name].picklist:
+        if name in fields and fields[name].type == "picklist" and (fields[name].picklist or name in flags):
             c = by_name[name]
             allowed = [v.strip() for v in fields[name].picklist if v.strip()]
-            parts.append(F.when(~c.blank & not_in_picklist(c, allowed, trim=True), F.lit(f"Invalid picklist value in '{name}'")))
+            wrong = ~flags[name] if name in flags else not_in_picklist(c, allowed, trim=True)
+            parts.append(F.when(~c.blank & wrong, F.lit(f"Invalid picklist value in '{name}'")))
     issues = F.concat_ws("; ", *parts) if parts else F.lit("")
     return df.select(*columns, issues.alias("Issues"))
 
@@ -457,7 +472,8 @@ def required_issues(with_issues: DataFrame, catalog: DataFrame, object_name: str
     wanted = catalog.filter(~F.coalesce(F.col("nillable"), F.lit(True)))
     if object_name is not None:
         wanted = wanted.filter(F.col("object") == object_name)
-    names = [r["name"] for r in session.bounded_collect(wanted.select("name"), 5000, "required fields")]
-    if any(n not in with_issues.columns for n in names):
+    have = F.col("name").isin(with_issues.columns)
+    if not wanted.filter(~have).isEmpty():
         return None
+    names = [r["name"] for r in wanted.select("name").collect()]  # as many as columns, by the test above
     return with_issues.select(*names, "Issues")

@@ -14,10 +14,8 @@ from siftline import session
 from siftline.functions import fixed, formula, values
 from siftline.operators import checks, constraints
 
-#: Up to this many rules are fused into one projection; more are joined as rows.
+#: Up to this many rules are compiled into one projection; more are evaluated as arrays. Results are equal.
 INLINE_RULES = 200
-#: Predicates become part of the plan, so their number must be that of metadata.
-MAX_PREDICATES = 20_000
 CATEGORY = "Business Rule Errors"
 
 
@@ -44,11 +42,8 @@ def rules_from_table(rules: DataFrame) -> list[Rule]:
     def optional(name: str) -> Column:
         return (F.col(name).cast("string") if name in rules.columns else F.lit(None).cast("string")).alias(name)
 
-    rows = session.bounded_collect(
-        rules.select(*[optional(n) for n in ("rule_name", "predicate", "message", "field", "active")]),
-        MAX_PREDICATES,
-        "predicate rules",
-    )
+    # Predicates become part of the plan, so all of them come to the driver.
+    rows = rules.select(*[optional(n) for n in ("rule_name", "predicate", "message", "field", "active")]).collect()
     out = []
     for i, r in enumerate(rows):
         names = [f.strip() for f in (r["field"] or "").split(",") if f.strip()] or ["Id"]
@@ -77,18 +72,17 @@ def with_unique_names(rules: list[Rule]) -> list[Rule]:
 def formula_failed(df: DataFrame, rule: Rule) -> Column:
     """True where the row breaks the rule.
 
-    A rule on a column the frame lacks fails every row; a null condition is no
-    error.
+    A rule on a column the frame lacks, and one whose predicate cannot be parsed or
+    analysed, fails every row; a null condition is no error. ``df`` gives the columns
+    only: pass an empty frame of the same schema to keep the analysis small.
     """
     if any(name not in df.columns for name in rule.fields):
         return F.lit(True)
-    condition = F.expr(rule.predicate) if isinstance(rule.predicate, str) else rule.predicate
     try:
-        df.select(condition)
-    except AnalysisException as e:
-        if "UNRESOLVED_COLUMN" in (e.getCondition() or ""):
-            return F.lit(True)
-        raise
+        condition = F.expr(rule.predicate) if isinstance(rule.predicate, str) else rule.predicate
+        df.select(condition.cast("boolean"))
+    except AnalysisException:  # a ParseException is one, too
+        return F.lit(True)
     return F.coalesce(condition.cast("boolean"), F.lit(False))
 
 
@@ -96,8 +90,9 @@ def validate_frame(df: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
     """All active rules: adds ``violations``, ``error_count`` and ``is_valid``."""
     listed = rules_from_table(rules) if isinstance(rules, DataFrame) else rules
     active = [r for r in with_unique_names(listed) if r.active]
+    empty = df.sparkSession.createDataFrame([], df.schema)
     found = [
-        checks.Check(r.name, ",".join(r.fields), CATEGORY, formula_failed(df, r), F.lit(r.message or r.name))
+        checks.Check(r.name, ",".join(r.fields), CATEGORY, formula_failed(empty, r), F.lit(r.message or r.name))
         for r in active
     ]
     return checks.with_violations(df, found)
@@ -441,12 +436,13 @@ def message_rule_check(
 ) -> DataFrame:
     """Message rules on a frame: adds ``violations``, ``error_count``, ``is_valid``.
 
-    Few rules are fused into one projection. Many stay a table that is joined to
-    the cells, and the violations come back by row key.
+    Violations are in the order of the rules. Few rules are compiled into the
+    projection, many are arrays that it evaluates; neither moves a row, and the
+    results are equal. ``row_id`` is not needed for it; a rule may test that column.
     """
-    plan = session.stage(message_rule_plan(rules), "rule-plan")
+    plan = session.stage(message_rule_plan(rules).withColumn("position", F.monotonically_increasing_id()), "rule-plan")
     if plan.count() <= inline_rules:
-        listed = plan.collect()
+        listed = sorted(plan.collect(), key=lambda r: r["position"])
         used = [c for c in df.columns if c in {r["source_column"] for r in listed}]
         ready, cells = values.prepared_cells(
             df,
@@ -456,16 +452,7 @@ def message_rule_check(
         )
         judged = checks.with_violations(ready, [_inline_check(cells, r, as_of) for r in listed])
         return judged.select(*[F.col(f"`{c}`") for c in df.columns], "violations", "error_count", "is_valid")
-    long = message_rule_violations(df, plan, row_id, as_of)
-    # A row has at most one violation per rule, so the list is as long as the rule table.
-    per_row = long.groupBy("row_id").agg(
-        F.sort_array(F.collect_list(F.struct("rule", "field", "category", "severity", "message"))).alias("violations")
-    )
-    joined = df.join(per_row.withColumnRenamed("row_id", "_rid"), F.col(row_id) == F.col("_rid"), "left")
-    found = F.coalesce(F.col("violations"), F.array().cast(checks.VIOLATION))
-    return joined.select(
-        *df.columns, found.alias("violations"), F.size(found).alias("error_count"), (F.size(found) == 0).alias("is_valid")
-    )
+    return _by_arrays(df, plan, as_of)
 
 
 _PLAN_TYPES = {
@@ -492,30 +479,40 @@ def _inline_check(cells: dict[str, values.Cell], r, as_of: dt.date) -> checks.Ch
     return checks.Check(r["rule_name"], c.name if c else "", CATEGORY, ~passed, message)
 
 
-def message_rule_violations(df: DataFrame, plan: DataFrame, row_id: str, as_of: dt.date) -> DataFrame:
-    """Joined form: (row_id, rule, field, category, severity, message) rows."""
-    columns = [c for c in df.columns if c != row_id]
-    known = F.col("source_column").isin(columns)
-    unknown_fails = values.contains_any(F.col("text"), fixed.UNRESOLVED_FAILS_WORDS)
-    tested = plan.filter(known).withColumn("field", F.col("source_column"))
-    cells = constraints.parsed_cells(constraints.unpivot(df, row_id, columns))
-    cell = Parsed(F.col("value"), F.col("number"), F.col("date"))
-    failed = constraints.join_by_field(cells, tested).filter(~message_passes(F.col("kind"), cell, F.col, as_of))
-    # Rules without a usable column fail every row or none; no cell is needed to know which.
-    orphan = plan.filter(
-        (F.col("kind") == "unresolved_fails")
-        | (F.col("source_column").isNotNull() & ~F.coalesce(known, F.lit(False)) & unknown_fails)
-    ).withColumn("field", F.lit(""))
-    rows = df.select(F.col(row_id).alias("row_id"), F.lit("").alias("field"))
-    always = constraints.join_by_field(rows, orphan)
-    message = F.when(F.col("error_message") != "", F.col("error_message")).otherwise(
-        F.concat(F.lit("Validation failed for "), F.col("rule_name"))
-    )
+def _by_arrays(df: DataFrame, plan: DataFrame, as_of: dt.date) -> DataFrame:
+    """The rules of each column as one array of structs beside the rows, evaluated in the row.
 
-    def shape(d: DataFrame) -> DataFrame:
-        return d.select(
-            "row_id", F.col("rule_name").alias("rule"), "field", F.lit(CATEGORY).alias("category"),
-            F.lit("error").alias("severity"), message.alias("message"),
+    No cell is multiplied and no row is moved: the rule table, which is metadata, is one
+    row that every task gets.
+    """
+    known = F.col("source_column").isin(df.columns)
+    used = [r["source_column"] for r in plan.filter(known).select("source_column").distinct().collect()]
+    used = [c for c in df.columns if c in used]
+    rule = F.struct("position", *PLAN_COLUMNS)
+    always = F.when(F.col("source_column").isNull(), F.col("kind") == "unresolved_fails").otherwise(
+        ~known & values.contains_any(F.col("text"), fixed.UNRESOLVED_FAILS_WORDS)
+    )
+    lists = [F.collect_list(F.when(F.col("source_column") == name, rule)).alias(f"_rules_{i}") for i, name in enumerate(used)]
+    table = session.stage(plan.agg(F.collect_list(F.when(always, rule)).alias("_always"), *lists), "rule-arrays")
+    ready, cells = values.prepared_cells(df, used, numbers=set(used), dates=set(used))
+    ready = ready.crossJoin(F.broadcast(table))
+
+    def violation(r: Column, name: str) -> Column:
+        message = F.when(r["error_message"] != "", r["error_message"]).otherwise(F.concat(F.lit("Validation failed for "), r["rule_name"]))
+        return F.struct(
+            r["position"].alias("position"),
+            F.struct(
+                r["rule_name"].alias("rule"), F.lit(name).alias("field"), F.lit(CATEGORY).alias("category"),
+                F.lit("error").alias("severity"), message.alias("message"),
+            ).alias("v"),
         )
 
-    return shape(failed).unionByName(shape(always))
+    def failed(i: int, name: str) -> Column:
+        c = Parsed(cells[name].value, cells[name].number, cells[name].date)
+        broken = F.filter(F.col(f"_rules_{i}"), lambda r: ~message_passes(r["kind"], c, lambda n: r[n], as_of))
+        return F.transform(broken, lambda r: violation(r, name))
+
+    parts = [F.transform("_always", lambda r: violation(r, "")), *[failed(i, name) for i, name in enumerate(used)]]
+    found = F.transform(F.array_sort(F.concat(*parts)), lambda x: x["v"])
+    out = ready.select(*[F.col(f"`{c}`") for c in df.columns], found.cast(checks.VIOLATION).alias("violations"))
+    return out.withColumns({"error_count": F.size("violations"), "is_valid": F.size("violations") == 0})

@@ -45,11 +45,13 @@ def build_session(app: str = "siftline", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's checkpoint folder, if it names one.
 
-    Only a session without that setting (as in a unit test) gets a folder of
-    its own.
+    Only a local session without that setting (as in a unit test) gets a folder of
+    its own; on a cluster executors would each write to a disk that others cannot see.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="siftline-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -69,6 +71,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes this application's staged tables; results that read them must be written before."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table scan over all cores when it has fewer splits than there are cores.
 

@@ -8,11 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline import session
 from siftline.operators import lookup
 
-DEFAULT_LIMIT = 1000
-
 
 def extract(
     df: DataFrame,
@@ -21,10 +18,10 @@ def extract(
     created: str | None = None,
     days_back: int | None = None,
     as_of: dt.date | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
     query: str | None = None,
 ) -> DataFrame:
-    """``all`` rows up to a limit, ``recent`` rows of the last days, or a ``custom`` query.
+    """``all`` rows (up to a limit if one is given), ``recent`` rows of the last days, or a ``custom`` query.
 
     Recent means created on or after midnight of ``as_of`` minus ``days_back``.
     A custom query reads the frame as ``source``.
@@ -45,15 +42,17 @@ def reference_key(parent_catalog: DataFrame) -> str:
     """Field that identifies a parent: its external id, else a unique field, else Name.
 
     The parent's first external id counts; of its unique fields (other than Id)
-    the last one.
+    the last one. First and last are by the catalogue's ``position`` column if it
+    has one, else by the order of its rows.
     """
-    keys = parent_catalog.filter(
-        F.coalesce(F.col("external_id"), F.lit(False)) | (F.coalesce(F.col("is_unique"), F.lit(False)) & (F.col("name") != "Id"))
-    ).select("name", F.coalesce("external_id", F.lit(False)).alias("external"))
-    rows = session.bounded_collect(keys, 5000, "key fields")
-    external = [r["name"] for r in rows if r["external"]]
-    unique = [r["name"] for r in rows if not r["external"]]
-    return external[0] if external else unique[-1] if unique else "Name"
+    place = F.col("position") if "position" in parent_catalog.columns else F.monotonically_increasing_id()
+    external = F.coalesce(F.col("external_id"), F.lit(False))
+    unique = F.coalesce(F.col("is_unique"), F.lit(False)) & (F.col("name") != "Id") & ~external
+    found = parent_catalog.select("name", external.alias("external"), unique.alias("unique"), place.alias("place")).agg(
+        F.min_by("name", F.when(F.col("external"), F.col("place"))).alias("external"),
+        F.max_by("name", F.when(F.col("unique"), F.col("place"))).alias("unique"),
+    ).first()
+    return found["external"] or found["unique"] or "Name"
 
 
 def extract_with_reference_keys(

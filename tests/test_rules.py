@@ -191,3 +191,53 @@ def test_warnings_can_be_let_through(spark):
     assert checks.with_violations(df, found).first()["is_valid"] is False
     lenient = checks.with_violations(df, found, warnings_fail=False).first()
     assert lenient["is_valid"] is True and len(lenient["violations"]) == 1
+
+
+def _picklist_issues(spark, n):
+    from siftline.operators import catalog as cat_ops
+    from siftline.operators import checks
+
+    values = [(f" v{i} ", True) for i in range(n)] + [("old", False)]
+    fields = [dict(object="A", name="p", type="picklist", picklist=values), dict(object="A", name="s", type="string", picklist=values)]
+    cat = cat_ops.catalog_rows(spark, fields)
+    df = spark.createDataFrame([(1, " v1 ", "x"), (2, "v1", "x"), (3, "old", "x"), (4, "", "x"), (5, None, "x")], "id int, p string, s string")
+    checked = checks.validate_schema(df, cat, {"p": "p", "s": "s"}).orderBy("id")
+    verdicts = [(r["id"], [(v["rule"], v["message"]) for v in r["violations"]]) for r in checked.collect()]
+    return verdicts, [r["Issues"] for r in checks.issues_column(df, cat).orderBy("id").collect()]
+
+
+def test_picklist_size_changes_no_answer(spark, monkeypatch):
+    small = _picklist_issues(spark, 1000)
+    assert small == _picklist_issues(spark, 1001)
+    assert small[1] == ["", "", "Invalid picklist value in 'p'", "", ""]
+    assert [i for i, v in small[0] if v] == [2, 3]
+
+
+def test_rule_number_changes_no_answer(spark):
+    import datetime as dt
+
+    from siftline.operators import rules
+
+    texts = ["must be a positive number", "is required", "must be at least 3 characters", "must be a date in the future", "must be unique", "between 1 and 5"]
+    names = ("id", "amount", "flag", "day")
+    table = spark.createDataFrame(
+        [(f"r{i}", f"{c} {t}", c, {n: n for n in names}, True, "") for i, (c, t) in enumerate((c, t) for t in texts for c in (*names, "other"))], RULES
+    )
+    df = spark.createDataFrame(
+        [(1, 2.5, True, "2030-01-01"), (1, -1.0, False, "x"), (None, None, None, ""), (2, 7.0, True, "2001-05-05")], "id int, amount double, flag boolean, day string"
+    )
+    frames = []
+    for limit in (0, 10**9):
+        out = rules.message_rule_check(df, table, "id", dt.date(2024, 1, 1), inline_rules=limit)
+        frames.append([tuple(r) for r in out.collect()])
+    assert frames[0] == frames[1]
+    assert any(r[-2] for r in frames[0])
+
+
+def test_predicate_that_cannot_be_evaluated_fails_its_rows(spark):
+    from siftline.operators import rules
+
+    df = spark.range(3)
+    listed = [rules.Rule("syntax", "id ) <"), rules.Rule("function", "no_such_function(id)"), rules.Rule("column", "nowhere = 1"), rules.Rule("good", "id = 1")]
+    out = rules.validate_frame(df, listed).orderBy("id").collect()
+    assert [r["error_count"] for r in out] == [3, 4, 3]
