@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import formula as X
 from siftline.functions import values
+from siftline.operators import catalog as cat_ops
 from siftline.operators import checks, cleaning, report
 from siftline.plans import samples as S
 from siftline.plans.registry import query
@@ -87,6 +88,39 @@ def check_picklist_large(t):
     return checks.picklist_member(lines, "l_partkey", allowed, "listed").drop("l_partkey")
 
 
+def _part_picklist(t):
+    """A catalogue with one picklist, of all parts with a size above 25: thousands of values at any scale but the least."""
+    fields = cat_ops.catalog_rows(t.spark, [dict(object="Line", name="part", type="picklist")])
+    listed = t.part.filter("p_size > 25").agg(
+        F.collect_list(F.struct(F.concat(F.lit("P"), "p_partkey").alias("value"), F.lit(True).alias("active"))).alias("picklist")
+    )
+    return fields.drop("picklist").crossJoin(listed).select(*fields.columns)
+
+
+_PICKED = "SELECT l_orderkey, l_linenumber, l_partkey, l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) AS listed FROM lineitem"
+
+
+@query(
+    "validate_picklist_large",
+    f"""SELECT l_orderkey, l_linenumber, listed AS is_valid, CASE WHEN listed THEN '' ELSE
+    'Invalid picklist value in field ''picked'' (mapped to ''part''): P' || l_partkey END AS message FROM ({_PICKED})""",
+)
+def validate_picklist_large(t):
+    lines = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "'P' || l_partkey AS picked")
+    checked = checks.validate_schema(lines, _part_picklist(t), {"picked": "part"})
+    message = F.array_join(F.transform("violations", lambda v: v["message"]), "; ")
+    return checked.select("l_orderkey", "l_linenumber", "is_valid", message.alias("message"))
+
+
+@query(
+    "issues_picklist_large",
+    f"SELECT l_orderkey, l_linenumber, CASE WHEN listed THEN '' ELSE 'Invalid picklist value in ''part''' END AS \"Issues\" FROM ({_PICKED})",
+)
+def issues_picklist_large(t):
+    lines = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "' P' || l_partkey || ' ' AS part")
+    return checks.issues_column(lines, _part_picklist(t)).select("l_orderkey", "l_linenumber", "Issues")
+
+
 @query(
     "unique_part_name",
     "SELECT * FROM (SELECT p_partkey AS row_id, 'p_name' AS field, p_name AS value, count(*) OVER (PARTITION BY p_name) AS rows "

@@ -438,12 +438,12 @@ def detect_types_texts(t):
         f"UNION ALL SELECT '{c}', 'Null', count(*) - count({e}), count(*) FROM orders HAVING count(*) > count({e})"
         for c, e in {
             "o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderstatus": "o_orderstatus", "o_totalprice": "o_totalprice",
-            "o_orderpriority": "o_orderpriority", "blanked": "CASE WHEN o_custkey % 3 = 0 THEN o_custkey END",
+            "o_orderdate": "o_orderdate", "o_orderpriority": "o_orderpriority", "blanked": "CASE WHEN o_custkey % 3 = 0 THEN o_custkey END",
         }.items()
     ),
 )
 def column_issues_orders(t):
-    df = t.orders.withColumn("blanked", F.expr("CASE WHEN o_custkey % 3 = 0 THEN o_custkey END")).drop("o_orderdate")
+    df = t.orders.withColumn("blanked", F.expr("CASE WHEN o_custkey % 3 = 0 THEN o_custkey END"))
     return profile.column_issues(df)
 
 
@@ -461,17 +461,25 @@ def quality_documents(t):
     return profile.quality_issues(df).withColumn("amount", F.round("amount", 6))
 
 
-@query("duplicate_rows_lineitem", "SELECT CAST(count(*) - count(DISTINCT (l_returnflag, l_linestatus, l_quantity, l_tax)) AS BIGINT) AS duplicate_rows FROM lineitem")
+@query(
+    "duplicate_rows_lineitem",
+    """WITH twice AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)
+    SELECT (SELECT count(*) FROM twice) - (SELECT count(*) FROM (SELECT DISTINCT * FROM twice)) AS duplicate_rows""",
+)
 def duplicate_rows_lineitem(t):
-    return profile.duplicate_rows(t.lineitem.select("l_returnflag", "l_linestatus", "l_quantity", "l_tax"))
+    return profile.duplicate_rows(t.lineitem.unionByName(t.lineitem.filter("l_linenumber = 1")))
+
+
+_CONTACT_COLUMNS = "id name email phone website employees revenue rate active created street note owner segment code".split()
 
 
 @query(
     "null_share_contact",
-    f"WITH {S.CONTACT_SQL} SELECT round((count(*) - count(name)) * 100.0 / (count(*) * 4), 6) AS null_percentage FROM contact",
+    f"WITH {S.CONTACT_SQL} SELECT round((" + " + ".join(f"count(*) - count({c})" for c in _CONTACT_COLUMNS)
+    + f") * 100.0 / (count(*) * {len(_CONTACT_COLUMNS)}), 6) AS null_percentage FROM contact",
 )
 def null_share_contact(t):
-    return profile.null_share(S.contacts(t).select("id", "name", "email", "phone")).withColumn("null_percentage", F.round("null_percentage", 6))
+    return profile.null_share(S.contacts(t)).withColumn("null_percentage", F.round("null_percentage", 6))
 
 
 @query(

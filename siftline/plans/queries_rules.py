@@ -179,10 +179,32 @@ def _message_rules(t):
     return t.spark.createDataFrame(_MESSAGE_RULES, schema).withColumn("description", F.lit(""))
 
 
-@query("message_rules_customer", _MESSAGE_CTE + "SELECT row_id, rule FROM violation")
+_MESSAGE_SQL = "(VALUES " + ", ".join(
+    f"""('{name}', '{message.replace("'", "''")}', '{next(iter(mapped.values()), "")}')""" for name, message, _, mapped, _ in _MESSAGE_RULES
+) + ") AS text(rule, message, field)"
+
+
+@query("message_rules_customer", _MESSAGE_CTE + f"SELECT row_id, rule, field, message, 'error' AS severity, 'Business Rule Errors' AS category FROM violation JOIN {_MESSAGE_SQL} USING (rule)")
 def message_rules_customer(t):
     checked = rules.message_rule_check(S.contacts(t), _message_rules(t), "id", AS_OF)
-    return checks.violations_table(checked, "id").select("row_id", "rule")
+    return checks.violations_table(checked, "id").select("row_id", "rule", "field", "message", "severity", "category")
+
+
+@query(
+    "message_rules_many",
+    """SELECT id, CASE WHEN name = '' THEN (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) ELSE 0 END
+      + (SELECT count(*) FROM part WHERE p_partkey % 2 = 1 AND p_size > length(name)) AS error_count FROM (SELECT c_custkey AS id,
+      CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS name FROM customer)""",
+)
+def message_rules_many(t):
+    """A rule of every part: that the name is there, or that it has so many characters."""
+    made = t.part.selectExpr(
+        "'R' || p_partkey AS rule_name",
+        "CASE WHEN p_partkey % 2 = 0 THEN 'Name is required and cannot be blank' ELSE 'Name must be at least ' || p_size || ' characters' END AS error_message",
+        "'Name' AS error_field", "map('Name', 'name') AS mappings", "true AS active", "'' AS description",
+    )
+    df = t.customer.selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS name")
+    return rules.message_rule_check(df, made, "id", AS_OF).select("id", F.col("error_count").cast("long").alias("error_count"))
 
 
 @query(
@@ -197,12 +219,11 @@ def message_rules_joined(t):
 @query(
     "resolve_rule_field_messages",
     f"""WITH {S.MESSAGE_SQL} SELECT id, CASE id % 10 WHEN 0 THEN 'Account_Name' WHEN 2 THEN 'Contact_Email' WHEN 3 THEN 'Home_Phone' WHEN 5 THEN 'Salary_Amount'
-    WHEN 6 THEN 'Product_Code' WHEN 7 THEN 'Start_Date' WHEN 8 THEN 'Account_Type' WHEN 9 THEN 'Product_Code' WHEN 1 THEN NULL WHEN 4 THEN 'Account_Status' END AS target_field FROM message
-    WHERE id % 10 IN (0, 2, 3, 7)""",
+    WHEN 6 THEN 'Product_Code' WHEN 7 THEN 'Start_Date' WHEN 8 THEN 'Account_Type' WHEN 9 THEN NULL WHEN 1 THEN NULL WHEN 4 THEN 'Account_Status' END AS target_field FROM message""",
 )
 def resolve_rule_field_messages(t):
     targets = ["Account_Name", "Contact_Email", "Home_Phone", "Salary_Amount", "Product_Code", "Start_Date", "Account_Type", "Account_Status"]
-    mapped = S.messages(t).filter("id % 10 IN (0, 2, 3, 7)").selectExpr(
+    mapped = S.messages(t).selectExpr(
         "id", "'rule' AS rule_name", "text AS error_message", "'' AS error_field", "'' AS description",
         "map(" + ", ".join(f"'{x}', 'col_{i}'" for i, x in enumerate(targets)) + ") AS mappings",
     )
@@ -295,6 +316,16 @@ def formula_missing_column(t):
     return rules.validate_frame(t.orders, listed).agg(F.count("*").alias("total"), F.count_if(~F.col("is_valid")).alias("invalid"))
 
 
+@query(
+    "formula_bad_predicate",
+    "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'syntax; function; cheap' ELSE 'syntax; function' END AS failed FROM orders",
+)
+def formula_bad_predicate(t):
+    listed = [rules.Rule("syntax", "o_totalprice ) <"), rules.Rule("function", "no_such_function(o_orderkey)"), rules.Rule("cheap", "o_totalprice < 50000")]
+    failed = F.array_join(F.transform("violations", lambda v: v["rule"]), "; ")
+    return rules.validate_frame(t.orders, listed).select("o_orderkey", failed.alias("failed"))
+
+
 @query(
     "attach_results_orders",
     """SELECT o_orderkey, o_orderkey % 10 <> 0 AND o_custkey % 3 <> 0 AS is_valid, CASE WHEN o_orderkey % 10 <> 0 AND o_custkey % 3 = 0 THEN 'a; b' || o_custkey % 3 ELSE '' END AS validation_errors FROM orders""",
@@ -584,6 +615,7 @@ def names_in_both(t):
     return report.in_both(t.part.filter("p_size > 25").selectExpr("p_name AS name"), t.part.filter("p_size <= 25").selectExpr("p_name AS name"))
 
 
-@query("names_only_first", "SELECT p_name AS name FROM part WHERE p_size > 45 EXCEPT SELECT p_name FROM part WHERE p_size <= 10")
+@query("names_only_first", "SELECT CAST(p_partkey AS VARCHAR) AS name FROM part EXCEPT SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_quantity > 45")
 def names_only_first(t):
-    return report.only_in_first(t.part.filter("p_size > 45").selectExpr("p_name AS name"), t.part.filter("p_size <= 10").selectExpr("p_name AS name"))
+    sold = t.lineitem.filter("l_quantity > 45").selectExpr("CAST(l_partkey AS STRING) AS name")
+    return report.only_in_first(t.part.selectExpr("CAST(p_partkey AS STRING) AS name"), sold)

@@ -126,3 +126,24 @@ def test_extract_recent(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 9))], "id int, at timestamp")
     got = extract.extract(df.withColumn("at", F.col("at").cast("timestamp_ntz")), "recent", ["id"], "at", 3, dt.date(2024, 1, 10))
     assert [r["id"] for r in got.collect()] == [2]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from siftline import session
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake)
+
+
+def test_extract_takes_all_rows_and_the_first_key(spark):
+    assert extract.extract(spark.range(3000)).count() == 3000
+    fields = spark.createDataFrame(
+        [("B", True, False, 2), ("A", True, False, 1), ("U", False, True, 3), ("Id", False, True, 4)], "name string, external_id boolean, is_unique boolean, position int"
+    ).repartition(4)
+    assert extract.reference_key(fields) == "A"
+    assert extract.reference_key(fields.filter("NOT external_id")) == "U"
+    assert extract.reference_key(fields.filter("name = 'Id'")) == "Name"
