@@ -16,8 +16,6 @@ from siftline.functions.values import group_key
 
 #: At most this many keys can hold 1/HEAVY_KEYS of all rows each.
 HEAVY_KEYS = 50_000
-#: Heavy keys with a larger payload stay in the shuffled part.
-HEAVY_PAYLOAD_BYTES = 1024
 #: Rows without a match are spread over this many shuffle keys.
 SPREAD = 4096
 
@@ -58,9 +56,18 @@ def attach_by_key(
         ).drop("_key", "_k", "_ks", "_cold", "_salt")
 
     total = table.agg(F.sum(weight)).first()[0] or 0
-    payload_size = sum((F.coalesce(F.octet_length(F.col(p).cast("string")), F.lit(0)) for p in payload), F.lit(0))
-    # Fewer than heavy_keys keys can reach this share, so the broadcast is bounded.
-    heavy = table.filter((F.col(weight) * heavy_keys > total) & (payload_size <= HEAVY_PAYLOAD_BYTES))
+    # Fewer than heavy_keys keys can reach this share. Payloads may be long, so of these keys
+    # the most frequent are taken whose measured sizes add up to the limit.
+    most = table.filter(F.col(weight) * heavy_keys > total)
+    size_of = sum((F.coalesce(F.octet_length(F.col(p).cast("string")), F.lit(0)) for p in ["key", *payload]), F.lit(16))
+    ranked = most.select("key", size_of.alias("size"), F.col(weight).alias("w")).orderBy(F.desc("w"), "key").collect()
+    room, least = max(limit, session.BROADCAST_BYTES), None
+    for r in ranked:
+        room -= r["size"]
+        if room < 0:
+            break
+        least = r["w"]
+    heavy = most.filter(F.lit(False) if least is None else F.col(weight) >= least)
     heavy = F.broadcast(
         heavy.select(F.col("key").alias("_hk"), *[F.col(p).alias(f"_h_{p}") for p in payload])
     )
@@ -79,7 +86,7 @@ def attach_by_key(
 
 def _spread_nulls(df: DataFrame, key: Column) -> DataFrame:
     """Rows that cannot match get a salt instead of all meeting at key null."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD)).cast("int") + 1
+    salt = F.pmod(session.content_hash(df), F.lit(SPREAD)).cast("int") + 1
     return df.withColumn("_cold", key).withColumn("_salt", F.when(F.col("_cold").isNull(), salt).otherwise(F.lit(0)))
 
 

@@ -9,6 +9,8 @@ from siftline import session
 from siftline.functions import values
 from siftline.operators import keyed
 
+#: Rows that a range partition of ordered rows has at most, about.
+ROWS_PER_RANGE = 1_000_000
 #: monotonically_increasing_id keeps the row number of a partition in its low bits.
 PARTITION_SHIFT = 33
 
@@ -16,14 +18,14 @@ PARTITION_SHIFT = 33
 def assign_batches(df: DataFrame, order_cols: list[str], batch_size: int = 10_000, partitions: int | None = None) -> DataFrame:
     """Adds ``row_index`` (from 0) and ``batch_num`` (from 1): contiguous batches in order.
 
-    One range shuffle. Rows are numbered inside their range partition, the
+    One range shuffle, into as many partitions as the rows ask for. Rows are numbered inside their range partition, the
     partition sizes (one row each) give the offsets, so no task ever sees all
     rows. Equal order keys are split by content, identical rows by position.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    tied = df.withColumn("_tie", F.xxhash64(*columns)).withColumn("_spot", F.monotonically_increasing_id())
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE))
+    columns = [session.sql_column(c) for c in df.columns]
+    tied = df.withColumn("_tie", session.content_hash(df)).withColumn("_spot", F.monotonically_increasing_id())
     order = [*order_cols, "_tie", "_spot"]
     placed = (
         tied.repartitionByRange(n, *order)

@@ -99,6 +99,16 @@ def measured_bytes(staged: DataFrame, columns: list[str]) -> tuple[int, int]:
     return int(row["n"]), int(row["b"] or 0)
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of the whole row; maps, which cannot be hashed, by their JSON text."""
+    parts = [F.to_json(F.struct(sql_column(c))) if "map<" in kind else sql_column(c) for c, kind in df.dtypes]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
+
+
+def sql_column(name: str) -> Column:
+    return F.col(sql_name(name))
+
+
 def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table that holds metadata; refuse one that is not small."""
     rows = df.limit(limit + 1).collect()

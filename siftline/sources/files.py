@@ -19,12 +19,12 @@ DETAILS_SCHEMA = (
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8", multi_line: bool = True
+    spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8", multi_line: bool = False
 ) -> DataFrame:
     """CSV with a header; all columns are text unless a schema is given.
 
-    Quoted cells may hold line breaks, which makes a file one task; a few large
-    files without such cells are read in splits with ``multi_line=False``. Files without columns or rows are refused.
+    Files are read in splits. ``multi_line=True`` is for quoted cells with line
+    breaks and makes every file one task. Files without columns or rows are refused.
     ``encoding="ISO-8859-1"`` reads files that are not UTF-8.
     """
     reader = (
@@ -94,7 +94,7 @@ def catalog_from_details(details: DataFrame, object_name: str) -> DataFrame:
 
 
 def scan_catalog_csv(spark: SparkSession, path: str, object_name: str) -> DataFrame:
-    return catalog_from_details(scan_csv(spark, path, DETAILS_SCHEMA), object_name)
+    return catalog_from_details(scan_csv(spark, path, DETAILS_SCHEMA, multi_line=True), object_name)
 
 
 def catalog_to_details(catalog: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from siftline.sources import extract, files, jdbc, sinks
 def test_scan_csv(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_bytes('id,name\n1,"Caf\xe9, ""x""\nline"\n'.encode("latin1"))
-    row = files.scan_csv(spark, str(path), encoding="ISO-8859-1").first()
+    row = files.scan_csv(spark, str(path), encoding="ISO-8859-1", multi_line=True).first()
     assert tuple(row) == ("1", 'Caf\xe9, "x"\nline')
     empty = tmp_path / "b.csv"
     empty.write_text("id,name\n")

@@ -93,3 +93,21 @@ def test_staged_tables_use_the_named_folder(spark):
     df = session.stage(spark.range(3).toDF("x"), "t")
     assert session.shared_dir(spark).replace("file:", "") in df.inputFiles()[0]
     assert df.count() == 3
+
+
+def test_batches_take_columns_that_cannot_be_hashed(spark):
+    from siftline.operators import load
+
+    df = spark.createDataFrame([(i, {"a": i}) for i in range(25)], "id int, m map<string,int>")
+    out = load.assign_batches(df, ["id"], 10).orderBy("row_index").collect()
+    assert [r["batch_num"] for r in out] == [1] * 10 + [2] * 10 + [3] * 5 and [r["id"] for r in out] == list(range(25))
+
+
+def test_a_hot_key_with_a_long_payload_is_split(spark):
+    from siftline import session
+    from siftline.operators import keyed
+
+    rows = spark.createDataFrame([("hot",)] * 50 + [("cold",)] * 3 + [(None,)] * 4, "k string")
+    table = session.stage(spark.createDataFrame([("hot", "x" * 5000, 50), ("cold", "y" * 5000, 3)], "key string, v string, n long"), "t")
+    out = keyed.attach_by_key(rows, rows["k"], table, ["v"], weight="n", broadcast_bytes=0, heavy_keys=2)
+    assert {(r["k"], (r["v"] or "")[:1]) for r in out.collect()} == {("hot", "x"), ("cold", "y"), (None, "")} and out.count() == 57
