@@ -428,6 +428,18 @@ def function_today(t):
     return t.orders.select("o_orderkey", (F.col("o_orderdate") >= X.TODAY(dt.date(1998, 6, 1))).alias("late"))
 
 
+@query(
+    "functions_now_text",
+    "SELECT o_orderkey, o_orderdate < TIMESTAMP '1996-06-01 12:00:00' AS before, CAST(o_custkey AS VARCHAR) || '/' || o_orderstatus AS shown FROM orders",
+)
+def functions_now_text(t):
+    import datetime as dt
+
+    before = F.col("o_orderdate") < X.NOW(dt.datetime(1996, 6, 1, 12))
+    shown = F.concat(X.TEXT(F.col("o_custkey")), F.lit("/"), X.TEXT(F.col("o_orderstatus")))
+    return t.orders.select("o_orderkey", before.alias("before"), shown.alias("shown"))
+
+
 @query(
     "field_label_part",
     """SELECT p_partkey, upper(p_name[1:1]) || p_name[2:position(' ' IN p_name)] || upper(p_name[position(' ' IN p_name) + 1:position(' ' IN p_name) + 1])

@@ -144,6 +144,14 @@ def default_mapping_label(t):
     return mapping.default_mapping(S.catalog(t), "label", name_filter="red, bolt")
 
 
+@query(
+    "default_mapping_identity",
+    f"WITH {S.CATALOG_SQL} SELECT name AS source, name AS target FROM catalog WHERE NOT starts_with(name, 'Created') AND updateable",
+)
+def default_mapping_identity(t):
+    return mapping.default_mapping(S.catalog(t), "identity")
+
+
 @query(
     "default_mapping_loadable",
     f"WITH {S.CATALOG_SQL} SELECT 0 AS position, 'Id' AS source, 'Id' AS target UNION ALL SELECT DISTINCT CASE WHEN updateable AND NOT contains(lower(name), 'sic') "

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed
-from siftline.operators import checks, constraints, coverage, logs, report, rules
+from siftline.operators import checks, constraints, coverage, load, logs, report, rules
 from siftline.plans import flows
 from siftline.plans import samples as S
 from siftline.plans.registry import query
@@ -249,7 +249,8 @@ _CONTEXT = {
       CASE id % 4 WHEN 0 THEN regexp_matches(code, '^[a-zA-Z0-9]*$') WHEN 1 THEN regexp_matches(code, '^[a-zA-Z0-9\\s]*$') WHEN 2 THEN upper(code) = code AND lower(code) <> code
         ELSE regexp_matches(code, '^[0-9]{{5}}(-[0-9]{{4}})?$') END AS format_ok,
       CASE WHEN id % 3 = 0 THEN lower(active) IN ('active', 'false') AND lower(active) = 'active' WHEN id % 3 = 1 THEN false ELSE trim(active) <> '' END AS status_ok,
-      length(regexp_replace(phone, '[^0-9]', '', 'g')) >= 10 AS phone_ok FROM x""",
+      length(regexp_replace(phone, '[^0-9]', '', 'g')) >= 10 AS phone_ok,
+      email IS NULL OR trim(email) = '' OR regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$') AS email_ok, name IS NOT NULL AND trim(name) <> '' AS named FROM x""",
 )
 def contexts_contact(t):
     c = {n: F.expr(e) for n, e in _CONTEXT.items()}
@@ -261,6 +262,8 @@ def contexts_contact(t):
         rules.format_context(F.col("code"), c["fmt"]).alias("format_ok"),
         rules.status_or_stage(F.col("active"), c["st"]).alias("status_ok"),
         rules.loose_phone(F.col("phone")).alias("phone_ok"),
+        rules.loose_email(F.col("email")).alias("email_ok"),
+        rules.not_null(F.col("name")).alias("named"),
     )
 
 
@@ -579,14 +582,27 @@ def prioritize_parts(t):
     return report.round_robin(_ranked(t), "risk_level", "position").select("position", "risk_level", "turn")
 
 
-@query("prioritize_balanced", _RANKED + "SELECT position, risk_level FROM r")
+def _placed(ordered):
+    """The rows with their place (from 0) in the order that they come in."""
+    numbered = load.assign_batches(ordered.withColumn("_came", F.monotonically_increasing_id()), ["_came"], 1)
+    return numbered.select("position", "risk_level", F.col("row_index").alias("place"))
+
+
+_RISK_SQL = "CASE risk_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+
+
+@query(
+    "prioritize_balanced",
+    _RANKED + f", turns AS (SELECT *, row_number() OVER (PARTITION BY risk_level ORDER BY position) AS turn FROM r) "
+    f"SELECT position, risk_level, row_number() OVER (ORDER BY turn, {_RISK_SQL}) - 1 AS place FROM turns",
+)
 def prioritize_balanced(t):
-    return report.prioritize(_ranked(t), "balanced", "position").select("position", "risk_level")
+    return _placed(report.prioritize(_ranked(t), "balanced", "position"))
 
 
-@query("prioritize_high_first", _RANKED + "SELECT position, risk_level FROM r")
+@query("prioritize_high_first", _RANKED + f"SELECT position, risk_level, row_number() OVER (ORDER BY {_RISK_SQL}, position) - 1 AS place FROM r")
 def prioritize_high_first(t):
-    return report.prioritize(_ranked(t), "high_first", "position").select("position", "risk_level")
+    return _placed(report.prioritize(_ranked(t), "high_first", "position"))
 
 
 @query("focus_high", f"WITH {_GRADE_SQL} SELECT id FROM graded WHERE risk_level = 'high'")
