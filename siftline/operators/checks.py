@@ -356,11 +356,12 @@ def unique_violations(df: DataFrame, row_id: str, columns: list[str], trim: bool
     group stay rows; they are never gathered into one array.
     """
     parts = []
-    for name in columns:
-        c = cell(df, name)
-        ignore = c.blank if trim else c.missing
-        slim = df.select(F.col(row_id).alias("row_id"), c.value.alias(name))
-        flagged = keyed.attach_duplicate_count(slim, F.col(f"`{name}`"), "rows", ignore)
+    cells = [cell(df, name) for name in columns]
+    repeated = keyed.repeated_values(df, [(c.value, c.blank if trim else c.missing) for c in cells])
+    for i, (name, c) in enumerate(zip(columns, cells, strict=True)):
+        shown = F.when(~(c.blank if trim else c.missing), c.value)
+        slim = df.select(F.col(row_id).alias("row_id"), shown.alias(name))
+        flagged = keyed.attach_repeated(slim, F.col(f"`{name}`"), repeated, i, "rows")
         parts.append(
             flagged.filter(F.col("rows").isNotNull()).select(
                 "row_id", F.lit(name).alias("field"), F.col(f"`{name}`").cast("string").alias("value"), "rows"
@@ -375,10 +376,14 @@ def unique_violations(df: DataFrame, row_id: str, columns: list[str], trim: bool
 def unique_checks(df: DataFrame, columns: list[str], trim: bool = True) -> tuple[DataFrame, list[Check]]:
     """Frame with one duplicate-count column per unique field, and its checks."""
     checks = []
-    for i, name in enumerate(columns):
-        c = cell(df, name)
+    if not columns:
+        return df, checks
+    cells = [cell(df, name) for name in columns]
+    ignored = [c.blank if trim else c.missing for c in cells]
+    repeated = keyed.repeated_values(df, [(c.value, x) for c, x in zip(cells, ignored, strict=True)])
+    for i, (name, c) in enumerate(zip(columns, cells, strict=True)):
         out = f"_dup_{i}"
-        df = keyed.attach_duplicate_count(df, c.value, out, c.blank if trim else c.missing)
+        df = keyed.attach_repeated(df, F.when(~ignored[i], c.value), repeated, i, out)
         message = F.concat(
             F.lit("Duplicate value '"), c.text, F.lit(f"' found in unique field '{name}' ("), F.col(out).cast("string"), F.lit(" rows)")
         )

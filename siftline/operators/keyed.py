@@ -98,6 +98,21 @@ def duplicate_counts(df: DataFrame, column: Column, ignore: Column | None = None
     return session.stage(key_counts(df, key).filter(F.col("rows") > 1), "duplicates")
 
 
+def repeated_values(df: DataFrame, columns: list[tuple[Column, Column]]) -> DataFrame:
+    """Staged (``position``, ``key``, ``rows``) of the values that repeat, of all (value, ignore) columns in one pass."""
+    pairs = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.when(~ignore, group_key(value)).alias("key")) for i, (value, ignore) in enumerate(columns)
+    ])
+    long = df.select(F.inline(pairs)).filter(F.col("key").isNotNull())
+    return session.stage(long.groupBy("position", "key").agg(F.count("*").alias("rows")).filter("rows > 1"), "repeated")
+
+
+def attach_repeated(df: DataFrame, value: Column, repeated: DataFrame, position: int, out: str) -> DataFrame:
+    """Adds how many rows share the row's value, from ``repeated_values``: null when it is the only one."""
+    counts = repeated.filter(F.col("position") == position).select("key", F.col("rows").alias(out))
+    return attach_by_key(df, group_key(value), counts, [out], weight=out)
+
+
 def attach_duplicate_count(df: DataFrame, column: Column, out: str, ignore: Column | None = None) -> DataFrame:
     """Adds how many rows share the row's value: null when it is the only one.
 

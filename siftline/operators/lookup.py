@@ -74,6 +74,15 @@ def resolve_lookup(df: DataFrame, lookup: Lookup, broadcast_bytes: int | None =
     )
 
 
+#: Prefix of columns that hold the values from before a transform.
+BEFORE = "_earlier_"
+
+
+def keep_before(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The frame with copies of the given columns as they are now."""
+    return df.withColumns({BEFORE + c: F.col(f"`{c}`").cast("string") for c in columns if c in df.columns})
+
+
 def resolve_lookups(df: DataFrame, lookups: list[Lookup]) -> DataFrame:
     for lookup in lookups:
         df = resolve_lookup(df, lookup)
@@ -121,7 +130,7 @@ def _name_list(parts: list[tuple[Column, str]]) -> Column:
 
 def categorize_transform(
     after: DataFrame,
-    before: DataFrame,
+    before: DataFrame | None,
     row_id: str,
     lookup_fields: list[str],
     catalog: DataFrame,
@@ -132,16 +141,20 @@ def categorize_transform(
 
     A row fails when a lookup value is unchanged and not blank, a picklist value
     is not listed, or a unique value repeats. ``already_id_ok`` lets an unchanged
-    value pass that already is an id.
+    value pass that already is an id. Without ``before``, ``after`` has the earlier
+    values itself (see ``keep_before``), and no join of the two is needed.
     """
     fields = {f.name: f for f in checks.read_fields(catalog, after.columns, object_name)}
-    lookups = [f for f in lookup_fields if f in before.columns and f in after.columns]
+    earlier = [c.removeprefix(BEFORE) for c in after.columns if c.startswith(BEFORE)] if before is None else before.columns
+    lookups = [f for f in lookup_fields if f in earlier and f in after.columns]
     picks = [n for n, f in fields.items() if f.type == "picklist" and (f.picklist or f.large_picklist)]
     uniques = [n for n in after.columns if n in fields and fields[n].is_unique]
-    columns = list(after.columns)
+    columns = [c for c in after.columns if before is not None or not c.startswith(BEFORE)]
 
     df = after
-    if lookups:
+    if before is None:
+        df = df.withColumnsRenamed({BEFORE + f: f"_before_{i}" for i, f in enumerate(lookups)})
+    elif lookups:
         old = before.select(
             F.col(row_id).alias("_rid"), *[F.col(f"`{f}`").cast("string").alias(f"_before_{i}") for i, f in enumerate(lookups)]
         )

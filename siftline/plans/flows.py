@@ -65,11 +65,10 @@ def transform(
     object_name: str | None = None,
 ) -> DataFrame:
     """Map, resolve lookups, clean, and judge every row (``row_id`` is a target name)."""
-    mapped = mapping.apply_mapping(df, column_mapping)
+    names = [x.column for x in lookups]
+    mapped = lookup.keep_before(mapping.apply_mapping(df, column_mapping), names)
     cleaned = cleaning.clean_values(lookup.resolve_lookups(mapped, lookups))
-    return lookup.categorize_transform(
-        cleaned, mapped, row_id, [x.column for x in lookups], catalog, object_name
-    )
+    return lookup.categorize_transform(cleaned, None, row_id, names, catalog, object_name)
 
 
 def load_batches(
