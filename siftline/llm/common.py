@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ from siftline import session
 
 #: At most this many keys can each hold 1/HEAVY of all rows, so a table of them is bounded.
 HEAVY = 50_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Bytes of text that one numpy block holds (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
 
@@ -35,11 +38,21 @@ def mapped_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Give executors the package's code, once per application: it need not be installed there."""
+    # Texts are long: batches between the JVM and Python are small, as both sides hold several.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -88,11 +101,12 @@ def attach(rows: DataFrame, table: DataFrame, key: str, payload: list[str], weig
     if weight is None:
         return rows.join(table, key, "left")
     total = table.agg(F.sum(weight)).first()[0]
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind]  # maps cannot be hashed
     heavy = table.filter(F.col(weight) * HEAVY > total).select(
         F.col(key).alias("_hk"), *[F.col(p).alias(f"_h_{p}") for p in payload]
     )
     marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
-    salt = F.when(F.col("_hk").isNotNull(), (F.rand(7) * 4096).cast("int") + 1).otherwise(F.lit(0))
+    salt = F.when(F.col("_hk").isNotNull(), F.pmod(F.xxhash64(*plain), F.lit(4096)).cast("int") + 1).otherwise(F.lit(0))
     rest = table.select(F.col(key).alias("_k"), F.lit(0).alias("_ks"), *[F.col(p).alias(f"_c_{p}") for p in payload])
     joined = marked.withColumn("_salt", salt).join(
         rest, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_ks")), "left"

@@ -96,6 +96,7 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                 at = first[i] + np.flatnonzero(stay)
                 kept[lo + i] = b" ".join([text[a:b] for a, b in zip((start[at] - offsets[i]).tolist(), (end[at] - offsets[i]).tolist(), strict=True)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string())], ["_id", "n_words", "n_removed", "kept"])
+    common.give_back()
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shape: repeats.Shape = WORDS) -> DataFrame:

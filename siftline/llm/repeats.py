@@ -30,7 +30,7 @@ from siftline import session
 from siftline.llm import common
 
 #: Text bytes whose runs a task holds before it sends them on.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
 #: A null id comes after all others.
 NULL_ID = np.iinfo(np.int64).max
 #: Stretches around an anchor that a run is asked by.
@@ -46,7 +46,7 @@ class Shape:
     length: int
     gram: int
     #: Text bytes per bucket: as many buckets as the text has of these.
-    bucket_bytes: int = 16 << 20
+    bucket_bytes: int = 4 << 20
 
     @property
     def cuts(self) -> list[tuple[int, int]]:
@@ -153,6 +153,8 @@ def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
                 held, size = [], 0
     if held:
         yield _sent(held, buckets)
+    held = []
+    common.give_back()
 
 
 def _sent(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
@@ -209,6 +211,7 @@ def _answers(table: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     ends = (np.append(start, len(own)) * 4).astype(np.int32)
     marks = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code.tobytes())])
+    common.give_back()
     return pa.table([pa.array(own[start]), marks], names=["_id", "marks"])
 
 
@@ -253,6 +256,7 @@ def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "_id", "blob"]
         )
+    common.give_back()
 
 
 def joined(spans: np.ndarray) -> np.ndarray:
@@ -284,6 +288,8 @@ def _compared(table: pa.Table, shape: Shape, method: Method) -> pa.Table:
     blobs = []
     for a, b in zip(edge, np.append(edge, len(own))[1:], strict=True):
         blobs.append(joined(np.stack([place[a:b], place[a:b]], 1)).astype(np.uint32).tobytes())
+    del parts, text, flags
+    common.give_back()
     return pa.table([pa.array(own[edge], pa.int64()), pa.array(blobs, pa.binary())], names=["_id", "blob"])
 
 
