@@ -162,10 +162,12 @@ CUSTOM_FORMAT_TEXT = [
     (r'must\s+match\s+(?:the\s+)?pattern\s+"([^"]+)"', ["pattern"]),
 ]
 ALLOWED_TEXT = [
-    (r"""must\s+be\s+(?:one\s+of\s+)?(?:the\s+following:?\s*)?["']([^"']+)["']""", ["must"]),
+    # The whole quoted list that follows the words, so that every value of it is allowed.
+    (r"""must\s+be\s+(?:one\s+of\s+)?(?:the\s+following:?\s*)?(["'][^"']+["'](?:\s*,?\s*(?:or\s+|and\s+)?["'][^"']+["'])*)""", ["must"]),
     (r"""(?:only\s+|should\s+be\s+)?(?:one\s+of\s+)?["']([^"']+)["'](?:\s+(?:or|,)\s+["']([^"']+)["'])*""", ['"', "'"]),
     (r"""valid\s+values?\s+(?:are|include)?\s*:?\s*["']([^"']+)["']""", ["valid"]),
 ]
+QUOTED = r"""["']([^"']+)["']"""
 PROHIBITED_TEXT = [
     (r"""cannot\s+be\s+["']([^"']+)["']""", ["cannot"]),
     (r"""(?:not\s+allowed\s+to\s+be|should\s+not\s+be)\s+["']([^"']+)["']""", ["allowed", "should"]),
@@ -248,7 +250,6 @@ PAST_WORDS = ["past date", "before today"]
 STATUS_VALUES = ["active", "inactive", "pending", "approved", "rejected", "draft"]
 STAGE_VALUES = ["new", "qualified", "proposal", "negotiation", "closed won", "closed lost"]
 TOO_LONG = 255
-NO_FORMULA = ["", "No formula available", "Formula not available", "FORMULA_NOT_ACCESSIBLE_VIA_API"]
 
 # --- rule text: identifiers and grading -----------------------------------------------
 # Fixed values.

@@ -163,7 +163,7 @@ def extract_constraints(df: DataFrame, text: str, with_units: bool = False) -> D
     step = step.withColumns(
         {
             "allowed_values": F.coalesce(
-                filled("_allowed_0"), F.when(F.size("_allowed_1") > 0, pairs), filled("_allowed_3")
+                F.when(F.size("_allowed_0") > 0, F.regexp_extract_all(F.array_join("_allowed_0", " "), F.lit(fixed.QUOTED), F.lit(1))), F.when(F.size("_allowed_1") > 0, pairs), filled("_allowed_3")
             ),
             "prohibited_values": F.coalesce(*[filled(f"_prohibited_{i}") for i in range(len(fixed.PROHIBITED_TEXT))]),
         }

@@ -72,7 +72,7 @@ CONSTRAINT_SQL = f"""c0 AS (SELECT id, text, {_any_sql(fixed.REQUIRED_TEXT)} AS
   CASE WHEN NOT contains(lower(text), 'characters') THEN TRY_CAST({_first_sql(fixed.MAXIMUM_TEXT)} AS DOUBLE) END AS mx,
   {_LENGTH_KIND} AS lk, TRY_CAST({_LENGTH_FIRST} AS BIGINT) AS l1, TRY_CAST({_RANGE_SECOND} AS BIGINT) AS l2, {_FORMAT} AS format_type,
   {_first_sql(fixed.CUSTOM_FORMAT_TEXT)} AS format_pattern,
-  CASE WHEN regexp_matches(text, {_q(fixed.ALLOWED_TEXT[0][0])}) THEN array_to_string(regexp_extract_all(text, {_q(fixed.ALLOWED_TEXT[0][0])}, 1), '|')
+  CASE WHEN regexp_matches(text, {_q(fixed.ALLOWED_TEXT[0][0])}) THEN array_to_string(regexp_extract_all(array_to_string(regexp_extract_all(text, {_q(fixed.ALLOWED_TEXT[0][0])}, 1), ' '), {_q(fixed.QUOTED)}, 1), '|')
     WHEN regexp_matches(text, {_q(fixed.ALLOWED_TEXT[1][0])}) THEN array_to_string(regexp_extract_all(text, {_q(fixed.ALLOWED_TEXT[1][0])}, 1), '|') END AS allowed,
   trim({_first_sql(fixed.CONDITION_TEXT, 1)}) AS condition_field, trim({_first_sql(fixed.CONDITION_TEXT, 2)}) AS condition_value,
   {_any_sql(fixed.UNIQUE_TEXT)} AS is_unique FROM message),
