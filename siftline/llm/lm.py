@@ -28,11 +28,11 @@ from siftline.llm import common
 BEGIN, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Tokens that a counting task holds before it sends their n-grams on.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_500_000
 #: Tokens that are scored at once.
-SCORE_TOKENS = 700_000
+SCORE_TOKENS = 400_000
 #: Text bytes per bucket of n-grams.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -142,6 +142,8 @@ def _counter(order: int, buckets: int):
                     held, size = [], 0
         if held:
             yield _flushed(held, order, buckets)
+        held = []
+        common.give_back()
 
     return run
 
@@ -182,6 +184,8 @@ def _level(level: int, buckets: int, folder: str):
             _write(folder, f"{level}-{bucket}.context", contexts)
             _write(folder, f"{level}-{bucket}.stats", np.stack([total, *stats], 1).astype(np.float64))
         facts = [int((seen == i).sum()) for i in (1, 2, 3, 4)] + [len(seen), int(seen.sum()), int(raw.sum())]
+        del key, order, count
+        common.give_back()
         out = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pickle.dumps(facts)], pa.binary())], ["bucket", "blob"])
         if level == 1:
             return pa.Table.from_batches([out])
@@ -332,6 +336,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "lm") ->
                 for part, value in zip(parts, (n, np.add.reduceat((raw > 0).astype(np.int64), begin[:-1]), base, log, 10 ** (-log / n)), strict=True):
                     part.append(value)
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=[n for n, _ in fields])
+        lookup.open.clear()
+        common.give_back()
 
     kind = "struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double,perplexity:double>"
     return docs.withColumn(out, F.arrow_udf(column, kind)(common.text_of(text)))
