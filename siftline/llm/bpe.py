@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from siftline.llm import common
 
 #: Pieces that a worker remembers with their ids; the memory starts anew when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 class PerfectHash:
@@ -62,6 +63,12 @@ class PerfectHash:
         return out
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and their ranks, which are their ids."""
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, file))}
+
+
 class Vocabulary:
     """Ranks of a byte-level BPE and its pre-tokenizer's pattern."""
 
@@ -72,12 +79,6 @@ class Vocabulary:
         for slot, key in zip(self.hash.slots(list(ranks)).tolist(), ranks, strict=True):
             self.keys[slot] = key
         self.ids = [ranks[k] for k in self.keys]
-        self.bytes_of = dict(zip(ranks.values(), ranks, strict=True))
-
-    @classmethod
-    def read(cls, path: str, pattern: str) -> Vocabulary:
-        with open(path, "rb") as file:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, file))}, pattern)
 
     def known(self, pieces: list[bytes]) -> list[int | None]:
         """First tier: the id of every piece that is a token itself."""
@@ -85,29 +86,33 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         """Second tier: merge the pair of least rank, the leftmost of equal ones, until none is left."""
-        ranks, n = self.ranks, len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        end = list(range(1, n + 1))  # where the part that begins here ends; 0 once it is merged away
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        rank, n = self.ranks.get, len(piece)
+        bits = (n + 1).bit_length()
+        mask = (1 << bits) - 1
+        # A part is the bytes from its start to end[start], where the next part starts; end is 0 inside
+        # parts. An entry of the heap is one number: the pair's rank, its start, its end.
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if end[i] else n
-            if j >= n or end[j] != stop:
+            entry = pop(heap)
+            stop, i = entry & mask, entry >> bits & mask
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
                 continue  # one of the two has changed since
             end[i], end[j] = stop, 0
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (r := ranks.get(piece[i : end[k]])) is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
+            if stop < n:
+                before[stop] = i
+                if (r := rank(piece[i : end[stop]])) is not None:
+                    push(heap, (r << bits | i) << bits | end[stop])
             h = before[i]
-            if h >= 0 and (r := ranks.get(piece[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, stop))
+            if h >= 0 and (r := rank(piece[h:stop])) is not None:
+                push(heap, (r << bits | h) << bits | stop)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = after[i]
+            out.append(self.ranks[piece[i : end[i]]])
+            i = end[i]
         return out
 
 
@@ -124,16 +129,16 @@ class Encoder:
         for piece, data, one in zip(pieces, raw, self.vocabulary.known(raw), strict=True):
             self.seen[piece] = [one] if one is not None else self.vocabulary.merged(data)
 
-    def encode(self, text: str) -> np.ndarray:
-        pieces = self.find(text)
-        if new := set(pieces).difference(self.seen):
-            if len(self.seen) + len(new) > REMEMBERED:
-                self.seen, new = {}, set(pieces)
-            self.learn(list(new))
-        ids: list[int] = []
-        for part in map(self.seen.__getitem__, pieces):
-            ids += part
-        return np.array(ids, np.int32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. New pieces of all of them are looked up together."""
+        pieces = [self.find(t) for t in texts]
+        distinct = set().union(*pieces)
+        new = distinct.difference(self.seen)
+        if len(self.seen) + len(new) > REMEMBERED:
+            self.seen, new = {}, distinct
+        self.learn(list(new))
+        find = self.seen.__getitem__
+        return [np.fromiter(itertools.chain.from_iterable(map(find, p)), np.int32) for p in pieces]
 
 
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}
@@ -142,10 +147,24 @@ _vocabularies: dict[tuple[str, str], Vocabulary] = {}
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """Read once per process; the file is installed on every machine and never changes."""
     if (path, pattern) not in _vocabularies:
-        _vocabularies[path, pattern] = Vocabulary.read(path, pattern)
+        _vocabularies[path, pattern] = Vocabulary(read_ranks(path), pattern)
     return _vocabularies[path, pattern]
 
 
+def _chunks(texts: pa.Array, most: int = 1 << 18) -> Iterator[list[str]]:
+    """Consecutive texts, about ``most`` characters at once."""
+    held: list[str] = []
+    size = 0
+    for one in texts:
+        held.append(one.as_py())
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """The rows with an array of token ids of their text (a null text counts as empty: no ids).
 
@@ -158,22 +177,24 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(vocabulary(path, pattern))
         for batch in batches:
-            ids = [encoder.encode(one.as_py()) for one in batch]
+            ids = [one for texts in _chunks(batch) for one in encoder.encode(texts)]
             offsets = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
             yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        common.give_back()
 
     return docs.withColumn(out, F.arrow_udf(column, "array<int>")(common.text_of(text)))
 
 
-def decode(rows: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """The rows with the bytes of their ids (null for a null array). An unknown id fails the job."""
 
     common.ship(rows.sparkSession)
 
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        find = vocabulary(path, pattern).bytes_of.__getitem__
+        find = {rank: piece for piece, rank in read_ranks(path).items()}.__getitem__
         for batch in batches:
             yield pa.array((None if one.values is None else b"".join(map(find, one.values.to_numpy(False).tolist())) for one in batch), pa.binary())
+        common.give_back()
 
     return rows.withColumn(out, F.arrow_udf(column, "binary")(common.named(ids)))
 
