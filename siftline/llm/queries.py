@@ -99,8 +99,50 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_CUTS = ", ".join(f"('{rule}', {cut})" for rule in quality_rules.RULES for cut in quality_rules.GRID[rule])
+
 ORACLES = {
     "op2_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op1_minhash_near_dedup": rf"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+t AS (SELECT min(doc_id) AS node, ws FROM d GROUP BY ws),
+g AS (SELECT node, gram, count(*) AS n FROM (SELECT node, CASE WHEN len(ws) < 5 THEN ws ELSE ws[s:s + 4] END AS gram
+  FROM t, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS r(s) WHERE len(ws) > 0) GROUP BY node, gram),
+z AS (SELECT node, sum(n) AS size FROM g GROUP BY node),
+p AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.node < b.node GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN z x ON x.node = a JOIN z y ON y.node = b WHERE common >= 0.8 * (x.size + y.size - common)),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, label) AS (SELECT node, node FROM t UNION SELECT s.b, r.label FROM r JOIN s ON s.a = r.node WHERE r.label < s.b),
+c AS (SELECT node, min(label) AS class_id FROM r GROUP BY node),
+m AS (SELECT doc_id, class_id, c.node FROM d JOIN t USING (ws) JOIN c USING (node))
+SELECT doc_id, class_id, count(*) OVER k AS class_size, (SELECT count(*) FROM c WHERE c.class_id = m.class_id) AS class_texts, doc_id = class_id AS kept
+FROM m WINDOW k AS (PARTITION BY class_id)""",
+    "op4_quality_rules": rf"""WITH d AS (SELECT doc_id, coalesce(lang, '(none)') AS stratum, coalesce(text, '') AS t, {_WORDS} AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k8 AS (SELECT doc_id, p AS s, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o || ' ' || lead(word, 5) OVER o || ' ' || lead(word, 6) OVER o || ' ' || lead(word, 7) OVER o AS k FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+win AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, k) AS n FROM k8 WHERE k IS NOT NULL),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM win WHERE n > 1) GROUP BY doc_id),
+m AS MATERIALIZED (SELECT doc_id, stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+  FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols_per_word, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_lines_per_line,
+  coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeats_per_word, coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_per_letter FROM m),
+long AS (UNPIVOT f ON symbols_per_word, dup_lines_per_line, repeats_per_word, upper_per_letter INTO NAME rule VALUE share),
+k AS MATERIALIZED (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS k FROM long JOIN labels USING (doc_id) JOIN (VALUES {_CUTS}) AS c(rule, cutoff) USING (rule)
+  WHERE quality = 1 GROUP BY ALL),
+tail AS (SELECT *, CASE WHEN k >= n * 0.02 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))) END AS p FROM k),
+safe AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE p <= 0.05 / ({_CUTS.count('(')} * (SELECT count(DISTINCT stratum) FROM k)) GROUP BY stratum, rule),
+bad AS (SELECT DISTINCT doc_id FROM long JOIN safe USING (stratum, rule) WHERE share > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m""",
+    "op9_lz_substring_dedup": rf"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s:s + 49], ' ') AS k FROM d, unnest(range(1, len(ws) - 48)) AS r(s)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE least < doc_id),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+j AS (SELECT w.doc_id, count(*) AS n_words, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (gone.p IS NULL) AS kept
+  FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p GROUP BY w.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)""",
 }
