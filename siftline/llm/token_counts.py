@@ -22,7 +22,7 @@ from siftline.llm import common
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Pre-tokens that a worker remembers with their counts; the memory starts anew when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -144,5 +144,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
         count = counter(path).count_text
         for batch in batches:
             yield pa.array([count(one.as_py()) for one in batch], pa.int64())
+        common.give_back()
 
     return docs.withColumn(out, F.arrow_udf(column, "bigint")(common.text_of(text)))
