@@ -24,7 +24,7 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 DIMENSION, EPOCHS, BATCH, RATE = 8, 5, 32, 2.0
 #: Labelled documents per class that the fit reads at most (about; chosen by a seeded hash of the id).
-MAX_PER_CLASS = 2000
+MAX_PER_CLASS = 1200
 #: Feature numbers of the two repetition marks, behind the hashed ones.
 SAME, SEEN = BUCKETS, BUCKETS + 1
 
@@ -103,6 +103,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["_order", "_label", "features", "weights"],
             )
+    common.give_back()
 
 
 @dataclass
@@ -189,6 +190,8 @@ def fit(
         share = np.array([count[c] / total / max(1, have[c]) for c in (0, 1)])[labels_]
         model = train([features[i] for i in place], [weights[i] for i in place], labels_, share)
         yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], ["table", "bias"])
+        del features, weights
+        common.give_back()
 
     found = bags.coalesce(1).mapInArrow(run, "table binary, bias double").collect()
     if not found:
@@ -219,6 +222,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         for batch in batches:
             table = pa.RecordBatch.from_arrays([batch], ["t"])
             yield pa.array(np.concatenate([np.zeros(0), *[scores(model, data, offsets) for _, _, data, offsets in common.text_blocks(table, 0, 1 << 19)]]))
+        common.give_back()
 
     return docs.withColumn(out, F.arrow_udf(column, "double")(common.text_of(text)))
 
