@@ -6,9 +6,10 @@ darts fall on each region as a Poisson process along the rank axis, seeded by th
 darts below a rank are hashed to coordinates, and each coordinate keeps its earliest dart; two
 documents agree in a coordinate with the chance of their weighted Jaccard similarity.
 
-Candidates share a band of coordinates. Each member of a band's bucket is linked to one centre
-of the bucket, never to all members; links are verified on the exact weighted sets; then
-buckets that still hold several classes compare across classes until none is left to compare.
+Candidates share a band of coordinates. Each member of a band's bucket is compared with one centre
+of the bucket, on the exact weighted sets, and links make classes. Only buckets that still hold
+several classes are compared further, and only across them: pair by pair where these are few, else
+in blocks of members inside tasks, which return links and never pairs. No candidate is left out.
 """
 
 from __future__ import annotations
@@ -124,6 +125,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(_digests(data, offsets), pa.binary()), lists], ["_id", "_node", "_bands"])
+    common.give_back()
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +136,13 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(_digests(data, offsets), pa.binary()), lists], ["_node", "_cells"])
+    common.give_back()
 
 
-#: A star round is repeated while the pairs across classes are more than this many per bucket row.
+#: A bucket whose pairs across classes are at most this many per member is compared pair by pair;
+#: a larger one by blocks of members inside tasks, which give links but no pairs.
 PAIRS_PER_ROW = 4
-#: Star rounds at most; after them all pairs across classes are compared, however many.
-STAR_ROUNDS = 8
+BLOCK = 512
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,6 +179,51 @@ def _verified(pairs: DataFrame, regions: DataFrame, similarity: float) -> DataFr
     return both.filter(common_ >= similarity * (F.size("ca") + F.size("cb") - common_)).select("a", "b")
 
 
+def _block_links(table: pa.Table, similarity: float) -> pa.Table:
+    """Links between the classes of one block of a bucket: enough of them to join what is joined.
+
+    Exact: the intersections of all pairs are products of 0/1 matrices, over slices of the cells.
+    A member that has too few of its cells in the whole block cannot be linked and is left out.
+    """
+    table = table.combine_chunks()
+    side = table.column("side").to_numpy()
+    node, label = np.array(table.column("node").to_pylist(), object), np.array(table.column("label").to_pylist(), object)
+    lists = [x.values.to_numpy() for x in table.column("_cells")]
+    size = np.array([len(x) for x in lists])
+    rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    out: list[tuple[bytes, bytes]] = []
+    if len(rows) and len(columns):
+        known = np.unique(np.concatenate([lists[c] for c in columns]))
+        at = {r: np.flatnonzero(np.isin(lists[r], known, assume_unique=True)) for r in rows}
+        rows = np.array([r for r in rows if len(at[r]) >= similarity * size[r]], np.int64)
+        cells_ = np.unique(np.concatenate([np.zeros(0, np.int64), *[lists[r][at[r]] for r in rows]]))
+        both = np.zeros((len(rows), len(columns)), np.float32)
+        where = [[(k, cells_.searchsorted(lists[r][np.isin(lists[r], cells_, assume_unique=True)])) for k, r in enumerate(of)] for of in (rows, columns)]
+        flat = [(np.concatenate([np.full(len(p), k) for k, p in w] or [[]]).astype(np.int64), np.concatenate([p for _, p in w] or [[]]).astype(np.int64)) for w in where]
+        for lo in range(0, len(cells_), 2048):
+            sides = []
+            for (member, cell), of in zip(flat, (rows, columns), strict=True):
+                matrix = np.zeros((len(of), 2048), np.float32)
+                inside = (cell >= lo) & (cell < lo + 2048)
+                matrix[member[inside], cell[inside] - lo] = 1
+                sides.append(matrix)
+            both += sides[0] @ sides[1].T
+        near = both >= similarity * (size[rows][:, None] + size[columns][None, :] - both)
+        parent: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for r, c in zip(*np.nonzero(near), strict=True):
+            a, b = find(label[rows[r]]), find(label[columns[c]])
+            if a != b:
+                parent[a] = b
+                out.append((node[rows[r]], node[columns[c]]))
+    return pa.table([pa.array([max(x) for x in out], pa.binary()), pa.array([min(x) for x in out], pa.binary())], names=["a", "b"])
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row per document: id, ``class_id`` (least id of its class), ``class_size``, ``class_texts``.
 
@@ -204,38 +252,48 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     regions = texts.filter("_hit = 1").select("_h", "_text").mapInArrow(_regions, "_node binary, _cells array<bigint>")
     regions = session.stage(regions.join(wanted, "_node", "left_semi").dropDuplicates(["_node"]), "regions")
 
-    none = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    edges, tried, labels = none, none, None
-    for number in range(STAR_ROUNDS + 1):
-        labelled = members
-        if labels is None:
-            labelled = labelled.withColumn("label", F.col("node"))
-        else:
-            labelled = labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        stats = labelled.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(number)), "node")).alias("c")).groupBy("key").agg(
-            F.sum("m").alias("weight"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.count("*").alias("classes"), F.min("c").alias("c"), F.min_by("label", "c").alias("centre_label")
-        )
-        stats = session.stage(stats.filter("classes > 1").select("key", "weight", "inside", F.col("c.node").alias("centre"), "centre_label"), "stars")
-        total = stats.agg(F.sum(F.col("weight") * F.col("weight") - F.col("inside")).alias("pairs"), F.sum("weight").alias("rows")).first()
-        if not total["rows"]:
-            break
-        last = number == STAR_ROUNDS or total["pairs"] <= 2 * PAIRS_PER_ROW * total["rows"]
-        mixed = common.attach(labelled, stats, "key", ["weight", "centre", "centre_label"], weight="weight").filter("centre IS NOT NULL")
-        if last:
-            x, y = (mixed.select("key", F.col("node").alias(p), F.col("label").alias(f"l{p}")) for p in "ab")
-            pairs = x.join(y, "key").filter("la <> lb AND a > b").select("a", "b")
-        else:
-            pairs = mixed.filter("label <> centre_label").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-        pairs = session.stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        linked = session.stage(_verified(pairs, regions, similarity), "links")
-        edges = session.stage(edges.unionByName(linked), "all-links")
-        labels = session.stage(components(edges), "labels")
-        if last:
-            break
-        tried = session.stage(tried.unionByName(pairs), "tried")
+    # Stars: every member is compared with the member of its bucket that shares most with others.
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    stars = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("c"), F.count("*").alias("n"))
+    stars = session.stage(stars.select("key", F.col("c.node").alias("centre"), "n"), "stars")
+    pairs = common.attach(members.select("key", "node"), stars, "key", ["centre", "n"], weight="n").filter("node <> centre")
+    pairs = pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+    linked = session.stage(_verified(pairs, regions, similarity), "links")
+    labels = session.stage(components(linked), "labels")
+
+    # Then across the classes of the buckets that still hold several.
+    labelled = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = session.stage(labelled, "labelled")
+    stats = labelled.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(
+        F.sum("m").alias("weight"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.max(F.struct("m", "label")).alias("main")
+    )
+    stats = session.stage(
+        stats.filter("weight > main.m").select(
+            "key", "weight", F.col("main.label").alias("main"),
+            F.when((F.col("weight") * F.col("weight") - F.col("inside")) > 2 * PAIRS_PER_ROW * F.col("weight"), F.ceil((F.col("weight") - F.col("main.m")) / BLOCK)).otherwise(0).cast("int").alias("blocks"),
+        ),
+        "mixed",
+    )
+    mixed = common.attach(labelled, stats, "key", ["weight", "main", "blocks"], weight="weight").filter("main IS NOT NULL")
+    mixed = session.stage(mixed, "mixed-members")
+    few = mixed.filter("blocks = 0")
+    x, y = (few.select("key", F.col("node").alias(p), F.col("label").alias(f"l{p}")) for p in "ab")
+    pairs = x.join(y, "key").filter("la <> lb AND a > b").select("a", "b").distinct()
+    # A pair across classes has a member outside the bucket's main class: those against all, in blocks.
+    rows_of, columns_of = F.col("blocks"), F.ceil(F.col("weight") / BLOCK).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    many = mixed.filter("blocks > 0")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    left = many.filter("label <> main").select("key", "node", "label", F.lit(0).alias("side"), place(rows_of).alias("i"), spread(columns_of).alias("j"))
+    right = many.select("key", "node", "label", F.lit(1).alias("side"), spread(rows_of).alias("i"), place(columns_of).alias("j"))
+    blocks = left.unionByName(right).join(regions, F.col("node") == F.col("_node")).select("key", "i", "j", "side", "node", "label", "_cells")
+    found = blocks.groupBy("key", "i", "j").applyInArrow(lambda t: _block_links(t, similarity), "a binary, b binary")
+    more = session.stage(_verified(pairs, regions, similarity).unionByName(found.distinct()), "more-links")
+    if not more.isEmpty():
+        labels = session.stage(components(linked.unionByName(more)), "labels")
 
     named = nodes.select(F.col("_node").alias("node"), "_least", "_n")
-    named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("_least").alias("class_id"), F.sum("_n").alias("class_size"), F.count("*").alias("class_texts"))
     grouped = classes.filter("class_size > 1")
     table = session.stage(named.join(grouped, "label").select(F.col("node").alias("_node"), "_n", "class_id", "class_size", "class_texts"), "classes")
