@@ -30,7 +30,9 @@ from siftline import session
 from siftline.llm import common
 
 #: Text bytes whose runs a task holds before it sends them on.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
+#: Text bytes that are hashed at once.
+BLOCK_BYTES = 1 << 19
 #: A null id comes after all others.
 NULL_ID = np.iinfo(np.int64).max
 #: Stretches around an anchor that a run is asked by.
@@ -136,7 +138,7 @@ def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
     size = 0
     for batch in batches:
         ids = batch.column(0).fill_null(NULL_ID).to_numpy(False)
-        for lo, _, data, offsets in common.text_blocks(batch, 1):
+        for lo, _, data, offsets in common.text_blocks(batch, 1, BLOCK_BYTES):
             values, begin = units(data, offsets, shape)
             r = runs(values, begin, shape)
             after = r.anchor + shape.gram
@@ -222,7 +224,7 @@ def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
         marks = batch.column(2)
         out: list[tuple[int, int, bytes]] = []
         sent: list[tuple] = []
-        for lo, hi, data, offsets in common.text_blocks(batch, 1):
+        for lo, hi, data, offsets in common.text_blocks(batch, 1, BLOCK_BYTES):
             values, begin = units(data, offsets, shape)
             r = runs(values, begin, shape)
             code = np.zeros(len(r.doc), np.uint8)

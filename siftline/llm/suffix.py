@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import common, repeats
 
-BYTES = repeats.Shape("byte", 50, 24, 6 << 20)
+BYTES = repeats.Shape("byte", 50, 24, 3 << 19)
 #: Entries that the queues of one sort hold in memory.
 MEMORY = 8_000_000
 _END, _BREAK = 0, 1
@@ -259,6 +259,7 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
             ["_id", "n_bytes", "n_removed", "n_spans", "kept"],
         )
+    common.give_back()
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shape: repeats.Shape = BYTES, memory: int = MEMORY) -> DataFrame:
