@@ -317,7 +317,9 @@ def repeated_windows(docs: DataFrame, id_col: str, text: str, shape: Shape, meth
     answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "_id bigint, marks binary")
     marks = session.stage(answers.groupBy("_id").agg(F.collect_list("marks").alias("marks")), "marks")
     size = marks.agg(F.sum(F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
-    asked = own.join(F.broadcast(marks) if size <= session.BROADCAST_BYTES else marks, "_id")
+    # Marks of bytes are a good part of the text itself: they join by shuffle at every size.
+    small = shape.unit == "word" and size <= session.BROADCAST_BYTES
+    asked = own.join(F.broadcast(marks) if small else marks, "_id")
     details = session.stage(asked.mapInArrow(lambda b: _details(b, shape, buckets), "bucket int, _id bigint, blob binary"), "details")
     compared = details.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _compared(t, shape, method), "_id bigint, blob binary")
     settled = details.filter("bucket < 0").select("_id", "blob").unionByName(compared)
