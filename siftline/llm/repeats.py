@@ -133,12 +133,12 @@ def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(_id, _text) to (bucket, blob): the hashes of all runs, in document order within a blob."""
+    """(_key, _id, _text) to (bucket, blob): the hashes of all runs, in document order within a blob."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
-        ids = batch.column(0).fill_null(NULL_ID).to_numpy(False)
-        for lo, _, data, offsets in common.text_blocks(batch, 1, BLOCK_BYTES):
+        keys, ids = batch.column(0).to_numpy(False), batch.column(1).to_numpy(False)
+        for lo, _, data, offsets in common.text_blocks(batch, 2, BLOCK_BYTES):
             values, begin = units(data, offsets, shape)
             r = runs(values, begin, shape)
             after = r.anchor + shape.gram
@@ -148,7 +148,7 @@ def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
                 code = r.hashes.of(np.maximum(r.anchor - before, 0), np.minimum(after + behind, len(values)))
                 probes[:, j] = np.where(ok, code % np.uint64(255) + np.uint64(1), 0)
             gram = r.gram[r.anchor]
-            held.append((_bucket(gram, buckets), gram.astype(np.uint32), r.hashes.of(r.first, r.last + shape.length), probes, ids[lo + r.doc], (r.first - begin[r.doc]).astype(np.uint32)))
+            held.append((_bucket(gram, buckets), gram.astype(np.uint32), r.hashes.of(r.first, r.last + shape.length), probes, keys[lo + r.doc], ids[lo + r.doc], (r.first - begin[r.doc]).astype(np.uint32)))
             size += len(data)
             if size >= FLUSH_BYTES:
                 yield _sent(held, buckets)
@@ -160,19 +160,19 @@ def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
 
 
 def _sent(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
-    which, gram, content, probes, ids, first = (np.concatenate(x) for x in zip(*held, strict=True))
+    which, gram, content, probes, keys, ids, first = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(which, kind="stable")
     ends = np.searchsorted(which[order], np.arange(buckets + 1))
     rows, blobs = [], []
     for b in range(buckets):
         at = order[ends[b] : ends[b + 1]]
         if len(at):
-            own = ids[at]
+            own = keys[at]
             start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             runs_ = np.diff(np.append(start, len(own))).astype(np.uint32)
             code = content[at]
             rows.append(b)
-            blobs.append(pickle.dumps((gram[at], code.astype(np.uint32), (code >> np.uint64(48)).astype(np.uint16), probes[at], own[start], runs_, first[at]), protocol=5))
+            blobs.append(pickle.dumps((gram[at], code.astype(np.uint32), (code >> np.uint64(48)).astype(np.uint16), probes[at], own[start], ids[at][start], runs_, first[at]), protocol=5))
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
@@ -201,30 +201,30 @@ def _verdicts(gram: np.ndarray, content: np.ndarray, probes: np.ndarray, ids: np
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """One bucket of runs to (_id, marks): places and verdicts of the runs that have one."""
+    """One bucket of runs to (_key, marks): places and verdicts of the runs that have one."""
     parts = [pickle.loads(b) for b in table.column("blob").to_pylist()]
-    gram, low, high, probes, first = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 6))
-    ids = np.concatenate([np.repeat(p[4], p[5]) for p in parts])
+    gram, low, high, probes, first = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 7))
+    keys, ids = (np.concatenate([np.repeat(p[i], p[6]) for p in parts]) for i in (4, 5))
     verdict = _verdicts(gram, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), probes, ids)
     told = np.flatnonzero(verdict)
-    told = told[np.argsort(ids[told], kind="stable")]
-    own = ids[told]
+    told = told[np.argsort(keys[told], kind="stable")]
+    own = keys[told]
     code = first[told] << np.uint32(1) | (verdict[told] - 1).astype(np.uint32)
     start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     ends = (np.append(start, len(own)) * 4).astype(np.int32)
     marks = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code.tobytes())])
     common.give_back()
-    return pa.table([pa.array(own[start]), marks], names=["_id", "marks"])
+    return pa.table([pa.array(own[start]), marks], names=["_key", "marks"])
 
 
 def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(_id, _text, marks) to rows of settled windows (bucket -1, id, spans) and of runs to compare (bucket, blob)."""
+    """(_key, _id, _text, marks) to rows of settled windows (bucket -1, key, spans) and of runs to compare (bucket, blob)."""
     for batch in batches:
-        ids = batch.column(0).fill_null(NULL_ID).to_numpy(False)
-        marks = batch.column(2)
+        keys, ids = batch.column(0).to_numpy(False), batch.column(1).to_numpy(False)
+        marks = batch.column(3)
         out: list[tuple[int, int, bytes]] = []
         sent: list[tuple] = []
-        for lo, hi, data, offsets in common.text_blocks(batch, 1, BLOCK_BYTES):
+        for lo, hi, data, offsets in common.text_blocks(batch, 2, BLOCK_BYTES):
             values, begin = units(data, offsets, shape)
             r = runs(values, begin, shape)
             code = np.zeros(len(r.doc), np.uint8)
@@ -237,16 +237,16 @@ def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
                 done = at[code[at] == 1]
                 if len(done):
                     spans = np.stack([start[done], r.last[done] - begin[r.doc[done]]], 1)
-                    out.append((-1, int(ids[lo + i]), joined(spans).astype(np.uint32).tobytes()))
+                    out.append((-1, int(keys[lo + i]), joined(spans).astype(np.uint32).tobytes()))
             asked = np.flatnonzero(code == 2)
             if len(asked):
                 gram = r.gram[r.anchor[asked]]
                 length = r.last[asked] + shape.length - r.first[asked]
                 place = np.repeat(r.first[asked] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                sent.append((_bucket(gram, buckets), ids[lo + r.doc[asked]], start[asked], length, values[place]))
+                sent.append((_bucket(gram, buckets), keys[lo + r.doc[asked]], ids[lo + r.doc[asked]], start[asked], length, values[place]))
         if sent:
-            which, own, start, length = (np.concatenate([x[i] for x in sent]) for i in range(4))
-            text = np.concatenate([x[4] for x in sent])
+            which, key, own, start, length = (np.concatenate([x[i] for x in sent]) for i in range(5))
+            text = np.concatenate([x[5] for x in sent])
             ends = np.cumsum(length)
             order = np.argsort(which, kind="stable")
             edges = np.searchsorted(which[order], np.arange(buckets + 1))
@@ -254,9 +254,9 @@ def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
                 at = order[edges[b] : edges[b + 1]]
                 if len(at):
                     place = np.repeat(ends[at] - length[at] - (np.cumsum(length[at]) - length[at]), length[at]) + np.arange(length[at].sum())
-                    out.append((b, 0, pickle.dumps((own[at], start[at].astype(np.uint32), length[at].astype(np.uint32), text[place]), protocol=5)))
+                    out.append((b, 0, pickle.dumps((key[at], own[at], start[at].astype(np.uint32), length[at].astype(np.uint32), text[place]), protocol=5)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "_id", "blob"]
+            [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "_key", "blob"]
         )
     common.give_back()
 
@@ -277,13 +277,13 @@ Method = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 def _compared(table: pa.Table, shape: Shape, method: Method) -> pa.Table:
     parts = [pickle.loads(b) for b in table.column("blob").to_pylist()]
-    ids, start, length = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    text = np.concatenate([p[3] for p in parts])
+    keys, ids, start, length = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    text = np.concatenate([p[4] for p in parts])
     begin = np.concatenate([[0], np.cumsum(length.astype(np.int64))])
     flags = method(ids, begin, text, shape.length)
     at = np.flatnonzero(flags)
     segment = np.searchsorted(begin, at, "right") - 1
-    own, place = ids[segment], start[segment].astype(np.int64) + at - begin[segment]
+    own, place = keys[segment], start[segment].astype(np.int64) + at - begin[segment]
     order = np.lexsort((place, own))
     own, place = own[order], place[order]
     edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
@@ -292,40 +292,41 @@ def _compared(table: pa.Table, shape: Shape, method: Method) -> pa.Table:
         blobs.append(joined(np.stack([place[a:b], place[a:b]], 1)).astype(np.uint32).tobytes())
     del parts, text, flags
     common.give_back()
-    return pa.table([pa.array(own[edge], pa.int64()), pa.array(blobs, pa.binary())], names=["_id", "blob"])
+    return pa.table([pa.array(own[edge], pa.int64()), pa.array(blobs, pa.binary())], names=["_key", "blob"])
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text: str, shape: Shape, method: Method) -> tuple[DataFrame, DataFrame]:
-    """(staged ``_id``, ``spans``: ranges of windows that stand in smaller documents; rows to apply them to).
+    """(staged ``_key``, ``spans``: ranges of windows that stand in smaller documents; rows to apply them to).
 
-    The rows are ``_id`` (null as NULL_ID), ``_text``, and ``_copy``, true where the whole text
-    stands in a smaller document.
+    The rows are ``_key``, ``_id`` (null as NULL_ID), ``_text``, and ``_copy``, true where the whole
+    text stands in a smaller document. Marks and spans belong to the ``_key``, a hash of id and text:
+    an id, null above all, may stand on several texts, and tells only which document is smaller.
     """
     common.ship(docs.sparkSession)
     plain = docs.select(
         F.coalesce(common.named(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), common.text_of(text).alias("_text"),
         F.unhex(F.sha2(common.text_of(text), 256)).alias("_sha"),
-    )
+    ).withColumn("_key", F.xxhash64("_id", "_sha"))
     keys = session.stage(plain.select("_id", "_sha", F.octet_length("_text").alias("size")), "digests")
     copies = session.stage(keys.groupBy("_sha").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).filter("_n > 1"), "copied")
     rows = common.attach(plain, copies, "_sha", ["_least", "_n"], weight="_n").select(
-        "_id", "_text", F.coalesce(F.col("_id") > F.col("_least"), F.lit(False)).alias("_copy")
+        "_key", "_id", "_text", F.coalesce(F.col("_id") > F.col("_least"), F.lit(False)).alias("_copy")
     )
     buckets = common.parts(keys.agg(F.sum("size")).first()[0] or 0, shape.bucket_bytes)
-    own = rows.filter("NOT _copy").select("_id", "_text")
+    own = rows.filter("NOT _copy").select("_key", "_id", "_text")
     entries = own.mapInArrow(lambda b: _entries(b, shape, buckets), "bucket int, blob binary")
-    answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "_id bigint, marks binary")
-    marks = session.stage(answers.groupBy("_id").agg(F.collect_list("marks").alias("marks")), "marks")
+    answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "_key bigint, marks binary")
+    marks = session.stage(answers.groupBy("_key").agg(F.collect_list("marks").alias("marks")), "marks")
     size = marks.agg(F.sum(F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     # Marks of bytes are a good part of the text itself: they join by shuffle at every size.
     small = shape.unit == "word" and size <= session.BROADCAST_BYTES
-    asked = own.join(F.broadcast(marks) if small else marks, "_id")
-    details = session.stage(asked.mapInArrow(lambda b: _details(b, shape, buckets), "bucket int, _id bigint, blob binary"), "details")
-    compared = details.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _compared(t, shape, method), "_id bigint, blob binary")
-    settled = details.filter("bucket < 0").select("_id", "blob").unionByName(compared)
-    spans = session.stage(settled.groupBy("_id").agg(F.collect_list("blob").alias("spans")), "spans")
+    asked = own.join(F.broadcast(marks) if small else marks, "_key")
+    details = session.stage(asked.mapInArrow(lambda b: _details(b, shape, buckets), "bucket int, _key bigint, blob binary"), "details")
+    compared = details.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _compared(t, shape, method), "_key bigint, blob binary")
+    settled = details.filter("bucket < 0").select("_key", "blob").unionByName(compared)
+    spans = session.stage(settled.groupBy("_key").agg(F.collect_list("blob").alias("spans")), "spans")
     size = spans.agg(F.sum(F.aggregate("spans", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
-    return spans, rows.join(F.broadcast(spans) if size <= session.BROADCAST_BYTES else spans, "_id", "left")
+    return spans, rows.join(F.broadcast(spans) if size <= session.BROADCAST_BYTES else spans, "_key", "left")
 
 
 def removed(spans: list[bytes] | None, copy: bool, n: int, length: int) -> np.ndarray:

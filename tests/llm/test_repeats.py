@@ -56,6 +56,30 @@ def test_bytes(spark):
     assert suffix.drop_repeats(spark.createDataFrame([], helpers.SCHEMA)).count() == 0
 
 
+def shared_ids(seed=3):
+    """Null ids and one id on several long texts, which share some passages and are new elsewhere."""
+    r = random.Random(seed)
+    body = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passages = [body(30) for _ in range(3)]
+    ids = [1, 2, 3] * 2 + [7] * 5 + [None] * 6
+    texts = [" ".join(body(r.randint(0, 80)) + r.choice(passages) + body(r.randint(0, 80))) for _ in ids]
+    return [(i, t, None, None, None, None, None, None) for i, t in zip(ids, texts)]
+
+
+def test_ids_that_stand_on_several_texts(spark):
+    rows = shared_ids()
+    got = lz.drop_repeats(helpers.frame(spark, rows), shape=repeats.Shape("word", 20, 4, 4096)).collect()
+    want = []
+    for (i, text), gone in brute(rows, helpers.words, 20).items():
+        want.append((i, len(gone), int(gone.sum()), " ".join(w for w, g in zip(helpers.words(text), gone) if not g)))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    got = suffix.drop_repeats(helpers.frame(spark, rows), shape=repeats.Shape("byte", 50, 24, 4096)).collect()
+    want = []
+    for (i, text), gone in brute(rows, lambda t: list(t.encode()), 50).items():
+        want.append((i, len(gone), int(gone.sum()), np.frombuffer(text.encode(), np.uint8)[~gone].tobytes()))
+    assert sorted(repr((*r[:3], bytes(r[4]))) for r in map(tuple, got)) == sorted(map(repr, want))
+
+
 def test_suffix_array_in_memory_and_on_disk(tmp_path):
     for seed in range(120):
         r = random.Random(seed)
