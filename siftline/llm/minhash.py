@@ -179,6 +179,18 @@ def _verified(pairs: DataFrame, regions: DataFrame, similarity: float) -> DataFr
     return both.filter(common_ >= similarity * (F.size("ca") + F.size("cb") - common_)).select("a", "b")
 
 
+def _few_pairs(few: DataFrame) -> DataFrame:
+    """Pairs across the classes of a bucket: members outside its main class (``main``) with all members.
+
+    No class is larger than the main one, so the join walks at most twice the pairs across classes;
+    the main class is never joined with itself.
+    """
+    x = few.filter("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+    y = few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
+    across = x.join(y, "key").filter("lx <> ly")
+    return across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def _block_links(table: pa.Table, similarity: float) -> pa.Table:
     """Links between the classes of one block of a bucket: enough of them to join what is joined.
 
@@ -276,10 +288,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     )
     mixed = common.attach(labelled, stats, "key", ["weight", "main", "blocks"], weight="weight").filter("main IS NOT NULL")
     mixed = session.stage(mixed, "mixed-members")
-    few = mixed.filter("blocks = 0")
-    x, y = (few.select("key", F.col("node").alias(p), F.col("label").alias(f"l{p}")) for p in "ab")
-    pairs = x.join(y, "key").filter("la <> lb AND a > b").select("a", "b").distinct()
-    # A pair across classes has a member outside the bucket's main class: those against all, in blocks.
+    # A pair across classes has a member outside the bucket's main class: those against all, here and in blocks.
+    pairs = _few_pairs(mixed.filter("blocks = 0"))
     rows_of, columns_of = F.col("blocks"), F.ceil(F.col("weight") / BLOCK).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     many = mixed.filter("blocks > 0")

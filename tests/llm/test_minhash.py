@@ -1,8 +1,10 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import helpers
 import pytest
+from pyspark.sql import functions as F
 
 from siftline import session
 from siftline.llm import minhash
@@ -63,3 +65,23 @@ def test_drop_and_empty(spark, monkeypatch):
     stays = {i for (i, c, _) in brute(rows) if i == c or i is None}
     assert {r["doc_id"] for r in left.collect()} == stays
     assert minhash.near_copies(spark.createDataFrame([], helpers.SCHEMA)).count() == 0
+
+
+def test_a_large_class_with_one_outsider_is_not_joined_with_itself(spark):
+    n = 100_000  # the class with itself: 1e10 rows
+    name = F.format_string("%08d", "id").cast("binary")
+    few = spark.range(n + 1).select(
+        F.lit(5).cast("long").alias("key"), name.alias("node"), F.when(F.col("id") == 70_000, F.lit("out")).otherwise(F.lit("main")).cast("binary").alias("label"), F.lit("main").cast("binary").alias("main")
+    )
+    start = time.monotonic()
+    pairs = minhash._few_pairs(few)
+    got = pairs.agg(F.count("*"), F.sum((F.col("a") > F.col("b")).cast("int")), F.sum(((F.col("a") == b"00070000") | (F.col("b") == b"00070000")).cast("int"))).first()
+    assert tuple(got) == (n, n, n)
+    assert time.monotonic() - start < 40
+
+
+def test_pairs_across_several_classes(spark):
+    rows = [(k, f"{k}{i}".encode(), label.encode(), b"m") for k in (1, 2) for i, label in enumerate("mmmmaabc")]
+    got = minhash._few_pairs(spark.createDataFrame(rows, "key long, node binary, label binary, main binary")).collect()
+    want = {(max(x, y), min(x, y)) for k, x, p, _ in rows for j, y, q, _ in rows if k == j and p != q}
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == want and len(got) == len(want)
