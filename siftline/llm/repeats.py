@@ -12,6 +12,10 @@ are a run. Runs meet by anchor in buckets, whose number follows the size of the
    where the operator's own method (suffix sorting, or relative Lempel-Ziv parsing) finds the
    shared windows.
 
+Anchors with many runs are counted beforehand. Their runs do not meet in a bucket: whole runs, and
+then the windows of those that are not settled, find their smallest document by their hashes, with
+map-side minima and a join that spreads frequent hashes, so no anchor gathers in one task.
+
 Texts that are copies as a whole are settled beforehand by their digests.
 """
 
@@ -37,6 +41,11 @@ BLOCK_BYTES = 1 << 19
 NULL_ID = np.iinfo(np.int64).max
 #: Stretches around an anchor that a run is asked by.
 PROBES = 4
+#: An anchor with more runs than this is hot; in one task's FLUSH_BYTES, fewer than SEEN are not counted.
+HOT = 2000
+SEEN = 8
+#: The most anchors that are hot: those with most runs.
+MOST_HOT = 100_000
 _PLACE = np.uint64((1 << 27) - 1)
 
 
@@ -132,8 +141,90 @@ def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(_key, _id, _text) to (bucket, blob): the hashes of all runs, in document order within a blob."""
+def _counted(batches: Iterator[pa.RecordBatch], shape: Shape, least: int) -> Iterator[pa.RecordBatch]:
+    """(_key, _id, _text) to (gram, n): anchors that have ``least`` runs or more within FLUSH_BYTES."""
+
+    def told() -> pa.RecordBatch:
+        gram, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(gram[n >= least].view(np.int64)), pa.array(n[n >= least])], ["gram", "n"])
+
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for _, _, data, offsets in common.text_blocks(batch, 2, BLOCK_BYTES):
+            r = runs(*units(data, offsets, shape), shape)
+            held.append(r.gram[r.anchor])
+            size += len(data)
+            if size >= FLUSH_BYTES:
+                yield told()
+                held, size = [], 0
+    if held:
+        yield told()
+    common.give_back()
+
+
+def _hot(gram: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which anchors are among the sorted hot ones."""
+    return hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram if len(hot) else np.zeros(len(gram), bool)
+
+
+def _codes(gram: np.ndarray, content: np.ndarray) -> pa.Array:
+    """16 bytes for each run or window: of its anchor and of its units."""
+    data = np.stack([gram, content], 1)
+    return pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.arange(0, 16 * len(gram) + 1, 16, dtype=np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _hot_runs(batches: Iterator[pa.RecordBatch], shape: Shape, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(_key, _id, _text) to (_key, _id, place, code): the runs of hot anchors."""
+    for batch in batches:
+        keys, ids = batch.column(0).to_numpy(False), batch.column(1).to_numpy(False)
+        for lo, _, data, offsets in common.text_blocks(batch, 2, BLOCK_BYTES):
+            values, begin = units(data, offsets, shape)
+            r = runs(values, begin, shape)
+            gram = r.gram[r.anchor]
+            at = np.flatnonzero(_hot(gram, hot))
+            doc, content = r.doc[at], r.hashes.of(r.first[at], r.last[at] + shape.length)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[lo + doc]), pa.array(ids[lo + doc]), pa.array(r.first[at] - begin[doc]), _codes(gram[at], content)], ["_key", "_id", "place", "code"]
+            )
+    common.give_back()
+
+
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(blob) to (_key, _id, place, code): the windows of runs of hot anchors."""
+    for batch in batches:
+        for blob in batch.column(0):
+            keys, ids, start, count, gram, content = pickle.loads(blob.as_py())
+            place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(keys, count)), pa.array(np.repeat(ids, count)), pa.array(place), _codes(np.repeat(gram, count), content)], ["_key", "_id", "place", "code"]
+            )
+    common.give_back()
+
+
+def _smallest(rows: DataFrame, tag: str) -> DataFrame:
+    """The rows (_key, _id, place, code) with ``least``, the smallest document of a code that several have."""
+    found = rows.groupBy("code").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count("*").alias("n")).filter("most > least")
+    return common.attach(rows, session.stage(found.select("code", "least", "n"), tag), "code", ["least"], weight="n")
+
+
+def _hot_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_key, place, settled) of runs to (_key, marks)."""
+    for batch in batches:
+        keys, place, settled = (batch.column(i).to_numpy(False) for i in range(3))
+        yield _marks(keys, place, np.where(settled, 1, 2)).to_batches()[0]
+    common.give_back()
+
+
+def _hot_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_key, place) of repeated windows to (_key, blob)."""
+    for batch in batches:
+        yield _spans(batch.column(0).to_numpy(False), batch.column(1).to_numpy(False)).to_batches()[0]
+    common.give_back()
+
+
+def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(_key, _id, _text) to (bucket, blob): the hashes of all runs but those of hot anchors, in document order within a blob."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
@@ -148,7 +239,9 @@ def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
                 code = r.hashes.of(np.maximum(r.anchor - before, 0), np.minimum(after + behind, len(values)))
                 probes[:, j] = np.where(ok, code % np.uint64(255) + np.uint64(1), 0)
             gram = r.gram[r.anchor]
-            held.append((_bucket(gram, buckets), gram.astype(np.uint32), r.hashes.of(r.first, r.last + shape.length), probes, keys[lo + r.doc], ids[lo + r.doc], (r.first - begin[r.doc]).astype(np.uint32)))
+            entry = (_bucket(gram, buckets), gram.astype(np.uint32), r.hashes.of(r.first, r.last + shape.length), probes, keys[lo + r.doc], ids[lo + r.doc], (r.first - begin[r.doc]).astype(np.uint32))
+            cold = ~_hot(gram, hot)
+            held.append(entry if cold.all() else tuple(x[cold] for x in entry))
             size += len(data)
             if size >= FLUSH_BYTES:
                 yield _sent(held, buckets)
@@ -207,18 +300,24 @@ def _answers(table: pa.Table) -> pa.Table:
     keys, ids = (np.concatenate([np.repeat(p[i], p[6]) for p in parts]) for i in (4, 5))
     verdict = _verdicts(gram, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), probes, ids)
     told = np.flatnonzero(verdict)
-    told = told[np.argsort(keys[told], kind="stable")]
-    own = keys[told]
-    code = first[told] << np.uint32(1) | (verdict[told] - 1).astype(np.uint32)
+    marks = _marks(keys[told], first[told], verdict[told])
+    common.give_back()
+    return marks
+
+
+def _marks(keys: np.ndarray, first: np.ndarray, verdict: np.ndarray) -> pa.Table:
+    """(_key, marks): the places and verdicts of each key's runs."""
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    code = first[order].astype(np.uint32) << np.uint32(1) | (verdict[order] - 1).astype(np.uint32)
     start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     ends = (np.append(start, len(own)) * 4).astype(np.int32)
     marks = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code.tobytes())])
-    common.give_back()
-    return pa.table([pa.array(own[start]), marks], names=["_key", "marks"])
+    return pa.table([pa.array(own[start], pa.int64()), marks], names=["_key", "marks"])
 
 
-def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(_key, _id, _text, marks) to rows of settled windows (bucket -1, key, spans) and of runs to compare (bucket, blob)."""
+def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(_key, _id, _text, marks) to rows of settled windows (bucket -1, key, spans), of runs to compare (bucket, blob), and hot ones (bucket -2, blob)."""
     for batch in batches:
         keys, ids = batch.column(0).to_numpy(False), batch.column(1).to_numpy(False)
         marks = batch.column(3)
@@ -239,6 +338,12 @@ def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> I
                     spans = np.stack([start[done], r.last[done] - begin[r.doc[done]]], 1)
                     out.append((-1, int(keys[lo + i]), joined(spans).astype(np.uint32).tobytes()))
             asked = np.flatnonzero(code == 2)
+            split = _hot(r.gram[r.anchor[asked]], hot)
+            if split.any():
+                at, asked = asked[split], asked[~split]
+                count = r.last[at] - r.first[at] + 1
+                window = np.repeat(r.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                out.append((-2, 0, pickle.dumps((keys[lo + r.doc[at]], ids[lo + r.doc[at]], start[at], count, r.gram[r.anchor[at]], r.hashes.of(window, window + shape.length)), protocol=5)))
             if len(asked):
                 gram = r.gram[r.anchor[asked]]
                 length = r.last[asked] + shape.length - r.first[asked]
@@ -284,14 +389,20 @@ def _compared(table: pa.Table, shape: Shape, method: Method) -> pa.Table:
     at = np.flatnonzero(flags)
     segment = np.searchsorted(begin, at, "right") - 1
     own, place = keys[segment], start[segment].astype(np.int64) + at - begin[segment]
+    spans = _spans(own, place)
+    del parts, text, flags
+    common.give_back()
+    return spans
+
+
+def _spans(own: np.ndarray, place: np.ndarray) -> pa.Table:
+    """(_key, blob): ranges of each key's windows."""
     order = np.lexsort((place, own))
     own, place = own[order], place[order]
     edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     blobs = []
     for a, b in zip(edge, np.append(edge, len(own))[1:], strict=True):
         blobs.append(joined(np.stack([place[a:b], place[a:b]], 1)).astype(np.uint32).tobytes())
-    del parts, text, flags
-    common.give_back()
     return pa.table([pa.array(own[edge], pa.int64()), pa.array(blobs, pa.binary())], names=["_key", "blob"])
 
 
@@ -314,16 +425,28 @@ def repeated_windows(docs: DataFrame, id_col: str, text: str, shape: Shape, meth
     )
     buckets = common.parts(keys.agg(F.sum("size")).first()[0] or 0, shape.bucket_bytes)
     own = rows.filter("NOT _copy").select("_key", "_id", "_text")
-    entries = own.mapInArrow(lambda b: _entries(b, shape, buckets), "bucket int, blob binary")
+    least = min(SEEN, HOT)
+    often = own.mapInArrow(lambda b: _counted(b, shape, least), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    often = often.filter(F.col("n") > HOT).orderBy(F.desc("n"), "gram").limit(MOST_HOT).collect()
+    hot = np.sort(np.array([x["gram"] for x in often], np.int64).view(np.uint64))
+    entries = own.mapInArrow(lambda b: _entries(b, shape, buckets, hot), "bucket int, blob binary")
     answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "_key bigint, marks binary")
+    placed = "_key bigint, _id bigint, place bigint, code binary"
+    if len(hot):
+        found = _smallest(session.stage(own.mapInArrow(lambda b: _hot_runs(b, shape, hot), placed), "hot-runs"), "hot-equal-runs")
+        settled = F.coalesce(F.col("least") < F.col("_id"), F.lit(False)).alias("settled")
+        answers = answers.unionByName(found.select("_key", "place", settled).mapInArrow(_hot_marks, "_key bigint, marks binary"))
     marks = session.stage(answers.groupBy("_key").agg(F.collect_list("marks").alias("marks")), "marks")
     size = marks.agg(F.sum(F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     # Marks of bytes are a good part of the text itself: they join by shuffle at every size.
     small = shape.unit == "word" and size <= session.BROADCAST_BYTES
     asked = own.join(F.broadcast(marks) if small else marks, "_key")
-    details = session.stage(asked.mapInArrow(lambda b: _details(b, shape, buckets), "bucket int, _key bigint, blob binary"), "details")
+    details = session.stage(asked.mapInArrow(lambda b: _details(b, shape, buckets, hot), "bucket int, _key bigint, blob binary"), "details")
     compared = details.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _compared(t, shape, method), "_key bigint, blob binary")
-    settled = details.filter("bucket < 0").select("_key", "blob").unionByName(compared)
+    settled = details.filter("bucket = -1").select("_key", "blob").unionByName(compared)
+    if len(hot):
+        found = _smallest(details.filter("bucket = -2").select("blob").mapInArrow(_hot_windows, placed), "hot-equal-windows")
+        settled = settled.unionByName(found.filter("least < _id").select("_key", "place").mapInArrow(_hot_spans, "_key bigint, blob binary"))
     spans = session.stage(settled.groupBy("_key").agg(F.collect_list("blob").alias("spans")), "spans")
     size = spans.agg(F.sum(F.aggregate("spans", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     return spans, rows.join(F.broadcast(spans) if size <= session.BROADCAST_BYTES else spans, "_key", "left")

@@ -1,5 +1,7 @@
 import functools
+import pickle
 import random
+from collections import Counter
 
 import helpers
 import numpy as np
@@ -80,6 +82,39 @@ def test_ids_that_stand_on_several_texts(spark):
     assert sorted(repr((*r[:3], bytes(r[4]))) for r in map(tuple, got)) == sorted(map(repr, want))
 
 
+def test_a_hot_anchor_does_not_meet_in_one_bucket(spark, monkeypatch):
+    """A passage of all documents in different surroundings: same results, no bucket gets its runs."""
+    monkeypatch.setattr(repeats, "HOT", 30)
+    sizes = []
+    grouped = type(spark.range(1).groupBy("id"))
+    plain = grouped.applyInArrow
+
+    def counting(self, function, schema):
+        blobs = self._df.select("blob").collect()
+        # Entries and details tell the key of each document (or run) of a bucket's blob.
+        parts = [pickle.loads(x.blob) for x in blobs]
+        grams = [g for q in parts if len(q) == 8 for g in q[0].tolist()]
+        sizes.append(max(Counter(grams).values(), default=0))
+        return plain(self, function, schema)
+
+    monkeypatch.setattr(grouped, "applyInArrow", counting)
+    r = random.Random(8)
+    passage = [f"p{r.randrange(10**6)}" for _ in range(40)]
+    rows = []
+    for i in range(120):
+        text = [f"w{r.randrange(10**6)}" for _ in range(20)] + passage + [f"w{r.randrange(10**6)}" for _ in range(20)]
+        if i % 10 == 0 and rows:
+            text[:25] = rows[-1][1].split()[:25]  # a part of the surroundings, too
+        rows.append((r.choice([i, i, i, None, 7]), " ".join(text), None, None, None, None, None, None))
+    for method, shape, cut, columns in (
+        (lz, repeats.Shape("word", 20, 4, 1 << 20), helpers.words, 3), (suffix, repeats.Shape("byte", 50, 24, 1 << 20), lambda t: list(t.encode()), 3)
+    ):
+        got = method.drop_repeats(helpers.frame(spark, rows), shape=shape).collect()
+        want = [(i, len(g), int(g.sum())) for (i, _), g in brute(rows, cut, shape.length).items()]
+        assert sorted(repr(tuple(x[:columns])) for x in got) == sorted(map(repr, want))
+    assert sizes and max(sizes) <= 30 + repeats.SEEN * 3
+
+
 def test_suffix_array_in_memory_and_on_disk(tmp_path):
     for seed in range(120):
         r = random.Random(seed)
