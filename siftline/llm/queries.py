@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, classifier, exact, lm, lz, minhash, mixing, quality_rules, suffix, token_counts
+from siftline.llm import bpe, classifier, exact, lm, lz, minhash, mixing, quality_rules, sentences, suffix, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,6 +86,15 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    coded = sentences.encode(docs, PIECE_FILE, decoded="decoded")
+    return coded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.joined(F.col("token_ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,6 +106,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_lz_substring_dedup": op9_lz_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
