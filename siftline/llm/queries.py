@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, classifier, exact, lm, lz, minhash, mixing, quality_rules, sentences, suffix, token_counts
+from siftline.llm import bpe, classifier, divergence, exact, lm, lz, minhash, mixing, quality_rules, sentences, suffix, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,6 +95,10 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -107,6 +111,7 @@ QUERIES = {
     "op9_lz_substring_dedup": op9_lz_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -155,4 +160,18 @@ w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM
 j AS (SELECT w.doc_id, count(*) AS n_words, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (gone.p IS NULL) AS kept
   FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p GROUP BY w.doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)""",
+    "op12_source_divergence": rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '{divergence.TERM}') AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS MATERIALIZED (SELECT row, lang, source, unnest(ts) AS t FROM d),
+k AS MATERIALIZED (SELECT lang, t FROM w GROUP BY lang, t HAVING count(DISTINCT row) >= 30),
+v AS (SELECT lang, count(*) AS terms FROM k GROUP BY lang),
+c AS (SELECT lang, source, t, count(*) AS n FROM w JOIN k USING (lang, t) GROUP BY lang, source, t),
+f AS MATERIALIZED (SELECT lang, source, t, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) + 5 * terms) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, t)),
+a AS (SELECT lang, t, 1 + 1000000000::HUGEINT * (sum(n) + 5) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM f GROUP BY lang, t),
+r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, (SELECT coalesce(sum(abs(x.p - y.p)), 0) FROM f x JOIN f y USING (lang, t) WHERE x.lang = g.lang AND x.source = g.source AND y.source = h.source) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+  UNION ALL SELECT lang, source, 'term', t, p - q FROM f JOIN a USING (lang, t) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
 }
