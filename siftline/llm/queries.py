@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe, classifier, divergence, exact, lm, lz, minhash, mixing, quality_rules, sentences, suffix, token_counts
+from siftline.llm import bpe, classifier, divergence, exact, lm, lz, minhash, mixing, negatives, quality_rules, sentences, suffix, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -99,6 +99,10 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(_table(spark, folder, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -112,6 +116,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -174,4 +179,14 @@ r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, (SELECT coalesc
   FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
   UNION ALL SELECT lang, source, 'term', t, p - q FROM f JOIN a USING (lang, t) WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
+    "op13_hard_negatives": """WITH e AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.row, a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.row <> c.row WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.row, p.k, p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.row, p.k ORDER BY s.score DESC, s.id) AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.row = p.row AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }

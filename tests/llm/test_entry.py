@@ -7,7 +7,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     names = __spark_entry__.queries()
-    for n in range(1, 12):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
 
