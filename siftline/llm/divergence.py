@@ -24,6 +24,8 @@ from siftline.llm import common
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes folded: A-Z to a-z, what is no part of a term to a space.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 SCALE, SMOOTH = 1_000_000_000, 5
 #: Terms that one vectorizer may hold (its vocabulary is sent to the driver and to every task);
 #: a corpus with more of them is vectorized in slices of the terms, each by a model of its own.
@@ -31,16 +33,29 @@ MODEL_TERMS = 4_000_000
 #: One term in so many is counted beforehand, to know how many slices there must be.
 PROBE = 64
 #: Entries (source, term) that one task evaluates at once.
-BLOCK_ENTRIES = 400_000
+BLOCK_ENTRIES = 100_000
 _END = "\x00"
 
 
-def _tokens(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+def _terms_of(distinct: bool):
+    def column(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for langs, texts in batches:
+            rows = []
+            for lang, text in zip(langs.to_pylist(), texts.cast(pa.binary()).to_pylist(), strict=True):
+                front = lang.encode("utf-8") + b"\x00"
+                # Only ASCII parts terms, so a text can be folded and split as bytes.
+                terms = text.translate(_FOLD).split()
+                rows.append([front + t for t in (set(terms) if distinct else terms)])
+            yield pa.array(rows, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+        common.give_back()
+
+    return column
+
+
+def _tokens(docs: DataFrame, text: str, lang: str, source: str, distinct: bool = False) -> DataFrame:
     """(lang, source, tokens): every term of a document, its language in front of it."""
-    plain = F.regexp_extract_all(F.translate(common.text_of(text), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = docs.select(common.text_of(lang).alias("lang"), common.text_of(source).alias("source"), plain.alias("plain"))
-    prefix = F.concat("lang", F.lit(_END))
-    return rows.select("lang", "source", F.transform("plain", lambda t: F.concat(prefix, t)).alias("tokens"))
+    rows = docs.select(common.text_of(lang).alias("lang"), common.text_of(source).alias("source"), common.text_of(text).alias("text"))
+    return rows.select("lang", "source", F.arrow_udf(_terms_of(distinct), "array<string>")("lang", "text").alias("tokens"))
 
 
 def _in_slice(tokens: DataFrame, i: int, n: int) -> DataFrame:
@@ -50,8 +65,8 @@ def _in_slice(tokens: DataFrame, i: int, n: int) -> DataFrame:
 
 
 def _slices(tokens: DataFrame, least: int) -> int:
-    """Enough slices of the terms that a model stays below ``MODEL_TERMS``."""
-    probe = F.array_distinct(F.filter("tokens", lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(PROBE)) == 0))
+    """Enough slices of the terms that a model stays below ``MODEL_TERMS``; from distinct tokens."""
+    probe = F.filter("tokens", lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(PROBE)) == 0)
     kept = tokens.select(F.explode(probe).alias("t")).groupBy("t").count().filter(F.col("count") >= least).count()
     return common.parts(2 * PROBE * kept, MODEL_TERMS)
 
@@ -62,16 +77,18 @@ def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str
     A term is kept when at least ``least`` documents of its language have it.
     """
     spark = docs.sparkSession
+    common.ship(spark)
+    once = _tokens(docs, text, lang, source, distinct=True)
     tokens = _tokens(docs, text, lang, source)
-    slices = _slices(tokens, least)
+    slices = _slices(once, least)
     vocabulary = session.stage(spark.createDataFrame([], "index long, lang string, term string"), "vocabulary")
     counts = session.stage(spark.createDataFrame([], "index long, lang string, source string, n long"), "term-counts")
     base = 0
     for i in range(slices):
-        part = _in_slice(tokens, i, slices)
+        # Which terms are kept follows from the documents that have them, so each term once is enough to fit.
         maker = CountVectorizer(inputCol="tokens", outputCol="vector", minDF=float(least), vocabSize=2**31 - 1)
         try:
-            fitted = maker.fit(part)
+            fitted = maker.fit(_in_slice(once, i, slices))
         except IllegalArgumentException as error:  # the vectorizer refuses an empty vocabulary
             if "vocabulary size" not in str(error):
                 raise
@@ -82,7 +99,7 @@ def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str
         cut = F.length(token) - F.length(F.substring_index(token, _END, -1))
         named = spark.createDataFrame(table).select("index", F.substring(token, F.lit(1), cut - 1).alias("lang"), F.substring_index(token, _END, -1).alias("term"))
         vocabulary = vocabulary.unionByName(session.stage(named, "vocabulary"))
-        vector = fitted.transform(part).select("lang", "source", F.unwrap_udt("vector").alias("v"))
+        vector = fitted.transform(_in_slice(tokens, i, slices)).select("lang", "source", F.unwrap_udt("vector").alias("v"))
         entries = vector.select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))))
         sums = entries.groupBy("lang", "source", "i").agg(F.sum(F.col("x").cast("long")).alias("n"))
         counts = counts.unionByName(session.stage(sums.select((F.col("i") + F.lit(base)).cast("long").alias("index"), "lang", "source", "n"), "term-counts"))
