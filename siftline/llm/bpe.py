@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from siftline.llm import common
 
-#: Pieces that a worker remembers with their ids; the memory starts anew when it is full.
-REMEMBERED = 120_000
+#: Pieces of a generation of memory; a worker remembers two of them.
+REMEMBERED = 200_000
 
 
 class PerfectHash:
@@ -117,38 +118,70 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts one by one; ids of recent pieces are remembered."""
+    """Encodes texts; the ids of recent pieces are remembered, those not seen for a generation forgotten."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.find = regex.compile(vocabulary.pattern).findall
-        self.seen: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         raw = [p.encode("utf-8") for p in pieces]
         for piece, data, one in zip(pieces, raw, self.vocabulary.known(raw), strict=True):
-            self.seen[piece] = [one] if one is not None else self.vocabulary.merged(data)
+            self.young[piece] = (one,) if one is not None else tuple(self.vocabulary.merged(data))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. New pieces of all of them are looked up together."""
         pieces = [self.find(t) for t in texts]
         distinct = set().union(*pieces)
-        new = distinct.difference(self.seen)
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen, new = {}, distinct
-        self.learn(list(new))
-        find = self.seen.__getitem__
+        new = distinct.difference(self.young)
+        if len(self.young) + len(new) > REMEMBERED:
+            self.young, self.old, new = {}, self.young, distinct
+        old = self.old
+        self.young.update((p, old[p]) for p in new if p in old)
+        self._learn([p for p in new if p not in old])
+        find = self.young.__getitem__
         return [np.fromiter(itertools.chain.from_iterable(map(find, p)), np.int32) for p in pieces]
 
 
-_vocabularies: dict[tuple[str, str], Vocabulary] = {}
+class Decoder:
+    """The bytes of all tokens, one after the other, and where each token's are."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = np.full(max(ranks.values(), default=0) + 1, -1, np.int64)
+        by_id = sorted((i, token) for token, i in ranks.items())
+        self.size[[i for i, _ in by_id]] = [len(token) for _, token in by_id]
+        self.data = np.frombuffer(b"".join(token for _, token in by_id) or b" ", np.uint8)
+        self.start = np.cumsum(np.maximum(self.size, 0)) - self.size
 
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    """Read once per process; the file is installed on every machine and never changes."""
-    if (path, pattern) not in _vocabularies:
-        _vocabularies[path, pattern] = Vocabulary(read_ranks(path), pattern)
-    return _vocabularies[path, pattern]
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes of each id list, of which ``counts`` gives the lengths."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or self.size[ids].min() < 0):
+            raise ValueError("an id is not in the vocabulary")
+        size = self.size[ids]
+        total = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(self.start[ids] - total[:-1], size) + np.arange(total[-1])]
+        offsets = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+        return whole.cast(pa.binary())
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+_decoders: dict[str, Decoder] = {}
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    """One per process; the file is installed on every machine and never changes."""
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = Encoder(Vocabulary(read_ranks(path), pattern))
+    return _encoders[path, pattern]
+
+
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(read_ranks(path))
+    return _decoders[path]
 
 
 def _chunks(texts: pa.Array, most: int = 1 << 18) -> Iterator[list[str]]:
@@ -165,35 +198,52 @@ def _chunks(texts: pa.Array, most: int = 1 << 18) -> Iterator[list[str]]:
         yield held
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """The rows with an array of token ids of their text (a null text counts as empty: no ids).
 
-    No special tokens; pieces are encoded one by one. Documents of any length are taken whole.
-    A column that is called like ``out`` is replaced; rows and other columns stay as they are.
+    With ``decoded``, a column of that name has the bytes that the ids give back, worked out from the
+    ids in the same pass. No special tokens; pieces are encoded one by one. Documents of any length are
+    taken whole, repeated rows stay, an empty table gives an empty one. Columns called like ``out`` or
+    ``decoded`` are replaced; rows and other columns stay as they are.
     """
 
     common.ship(docs.sparkSession)
+    kind = "array<int>" if decoded is None else "struct<ids:array<int>,bytes:binary>"
 
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(vocabulary(path, pattern))
+        coder = encoder(path, pattern)
         for batch in batches:
-            ids = [one for texts in _chunks(batch) for one in encoder.encode(texts)]
-            offsets = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
-            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            each = [one for texts in _chunks(batch) for one in coder.encode(texts)]
+            counts = np.array([len(one) for one in each], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int32), *each])
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+            if decoded is None:
+                yield ids
+            else:
+                yield pa.StructArray.from_arrays([ids, decoder(path).decode(flat, counts)], ["ids", "bytes"])
         common.give_back()
 
-    return docs.withColumn(out, F.arrow_udf(column, "array<int>")(common.text_of(text)))
+    coded = F.arrow_udf(column, kind)(common.text_of(text))
+    if decoded is None:
+        return docs.withColumn(out, coded)
+    own = f"_{out}_{decoded}"
+    kept = [common.named(c) for c in docs.columns if c not in (out, decoded)]
+    return docs.withColumn(own, coded).select(*kept, F.col(f"`{own}`.ids").alias(out), F.col(f"`{own}`.bytes").alias(decoded))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """The rows with the bytes of their ids (null for a null array). An unknown id fails the job."""
+    """The rows with the bytes of their ids (null for a null array). An unknown or null id fails the job."""
 
     common.ship(rows.sparkSession)
 
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        find = {rank: piece for piece, rank in read_ranks(path).items()}.__getitem__
         for batch in batches:
-            yield pa.array((None if one.values is None else b"".join(map(find, one.values.to_numpy(False).tolist())) for one in batch), pa.binary())
+            counts = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.flatten()
+            if flat.null_count:
+                raise ValueError("an id is null")
+            found = decoder(path).decode(flat.to_numpy(zero_copy_only=False), counts)
+            yield pc.if_else(batch.is_null(), pa.scalar(None, pa.binary()), found) if batch.null_count else found
         common.give_back()
 
     return rows.withColumn(out, F.arrow_udf(column, "binary")(common.named(ids)))

@@ -64,8 +64,7 @@ BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), BPE_FILE, public_tokenizers.PATTERN)
-    coded = bpe.decode(coded, BPE_FILE)
+    coded = bpe.encode(_table(spark, folder, "documents").select("doc_id", "text"), BPE_FILE, public_tokenizers.PATTERN, decoded="decoded")
     return coded.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(bpe.joined(F.col("token_ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

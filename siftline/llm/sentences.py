@@ -391,8 +391,10 @@ def decode(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "decod
         m = model(path)
         for batch in batches:
             counts = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.flatten().to_numpy(zero_copy_only=False)
-            texts = m.decode(flat.astype(np.int64), counts)
+            flat = batch.flatten()
+            if flat.null_count:
+                raise ValueError("an id is null")
+            texts = m.decode(flat.to_numpy(zero_copy_only=False), counts)
             yield pc.if_else(batch.is_null(), pa.scalar(None, pa.string()), texts) if batch.null_count else texts
         common.give_back()
 
