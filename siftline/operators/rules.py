@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import session
-from siftline.functions import fixed, formula, values
+from siftline.functions import fixed, formula, guarded, values
 from siftline.operators import checks, constraints
 
 #: Up to this many rules are compiled into one projection; more are evaluated as arrays. Results are equal.
 INLINE_RULES = 200
+#: A table with more predicate rules is refused: they all become part of one plan.
+MOST_RULES = 20_000
 CATEGORY = "Business Rule Errors"
 
 
@@ -43,7 +45,8 @@ def rules_from_table(rules: DataFrame) -> list[Rule]:
         return (F.col(name).cast("string") if name in rules.columns else F.lit(None).cast("string")).alias(name)
 
     # Predicates become part of the plan, so all of them come to the driver.
-    rows = rules.select(*[optional(n) for n in ("rule_name", "predicate", "message", "field", "active")]).collect()
+    named = rules.select(*[optional(n) for n in ("rule_name", "predicate", "message", "field", "active")])
+    rows = session.bounded_collect(named, MOST_RULES, "rules")
     out = []
     for i, r in enumerate(rows):
         names = [f.strip() for f in (r["field"] or "").split(",") if f.strip()] or ["Id"]
@@ -69,31 +72,58 @@ def with_unique_names(rules: list[Rule]) -> list[Rule]:
     return out
 
 
-def formula_failed(df: DataFrame, rule: Rule) -> Column:
-    """True where the row breaks the rule.
-
-    A rule on a column the frame lacks, and one whose predicate cannot be parsed or
-    analysed, fails every row; a null condition is no error. ``df`` gives the columns
-    only: pass an empty frame of the same schema to keep the analysis small.
-    """
-    if any(name not in df.columns for name in rule.fields):
-        return F.lit(True)
+def _unusable(empty: DataFrame, conditions: list[Column]) -> set[int]:
+    """Places of the conditions that cannot be parsed or analysed: halves are tried, not each alone."""
+    if not conditions:
+        return set()
     try:
-        condition = F.expr(rule.predicate) if isinstance(rule.predicate, str) else rule.predicate
-        df.select(condition.cast("boolean"))
+        empty.select(*[c.cast("boolean").alias(f"c{i}") for i, c in enumerate(conditions)])
+        return set()
     except AnalysisException:  # a ParseException is one, too
-        return F.lit(True)
-    return F.coalesce(condition.cast("boolean"), F.lit(False))
+        if len(conditions) == 1:
+            return {0}
+    half = len(conditions) // 2
+    return _unusable(empty, conditions[:half]) | {half + i for i in _unusable(empty, conditions[half:])}
+
+
+def formulas_failed(df: DataFrame, rules: list[Rule]) -> list[Column]:
+    """For each rule, true where the row breaks it.
+
+    A rule on a column the frame lacks, and one whose predicate cannot be parsed or analysed, fails
+    every row. A row on which a predicate in text form would raise (a cast, a division, an element or a
+    date that cannot be read) breaks the rule; a null condition is no error. All rules are analysed
+    together, against an empty frame with the columns of ``df``.
+    """
+    empty = df.sparkSession.createDataFrame([], df.schema)
+    out: list[Column] = [F.lit(True)] * len(rules)
+    columns = set(df.columns)
+    usable = [i for i, r in enumerate(rules) if columns.issuperset(r.fields)]
+    conditions = [F.expr(p) if isinstance(p := rules[i].predicate, str) else p for i in usable]
+    bad = _unusable(empty, conditions)
+    good = [(i, c) for j, (i, c) in enumerate(zip(usable, conditions, strict=True)) if j not in bad]
+    texts = [i for i, _ in good if isinstance(rules[i].predicate, str)]
+    safe = dict(zip(texts, guarded.guarded(empty, [rules[i].predicate for i in texts]), strict=True))
+    for i, condition in good:
+        value, raised = safe.get(i, (None, None))
+        if raised is not None:
+            out[i] = F.coalesce(F.expr(raised), F.lit(False)) | F.coalesce(F.expr(value).cast("boolean"), F.lit(False))
+        else:
+            out[i] = F.coalesce(condition.cast("boolean"), F.lit(False))
+    return out
+
+
+def formula_failed(df: DataFrame, rule: Rule) -> Column:
+    """True where the row breaks the rule; see ``formulas_failed``."""
+    return formulas_failed(df, [rule])[0]
 
 
 def validate_frame(df: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
     """All active rules: adds ``violations``, ``error_count`` and ``is_valid``."""
     listed = rules_from_table(rules) if isinstance(rules, DataFrame) else rules
     active = [r for r in with_unique_names(listed) if r.active]
-    empty = df.sparkSession.createDataFrame([], df.schema)
     found = [
-        checks.Check(r.name, ",".join(r.fields), CATEGORY, formula_failed(empty, r), F.lit(r.message or r.name))
-        for r in active
+        checks.Check(r.name, ",".join(r.fields), CATEGORY, failed, F.lit(r.message or r.name))
+        for r, failed in zip(active, formulas_failed(df, active), strict=True)
     ]
     return checks.with_violations(df, found)
 

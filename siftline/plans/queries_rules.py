@@ -313,6 +313,29 @@ def errors_by_rule_lineitem(t):
     return report.errors_by(checks.violations_table(_checked_lines(t), "l_orderkey"), "rule")
 
 
+_RAISING = {
+    # name: (predicate, the same in DuckDB with null for what raises, where it raises)
+    "cast": ("CAST(substring(o_orderpriority, 1, o_orderkey % 3) AS INT) >= 4", "TRY_CAST(substring(o_orderpriority, 1, (o_orderkey % 3)::INT) AS INT) >= 4",
+             "TRY_CAST(substring(o_orderpriority, 1, (o_orderkey % 3)::INT) AS INT) IS NULL"),
+    "division": ("o_totalprice / (o_custkey % 4) > 100000 AND o_orderstatus <> 'F'", "o_totalprice / nullif(o_custkey % 4, 0) > 100000 AND o_orderstatus <> 'F'",
+                 "o_custkey % 4 = 0"),
+    "lazy": ("CASE WHEN o_custkey % 4 = 0 THEN false ELSE 7 % (o_custkey % 4) = 1 END", "CASE WHEN o_custkey % 4 = 0 THEN false ELSE 7 % (o_custkey % 4) = 1 END", "false"),
+    "element": ("split(o_orderpriority, '-')[o_orderkey % 4] = 'LOW'", "(CASE WHEN o_orderkey % 4 < 2 THEN string_split(o_orderpriority, '-')[(o_orderkey % 4 + 1)::INT] END) = 'LOW'",
+                "o_orderkey % 4 >= len(string_split(o_orderpriority, '-'))"),
+    "date": ("to_date(concat('1996-0', o_orderkey % 12, '-01')) > o_orderdate", "TRY_CAST(concat('1996-0', o_orderkey % 12, '-01') AS DATE) > o_orderdate",
+             "TRY_CAST(concat('1996-0', o_orderkey % 12, '-01') AS DATE) IS NULL"),
+}
+
+
+@query(
+    "formula_runtime_error",
+    "SELECT o_orderkey, concat_ws('; ', " + ", ".join(f"CASE WHEN coalesce({sql}, false) OR ({raised}) THEN '{name}' END" for name, (_, sql, raised) in _RAISING.items()) + ") AS failed FROM orders",
+)
+def formula_runtime_error(t):
+    checked = rules.validate_frame(t.orders, [rules.Rule(name, text) for name, (text, _, _) in _RAISING.items()])
+    return checked.select("o_orderkey", F.array_join(F.transform("violations", lambda v: v["rule"]), "; ").alias("failed"))
+
+
 @query("formula_missing_column", "SELECT count(*) AS total, count(*) AS invalid FROM orders")
 def formula_missing_column(t):
     listed = [rules.Rule("gone", "no_such_column > 1", fields=("no_such_column",)), rules.Rule("never", "o_totalprice < 0")]
