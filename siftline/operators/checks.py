@@ -465,7 +465,7 @@ def issues_column(df: DataFrame, catalog: DataFrame, object_name: str | None = N
     for name in columns:
         if name in fields and fields[name].type == "picklist" and (fields[name].picklist or name in flags):
             c = by_name[name]
-            allowed = [v.strip() for v in fields[name].picklist if v.strip()]
+            allowed = [v for v in (x.strip(values.WHITE) for x in fields[name].picklist) if v]  # as cells are stripped
             wrong = ~flags[name] if name in flags else not_in_picklist(c, allowed, trim=True)
             parts.append(F.when(~c.blank & wrong, F.lit(f"Invalid picklist value in '{name}'")))
     issues = F.concat_ws("; ", *parts) if parts else F.lit("")

@@ -69,7 +69,8 @@ def upsert(
     refused = flagged.filter(F.col("_copies").isNotNull() | F.col(f"`{key}`").isNull())
 
     s = clean.select(*[F.col(f"`{c}`").alias(f"s_{c}") for c in source.columns], F.lit(True).alias("_s"))
-    t = target.select(*[F.col(f"`{c}`").alias(f"t_{c}") for c in target.columns], F.lit(True).alias("_t"))
+    # Target rows without a key match nothing: they stay out of the join, where they would meet in one task.
+    t = target.filter(F.col(f"`{key}`").isNotNull()).select(*[F.col(f"`{c}`").alias(f"t_{c}") for c in target.columns], F.lit(True).alias("_t"))
     joined = t.join(s, F.col(f"t_{key}") == F.col(f"s_{key}"), "full_outer")
     in_source, in_target = F.coalesce("_s", F.lit(False)), F.coalesce("_t", F.lit(False))
     outcome = (
@@ -113,7 +114,15 @@ def upsert(
         .otherwise("DUPLICATE_VALUE: key repeats in the source")
         .alias("error"),
     )
-    return done.unionByName(errors)
+    keyless = target.filter(F.col(f"`{key}`").isNull()).select(
+        *[F.col(f"`{c}`") for c in target.columns],
+        *[F.lit(None).cast(source.schema[c].dataType).alias(c) for c in carry],
+        F.lit(False).alias("in_source"),
+        F.lit(True).alias("in_target"),
+        F.lit("kept").alias("outcome"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    return done.unionByName(errors).unionByName(keyless)
 
 
 def upsert_snapshot(merged: DataFrame) -> DataFrame:

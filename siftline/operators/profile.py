@@ -18,6 +18,10 @@ from siftline.functions.values import Cell
 
 #: Columns per aggregate.
 SLICE = 50
+#: Rows of a table's first file in which samples are looked for before the rest.
+HEAD_ROWS = 100
+#: Sketches of distinct values have 2 to this power registers: a standard error of about 1.04 / 2 ** (bits / 2).
+SKETCH_BITS = 12
 
 
 def _long(df: DataFrame, per_column: dict[str, dict[str, Column]], extra: dict[str, Column] | None = None) -> DataFrame:
@@ -226,7 +230,7 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> Da
     """Per column: type, detected type, counts, distinct values, text lengths, samples.
 
     ``approx=True`` estimates the distinct counts in the same scan, without a
-    shuffle. Samples are the smallest and the largest value as text.
+    shuffle. Samples are the first two values in the order of the table (``first_values``).
     """
     cells = values.cells(df)
     facts = {}
@@ -238,8 +242,6 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> Da
             "nulls": F.count(F.when(c.missing, 1)),
             "min_length": F.min(F.when(here, F.col(_length_name(i)))).cast("long"),
             "max_length": F.max(F.when(here, F.col(_length_name(i)))).cast("long"),
-            "low": F.min(shown).cast("string"),
-            "high": F.max(shown).cast("string"),
         }
         if approx:
             facts[c.name]["distinct_values"] = F.approx_count_distinct(shown, rsd)
@@ -249,10 +251,82 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> Da
         stats = stats.join(distinct, "position", "left").withColumn(
             "distinct_values", F.coalesce("distinct_values", F.lit(0))
         )
-    samples = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.concat_ws(", ", "low", "high"))
+    texts = [(i, ", ".join(found) if found else None) for i, found in enumerate(first_values(df))]
+    samples = F.col("samples")
+    stats = stats.join(F.broadcast(df.sparkSession.createDataFrame(texts, "position int, samples string")), "position")
     return stats.select(
         "column", "data_type", "detected_type", "non_null", "nulls", "distinct_values",
-        "min_length", "max_length", samples.alias("samples"),
+        "min_length", "max_length", samples,
+    )
+
+
+def first_values(df: DataFrame) -> list[list[str]]:
+    """The first two values of each column, as text, in the order of the table (``session.placed``).
+
+    The head of the first file mostly has them; only columns that have fewer there are looked for in the
+    whole table, by a minimum of the places of their values and a second one beyond it. Runs jobs.
+    """
+    rows = session.placed(df)
+    shown = [c.name for c in values.cells(df)]
+    files = sorted(rows.inputFiles())
+    found: list[list[str]] = [[] for _ in shown]
+    if files:
+        head = rows.filter((F.col("_place.file") == files[0]) & (F.col("_place.row") < HEAD_ROWS))
+        firsts = [F.slice(F.array_sort(F.collect_list(_valued(n))), 1, 2).alias(f"f{i}") for i, n in enumerate(shown)]
+        found = [[v["value"] for v in values_] for values_ in head.agg(*firsts).first()]
+    few = [i for i in range(len(shown)) if len(found[i]) < 2]
+    if few:
+        one = rows.agg(*[F.min(_valued(shown[i])).alias(f"f{i}") for i in few]).first()
+        left = [i for i in few if one[f"f{i}"] is not None]
+        found = [([one[f"f{i}"]["value"]] if i in left else []) if i in few else v for i, v in enumerate(found)]
+        if left:
+            def beyond(i: int) -> Column:
+                first = one[f"f{i}"]["place"]
+                place = F.struct(F.lit(first["file"]).alias("file"), F.lit(first["row"]).alias("row"))
+                return F.min(F.when(F.col("_place") > place, _valued(shown[i]))).alias(f"f{i}")
+
+            two = rows.agg(*[beyond(i) for i in left]).first()
+            for i in left:
+                found[i] += [two[f"f{i}"]["value"]] if two[f"f{i}"] is not None else []
+    return found
+
+
+def _valued(name: str) -> Column:
+    """A cell's place and text, null where it has no value."""
+    text = session.sql_column(name).cast("string")
+    return F.when(text.isNotNull(), F.struct(F.col("_place").alias("place"), text.alias("value")))
+
+
+def profile_parts(df: DataFrame, part: Column) -> DataFrame:
+    """A mergeable profile: one row per part and column, its distinct values as a sketch.
+
+    Parts can be profiled as they arrive and kept; ``merge_profiles`` never reads their rows again.
+    """
+    cells = values.cells(df)
+    out = None
+    for start in range(0, len(cells), SLICE):
+        aggregates, structs = [], []
+        for i, c in enumerate(cells[start : start + SLICE]):
+            shown = F.when(~c.missing, _equality_text(c))
+            size = F.length(F.when(~c.missing, c.text))
+            facts = {
+                "non_null": F.count(shown), "nulls": F.count(F.when(c.missing, 1)), "min_length": F.min(size).cast("long"),
+                "max_length": F.max(size).cast("long"), "sketch": F.hll_sketch_agg(shown, F.lit(SKETCH_BITS)),
+            }
+            aggregates += [fact.alias(f"{label}_{i}") for label, fact in facts.items()]
+            known = [F.lit(c.name).alias("column"), F.lit(c.dtype.simpleString()).alias("data_type")]
+            structs.append(F.struct(*known, *[F.col(f"{label}_{i}").alias(label) for label in facts]))
+        rows = df.groupBy(part.alias("part")).agg(*aggregates).select("part", F.inline(F.array(*structs)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def merge_profiles(parts: DataFrame) -> DataFrame:
+    """One row per column from the rows of ``profile_parts``; distinct values are estimated."""
+    return parts.groupBy("column", "data_type").agg(
+        F.sum("non_null").alias("non_null"), F.sum("nulls").alias("nulls"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate"),
+        F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length"),
     )
 
 
@@ -279,11 +353,13 @@ def column_issues(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of identical rows: one row, ``duplicate_rows``."""
-    keys = []
-    for i, c in enumerate(values.cells(df)):
-        keys.append((values.group_key(c.text) if c.is_text else c.value).alias(f"k{i}"))
-    groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count("*").alias("n"))
+    """Rows beyond the first of each group of identical rows: one row, ``duplicate_rows``.
+
+    Rows are grouped by the SHA-256 of their cells, each with its length in front: 32 bytes a row
+    are shuffled, however many columns there are.
+    """
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in map(_equality_text, values.cells(df))]
+    groups = df.select(F.unhex(F.sha2(F.concat(F.lit(""), *cells), 256)).alias("row")).groupBy("row").agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -89,20 +89,22 @@ def status_column(checked: DataFrame) -> DataFrame:
 def beyond_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Rows after the first of their key: no key is gathered in one task.
 
-    The first row of each key is found by a map-side combined minimum of the
-    order columns; rows are then compared with it.
+    The first row of each key is found by a map-side combined minimum of the order columns and,
+    among rows equal in them, the row's place in the table (``session.placed``), so exactly one
+    row of each key is left out. Rows are then compared with it.
     """
+    rows = session.placed(df)
     joined_key = values.group_key(
         F.to_json(
             F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)]), {"ignoreNullFields": "false"}
         )
     )
-    rank = F.struct(*[F.col(o) for o in order])
-    firsts = df.select(joined_key.alias("key"), rank.alias("_first")).groupBy("key").agg(
+    rank = F.struct(*[F.col(o) for o in order], F.col("_place"))
+    firsts = rows.select(joined_key.alias("key"), rank.alias("_first")).groupBy("key").agg(
         F.min("_first").alias("_first"), F.count("*").alias("_rows")
     )
     repeated = session.stage(firsts.filter("_rows > 1"), "firsts")
-    flagged = keyed.attach_by_key(df, joined_key, repeated, ["_first"], weight="_rows")
+    flagged = keyed.attach_by_key(rows, joined_key, repeated, ["_first"], weight="_rows")
     return flagged.filter(F.col("_first").isNotNull() & (rank > F.col("_first"))).select(*df.columns)
 
 

@@ -358,41 +358,67 @@ def flatten_relationships(t):
 # --- profiles ------------------------------------------------------------------------------
 
 
-def _profile_sql(table: str, columns: dict[str, tuple[str, str, str]]) -> str:
+def _profile_sql(table: str, columns: dict[str, tuple[str, str]]) -> str:
     parts = []
-    for name, (data_type, detected, shown) in columns.items():
-        text = shown.format(c=name)
+    for name, (data_type, detected) in columns.items():
+        text = name if data_type == "string" else f"CAST({name} AS VARCHAR)"
         parts.append(
             f"SELECT '{name}' AS \"column\", '{data_type}' AS data_type, '{detected}' AS detected_type, count({name}) AS non_null, count(*) - count({name}) AS nulls, "
-            f"count(DISTINCT {name}) AS distinct_values, min(length({text})) AS min_length, max(length({text})) AS max_length FROM {table}"
+            f"count(DISTINCT {name}) AS distinct_values, min(length({text})) AS min_length, max(length({text})) AS max_length, "
+            f"(SELECT string_agg(v, ', ' ORDER BY n) FROM (SELECT {text} AS v, n FROM numbered WHERE {name} IS NOT NULL ORDER BY n LIMIT 2)) AS samples FROM numbered"
         )
-    return " UNION ALL ".join(parts)
+    return f"WITH numbered AS MATERIALIZED (SELECT *, row_number() OVER () AS n FROM {table}) " + " UNION ALL ".join(parts)
+
+
+_LINE_TYPES = {
+    "l_orderkey": ("bigint", "Number (Integer)"), "l_partkey": ("bigint", "Number (Integer)"), "l_suppkey": ("bigint", "Number (Integer)"),
+    "l_linenumber": ("int", "Number (Integer)"), "l_quantity": ("double", "Number (Integer)"), "l_extendedprice": ("double", "Number (Decimal)"),
+    "l_discount": ("double", "Number (Decimal)"), "l_tax": ("double", "Number (Decimal)"), "l_returnflag": ("string", "Text (Short)"),
+    "l_linestatus": ("string", "Text (Short)"), "l_shipdate": ("timestamp_ntz", "Date/DateTime"),
+}
+_DOCUMENT_TYPES = {
+    "doc_id": ("bigint", "Number (Integer)"), "text": ("string", "Email"), "lang": ("string", "Text (Short)"), "source": ("string", "Text (Short)"),
+    "n_chars": ("bigint", "Number (Integer)"),
+}
+
+
+@query("profile_lineitem", _profile_sql("lineitem", _LINE_TYPES))
+def profile_lineitem(t):
+    return profile.column_profile(t.lineitem)
+
+
+@query("profile_documents", _profile_sql("documents", _DOCUMENT_TYPES))
+def profile_documents(t):
+    return profile.column_profile(t.documents)
 
 
 @query(
-    "profile_lineitem",
-    _profile_sql(
-        "lineitem",
-        {
-            "l_orderkey": ("bigint", "Number (Integer)", "CAST({c} AS VARCHAR)"),
-            "l_linenumber": ("int", "Number (Integer)", "CAST({c} AS VARCHAR)"),
-            "l_discount": ("double", "Number (Decimal)", "CAST({c} AS VARCHAR)"),
-            "l_returnflag": ("string", "Text (Short)", "{c}"),
-            "l_partkey": ("bigint", "Number (Integer)", "CAST({c} AS VARCHAR)"),
-        },
-    ),
+    "profile_late_values",
+    """WITH o AS (SELECT CASE WHEN o_orderkey >= 900 THEN o_orderpriority END AS late, CASE WHEN o_orderkey = 950 THEN o_custkey END AS once, CAST(NULL AS VARCHAR) AS gone, row_number() OVER () AS n FROM orders)
+    SELECT 'late' AS "column", (SELECT string_agg(late, ', ' ORDER BY n) FROM (SELECT late, n FROM o WHERE late IS NOT NULL ORDER BY n LIMIT 2)) AS samples
+    UNION ALL SELECT 'once', (SELECT string_agg(CAST(once AS VARCHAR), ', ' ORDER BY n) FROM (SELECT once, n FROM o WHERE once IS NOT NULL ORDER BY n LIMIT 2)) UNION ALL SELECT 'gone', NULL""",
 )
-def profile_lineitem(t):
-    return profile.column_profile(session.spread(t.lineitem).select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag", "l_partkey")).drop("samples")
+def profile_late_values(t):
+    df = t.orders.selectExpr("CASE WHEN o_orderkey >= 900 THEN o_orderpriority END AS late", "CASE WHEN o_orderkey = 950 THEN o_custkey END AS once", "CAST(NULL AS STRING) AS gone")
+    return profile.column_profile(df).select("column", "samples")
 
 
 @query(
-    "profile_documents",
-    _profile_sql("documents", {"doc_id": ("bigint", "Number (Integer)", "CAST({c} AS VARCHAR)"), "lang": ("string", "Text (Short)", "{c}"), "source": ("string", "Text (Short)", "{c}")})
-    + " UNION ALL SELECT 'text', 'string', 'Email', count(text), 0, count(DISTINCT text), min(length(text)), max(length(text)) FROM documents",
+    "profile_parts_lineitem",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{kind}' AS data_type, count({c}) AS non_null, count(*) - count({c}) AS nulls, "
+        f"min(length({(text := c if kind == 'string' else f'CAST({c} AS VARCHAR)')})) AS min_length, max(length({text})) AS max_length, true AS near FROM lineitem"
+        for c, (kind, _) in _LINE_TYPES.items()
+    ),
 )
-def profile_documents(t):
-    return profile.column_profile(session.spread(t.documents).select("doc_id", "lang", "source", "text")).drop("samples")
+def profile_parts_lineitem(t):
+    """Three parts profiled apart and merged; estimates must be within three standard errors of the exact counts."""
+    parts = [profile.profile_parts(t.lineitem.filter(f"l_linenumber % 3 = {i}"), F.lit(i)) for i in range(3)]
+    kept = session.stage(parts[0].unionByName(parts[1]).unionByName(parts[2]), "profile-parts")
+    names = t.spark.createDataFrame(list(enumerate(t.lineitem.columns)), "position int, column string")
+    exact = profile.value_counts(t.lineitem).groupBy("position").agg(F.count("*").alias("exact")).join(F.broadcast(names), "position")
+    near = F.abs(F.col("distinct_estimate") - F.col("exact")) <= 3 * 1.04 / 2 ** (profile.SKETCH_BITS / 2) * F.col("exact") + 1
+    return profile.merge_profiles(kept).join(exact, "column").select("column", "data_type", "non_null", "nulls", "min_length", "max_length", near.alias("near"))
 
 
 @query("profile_lineitem_approx")
@@ -815,6 +841,76 @@ def verify_load_orders(t):
     return sinks.verify_load(t.orders.filter("o_orderkey % 10 <> 0"), t.orders)
 
 
+@query(
+    "load_table_modes",
+    """WITH c AS (SELECT count(*) AS n, sum(c_custkey) AS k, count(*) FILTER (c_custkey % 2 = 0) AS even, sum(c_custkey) FILTER (c_custkey % 2 = 0) AS even_k FROM customer)
+    SELECT 'create' AS mode, n AS rows, k::BIGINT AS keys, false AS refused FROM c UNION ALL SELECT 'append', n + even, (k + even_k)::BIGINT, false FROM c UNION ALL SELECT 'truncate', even, even_k::BIGINT, false FROM c
+    UNION ALL SELECT 'delete', n, k::BIGINT, false FROM c UNION ALL SELECT 'replace', even, even_k::BIGINT, false FROM c
+    UNION ALL SELECT 'create again', 0, 0, true FROM c UNION ALL SELECT 'append to none', 0, 0, true FROM c""",
+)
+def load_table_modes(t):
+    """All modes one after the other on a new table; the replacing ones read the table that they replace."""
+    table = f"load_modes_{uuid.uuid4().hex}"
+    columns = ["c_custkey", "c_name", "c_acctbal"]
+    whole, even = t.customer.select(*columns), t.customer.filter("c_custkey % 2 = 0").select(*columns)
+    seen: list[tuple] = []
+
+    def load_in(mode: str, df, shown: str | None = None) -> None:
+        try:
+            sinks.load_table(df, table, mode)
+        except ValueError:
+            seen.append((shown or mode, 0, 0, True))
+            return
+        now = t.spark.table(table).agg(F.count("*"), F.sum("c_custkey")).first()
+        seen.append((shown or mode, now[0], now[1], False))
+
+    try:
+        load_in("append", whole, "append to none")
+        load_in("create", whole)
+        load_in("create", whole, "create again")
+        load_in("append", even)
+        load_in("truncate", t.spark.table(table).distinct().filter("c_custkey % 2 = 0"))
+        load_in("delete", whole)
+        load_in("replace", t.spark.table(table).filter("c_custkey % 2 = 0"))
+    finally:
+        t.spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return t.spark.createDataFrame(seen, "mode string, rows long, keys long, refused boolean")
+
+
+@query(
+    "scan_run_logs_events",
+    """SELECT event_type AS operation, 'user ' || (user_id % 5) AS object, 'org' AS org, count(*) AS records, count(*) FILTER (value >= 5) AS success, count(*) FILTER (value < 5) AS errors,
+      round(count(*) FILTER (value < 5) * 100.0 / count(*), 2) AS error_rate, CAST(NULL AS INT) AS batch_number, max(date_trunc('second', ts)) AS timestamp FROM events GROUP BY 1, 2
+    UNION ALL SELECT NULL, NULL, NULL, count(*), count(*) FILTER (value >= 5), count(*) FILTER (value < 5), NULL, (event_id // 500)::INT + 1, NULL FROM events GROUP BY event_id // 500""",
+)
+def scan_run_logs_events(t):
+    """Log files of both kinds written from ``events``, in folders, and scanned."""
+    path = _scratch(t, "logs")
+    good, bad = F.count_if(F.col("value") >= 5), F.count_if(F.col("value") < 5)
+    null = F.lit(None).cast("string")
+    runs = t.events.groupBy("event_type", (F.col("user_id") % 5).alias("u")).agg(
+        F.count("*").alias("n"), good.alias("good"), bad.alias("bad"), F.date_format(F.max(F.date_trunc("second", "ts")), "yyyy-MM-dd HH:mm:ss").alias("at")
+    )
+    summary = runs.select(
+        F.col("at").alias("Start_Time"), F.col("at").alias("End_Time"), F.lit("1.0").alias("Processing_Duration_Seconds"), null.alias("Processing_Duration_Formatted"),
+        F.col("n").alias("Total_Records"), F.col("good").alias("Total_Success"), F.col("bad").alias("Total_Errors"), F.lit(0).alias("Total_Unprocessed"), null.alias("Success_Rate_Percent"),
+        F.round(F.col("bad") * 100.0 / F.col("n"), 2).alias("Error_Rate_Percent"), F.col("event_type").alias("Operation"), F.concat(F.lit("user "), F.col("u").cast("string")).alias("Salesforce_Object"),
+        F.lit("org").alias("Salesforce_Org"), null.alias("Total_Batches"), null.alias("Parallel_Processing"), F.col("at").alias("Log_Generated_At"),
+    )
+    batches = t.events.groupBy((F.floor(F.col("event_id") / 500) + 1).cast("int").alias("b")).agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
+    details = batches.select(
+        F.col("b").alias("Batch_Number"), F.col("n").alias("Batch_Records"), F.col("good").alias("Batch_Success"), F.col("bad").alias("Batch_Errors"), F.lit("1.0").alias("Batch_Processing_Time_Seconds"),
+        null.alias("Batch_Success_Rate_Percent"), null.alias("Batch_Error_Rate_Percent"), F.lit("PARTIAL").alias("Batch_Status"), null.alias("Error_Details"),
+    )
+    for frame, folder, name in ((summary, "run1", "processing_summary"), (details, "run1/batches", "batch_processing_details")):
+        written = f"{path}/{name}-new"
+        frame.coalesce(1).write.option("header", True).csv(written)
+        file = t.spark.read.csv(written).inputFiles()[0]
+        session.make_folder(t.spark, f"{path}/logs/{folder}")
+        session.move(t.spark, file, f"{path}/logs/{folder}/{name}.csv")
+    return files.scan_run_logs(t.spark, f"{path}/logs").drop("file_path")
+
+
 # --- flows -------------------------------------------------------------------------------------------
 
 

@@ -437,6 +437,16 @@ def rule_patterns(t):
     return coverage.rule_patterns(_graded(t))
 
 
+@query(
+    "rule_pattern_members",
+    f"""WITH {_GRADE_SQL}, {_LISTED} SELECT CASE logic_type WHEN 'picklist_validation' THEN 'picklist_field' WHEN 'required_field' THEN 'required_field'
+    WHEN 'conditional_logic' THEN 'conditional_dependency' ELSE 'business_constraint' END AS pattern, field, rule_name FROM graded JOIN names ON i <= n_fields
+    WHERE logic_type IN ('picklist_validation', 'required_field', 'conditional_logic', 'business_rule')""",
+)
+def rule_pattern_members(t):
+    return coverage.rule_pattern_members(_graded(t))
+
+
 @query(
     "risk_areas",
     f"""WITH {_GRADE_SQL}, a AS (SELECT id, rule_name, concat_ws(',', CASE WHEN contains(nm, 'restrict') OR contains(nm, 'required') THEN 'Data access restriction' END,
@@ -649,6 +659,17 @@ def beyond_first_orders(t):
     return report.beyond_first(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey")
 
 
+@query(
+    "beyond_first_ties",
+    """WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, n) AS k FROM (SELECT *, row_number() OVER () AS n FROM orders))
+    SELECT o_custkey, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM r WHERE k > 1 GROUP BY o_custkey""",
+)
+def beyond_first_ties(t):
+    """Rows of a customer after the first by status alone: among equal ones the place in the table decides."""
+    later = report.beyond_first(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey"], ["o_orderstatus"])
+    return later.groupBy("o_custkey").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("names_in_both", "SELECT p_name AS name FROM part WHERE p_size > 25 INTERSECT SELECT p_name FROM part WHERE p_size <= 25")
 def names_in_both(t):
     return report.in_both(t.part.filter("p_size > 25").selectExpr("p_name AS name"), t.part.filter("p_size <= 25").selectExpr("p_name AS name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +72,57 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Plan nodes that leave a row of a file the row that it is.
+_ROW_KEEPING = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def _from_files(df: DataFrame) -> bool:
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in _ROW_KEEPING:
+        if node.nodeName() == "LogicalRelation":
+            return True
+        node = node.children().apply(0)
+    return False
+
+
+def placed(df: DataFrame, name: str = "_place") -> DataFrame:
+    """The rows with the place where they stand: (file, row of the file).
+
+    Equal rows have different places, places are the same in every run and on every retry, and their
+    order is the order of the table. Rows that do not come straight from files that number their rows
+    (a join, an aggregate, text files) are staged first and have the places of the staged files.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    if _from_files(df):
+        try:
+            return df.select("*", place.alias(name))
+        except AnalysisException:  # the format does not number rows
+            pass
+    return stage(df, "placed").select("*", place.alias(name))
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file or folder of any file system that Spark can write."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.rename(path(source), path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder and what it holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Removes this application's staged tables; results that read them must be written before."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}")
 
 
 def spread(df: DataFrame) -> DataFrame:
