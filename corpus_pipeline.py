@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding gives its bytes back."""
     rows = docs.select("doc_id", "lang", "source", "text")
-    coded = bpe.decode(bpe.encode(rows, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
+    coded = bpe.encode(rows, VOCABULARY, public_tokenizers.PATTERN, decoded="decoded")
     return coded.select(
         "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
         (F.col("decoded") == F.encode(common.text_of("text"), "UTF-8")).alias("round_trip"),
