@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +80,8 @@ class Vocabulary:
         for slot, key in zip(self.hash.slots(list(ranks)).tolist(), ranks, strict=True):
             self.keys[slot] = key
         self.ids = [ranks[k] for k in self.keys]
+        #: Rank of every pair of bytes, -1 for those that are no token.
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
 
     def known(self, pieces: list[bytes]) -> list[int | None]:
         """First tier: the id of every piece that is a token itself."""
@@ -93,7 +95,8 @@ class Vocabulary:
         # A part is the bytes from its start to end[start], where the next part starts; end is 0 inside
         # parts. An entry of the heap is one number: the pair's rank, its start, its end.
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        pairs = self.pairs
+        heap = [(r << bits | i) << bits | i + 2 for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False)) if (r := pairs[a << 8 | b]) >= 0]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
@@ -123,13 +126,14 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.find = regex.compile(vocabulary.pattern).findall
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # Ids as the bytes of 32-bit integers: those of a text are joined without a number being touched.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         raw = [p.encode("utf-8") for p in pieces]
         for piece, data, one in zip(pieces, raw, self.vocabulary.known(raw), strict=True):
-            self.young[piece] = (one,) if one is not None else tuple(self.vocabulary.merged(data))
+            self.young[piece] = array("i", (one,) if one is not None else self.vocabulary.merged(data)).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. New pieces of all of them are looked up together."""
@@ -142,7 +146,7 @@ class Encoder:
         self.young.update((p, old[p]) for p in new if p in old)
         self._learn([p for p in new if p not in old])
         find = self.young.__getitem__
-        return [np.fromiter(itertools.chain.from_iterable(map(find, p)), np.int32) for p in pieces]
+        return [np.frombuffer(b"".join(map(find, p)), np.int32) for p in pieces]
 
 
 class Decoder:

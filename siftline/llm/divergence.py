@@ -8,6 +8,7 @@ entries that are not zero: what two sources differ by on the terms that neither
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,12 @@ MODEL_TERMS = 4_000_000
 PROBE = 64
 #: Entries (source, term) that one task evaluates at once.
 BLOCK_ENTRIES = 100_000
+#: Entries of vectors that a task sums up before it sends them on.
+HELD_ENTRIES = 1_000_000
 _END = "\x00"
 
 
-def _terms_of(distinct: bool):
+def _terms_of(distinct: bool, probe: bool):
     def column(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for langs, texts in batches:
             rows = []
@@ -45,17 +48,21 @@ def _terms_of(distinct: bool):
                 front = lang.encode("utf-8") + b"\x00"
                 # Only ASCII parts terms, so a text can be folded and split as bytes.
                 terms = text.translate(_FOLD).split()
-                rows.append([front + t for t in (set(terms) if distinct else terms)])
+                if distinct:
+                    terms = set(terms)
+                if probe:
+                    terms = [t for t in terms if zlib.crc32(t) % PROBE == 0]
+                rows.append([front + t for t in terms])
             yield pa.array(rows, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
         common.give_back()
 
     return column
 
 
-def _tokens(docs: DataFrame, text: str, lang: str, source: str, distinct: bool = False) -> DataFrame:
-    """(lang, source, tokens): every term of a document, its language in front of it."""
+def _tokens(docs: DataFrame, text: str, lang: str, source: str, distinct: bool = False, probe: bool = False) -> DataFrame:
+    """(lang, source, tokens): every term of a document (or one in PROBE), its language in front of it."""
     rows = docs.select(common.text_of(lang).alias("lang"), common.text_of(source).alias("source"), common.text_of(text).alias("text"))
-    return rows.select("lang", "source", F.arrow_udf(_terms_of(distinct), "array<string>")("lang", "text").alias("tokens"))
+    return rows.select("lang", "source", F.arrow_udf(_terms_of(distinct, probe), "array<string>")("lang", "text").alias("tokens"))
 
 
 def _in_slice(tokens: DataFrame, i: int, n: int) -> DataFrame:
@@ -64,13 +71,42 @@ def _in_slice(tokens: DataFrame, i: int, n: int) -> DataFrame:
     return tokens.withColumn("tokens", F.filter("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(n)) == i))
 
 
-def _slices(tokens: DataFrame, least: int) -> int:
-    """Enough slices of the terms that a model stays below ``MODEL_TERMS``; from distinct tokens."""
-    probe = F.filter("tokens", lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(PROBE)) == 0)
-    kept = tokens.select(F.explode(probe).alias("t")).groupBy("t").count().filter(F.col("count") >= least).count()
+def _slices(probe: DataFrame, least: int) -> int:
+    """Enough slices of the terms that a model stays below ``MODEL_TERMS``; from the distinct tokens probed."""
+    kept = probe.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= least).count()
     return common.parts(2 * PROBE * kept, MODEL_TERMS)
 
 
+def _sums(vectors: DataFrame, base: int) -> DataFrame:
+    """Counts of each source summed over its documents' vectors: in the task first, then by shuffle."""
+    total = F.sum("n").alias("n")
+    return vectors.mapInArrow(_summed, _SUM).groupBy((F.col("i") + F.lit(base)).alias("index"), "lang", "source").agg(total)
+
+
+_SUM = "lang string, source string, i long, n long"
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+
+    def fold() -> pa.Table:
+        return pa.concat_tables(held).group_by(["lang", "source", "i"]).aggregate([("n", "sum")]).rename_columns(["lang", "source", "i", "n"])
+
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("i"))
+        of = np.repeat(np.arange(len(batch)), sizes.to_numpy(zero_copy_only=False))
+        names = batch.select(["lang", "source"]).take(pa.array(of))
+        entries = [batch.column("i").flatten().cast(pa.int64()), batch.column("x").flatten().cast(pa.int64())]
+        held.append(pa.table([*names.columns, *entries], names=["lang", "source", "i", "n"]))
+        if sum(map(len, held)) >= HELD_ENTRIES:
+            held = [fold()]
+            if len(held[0]) * 2 >= HELD_ENTRIES:
+                yield from held.pop().to_batches(65_536)
+    if held:
+        yield from fold().to_batches(65_536)
+    common.give_back()
+
+
 def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(vocabulary, counts): (index, lang, term) and (index, lang, source, n), n > 0, both staged.
 
@@ -80,7 +116,7 @@ def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str
     common.ship(spark)
     once = _tokens(docs, text, lang, source, distinct=True)
     tokens = _tokens(docs, text, lang, source)
-    slices = _slices(once, least)
+    slices = _slices(_tokens(docs, text, lang, source, distinct=True, probe=True), least)
     vocabulary = session.stage(spark.createDataFrame([], "index long, lang string, term string"), "vocabulary")
     counts = session.stage(spark.createDataFrame([], "index long, lang string, source string, n long"), "term-counts")
     base = 0
@@ -100,9 +136,8 @@ def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str
         named = spark.createDataFrame(table).select("index", F.substring(token, F.lit(1), cut - 1).alias("lang"), F.substring_index(token, _END, -1).alias("term"))
         vocabulary = vocabulary.unionByName(session.stage(named, "vocabulary"))
         vector = fitted.transform(_in_slice(tokens, i, slices)).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-        entries = vector.select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))))
-        sums = entries.groupBy("lang", "source", "i").agg(F.sum(F.col("x").cast("long")).alias("n"))
-        counts = counts.unionByName(session.stage(sums.select((F.col("i") + F.lit(base)).cast("long").alias("index"), "lang", "source", "n"), "term-counts"))
+        sums = _sums(vector.select("lang", "source", F.col("v.indices").alias("i"), F.col("v.values").alias("x")), base)
+        counts = counts.unionByName(session.stage(sums, "term-counts"))
         base += len(names)
     return vocabulary, counts
 
