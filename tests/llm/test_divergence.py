@@ -53,7 +53,6 @@ def got(df):
 def test_audit(spark, monkeypatch, slices, least):
     monkeypatch.setattr(divergence, "_slices", lambda *_: slices)
     monkeypatch.setattr(divergence, "BLOCK_ENTRIES", 60)
-    monkeypatch.setattr(divergence, "HELD_ENTRIES", 300)
     rows = helpers.corpus(11, 60) + [(900, "ÄB ÄB zz [a]b", "", "s9", "k", 7, 1, None), (901, None, "", "s8", "k", 7, 1, None)]
     want = brute([(r[1], r[2], r[3]) for r in rows], least, 4)
     assert got(divergence.audit(helpers.frame(spark, rows), least, 4)) == want
