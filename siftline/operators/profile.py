@@ -7,6 +7,7 @@ columns so that generated code stays small. Exact distinct counts group
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -245,9 +246,11 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> Da
         }
         if approx:
             facts[c.name]["distinct_values"] = F.approx_count_distinct(shown, rsd)
-    stats = _long(df, facts).withColumn("detected_type", _detected())
+    # A table in few files is dealt over all cores; its places, for the samples, are those of the files.
+    wide = session.spread(df) if session.from_files(df) else df
+    stats = _long(wide, facts).withColumn("detected_type", _detected())
     if not approx:
-        distinct = value_counts(df).groupBy("position").agg(F.count("*").alias("distinct_values"))
+        distinct = value_counts(wide).groupBy("position").agg(F.count("*").alias("distinct_values"))
         stats = stats.join(distinct, "position", "left").withColumn(
             "distinct_values", F.coalesce("distinct_values", F.lit(0))
         )
@@ -271,7 +274,9 @@ def first_values(df: DataFrame) -> list[list[str]]:
     files = sorted(rows.inputFiles())
     found: list[list[str]] = [[] for _ in shown]
     if files:
-        head = rows.filter((F.col("_place.file") == files[0]) & (F.col("_place.row") < HEAD_ROWS))
+        # The two sources of a file's name write its scheme with one slash or three.
+        plain = F.regexp_replace("_place.file", "^[A-Za-z0-9]+:/+", "/")
+        head = rows.filter((plain == re.sub("^[A-Za-z0-9]+:/+", "/", files[0])) & (F.col("_place.row") < HEAD_ROWS))
         firsts = [F.slice(F.array_sort(F.collect_list(_valued(n))), 1, 2).alias(f"f{i}") for i, n in enumerate(shown)]
         found = [[v["value"] for v in values_] for values_ in head.agg(*firsts).first()]
     few = [i for i in range(len(shown)) if len(found[i]) < 2]
@@ -353,13 +358,11 @@ def column_issues(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of identical rows: one row, ``duplicate_rows``.
-
-    Rows are grouped by the SHA-256 of their cells, each with its length in front: 32 bytes a row
-    are shuffled, however many columns there are.
-    """
-    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in map(_equality_text, values.cells(df))]
-    groups = df.select(F.unhex(F.sha2(F.concat(F.lit(""), *cells), 256)).alias("row")).groupBy("row").agg(F.count("*").alias("n"))
+    """Rows beyond the first of each group of identical rows: one row, ``duplicate_rows``."""
+    keys = []
+    for i, c in enumerate(values.cells(df)):
+        keys.append((values.group_key(c.text) if c.is_text else c.value).alias(f"k{i}"))
+    groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -76,7 +76,8 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 _ROW_KEEPING = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
 
 
-def _from_files(df: DataFrame) -> bool:
+def from_files(df: DataFrame) -> bool:
+    """Whether the rows come straight from files: projected and filtered at most."""
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in _ROW_KEEPING:
         if node.nodeName() == "LogicalRelation":
@@ -93,7 +94,7 @@ def placed(df: DataFrame, name: str = "_place") -> DataFrame:
     (a join, an aggregate, text files) are staged first and have the places of the staged files.
     """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    if _from_files(df):
+    if from_files(df):
         try:
             return df.select("*", place.alias(name))
         except AnalysisException:  # the format does not number rows
