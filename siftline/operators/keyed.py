@@ -35,17 +35,20 @@ def attach_by_key(
     weight: str | None = None,
     broadcast_bytes: int | None = None,
     heavy_keys: int = HEAVY_KEYS,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Left-join ``table`` (columns ``key`` + payload, one row per key) to ``rows``.
 
     ``table`` must be staged (see ``session.stage``). ``weight`` names its column
     with the number of rows per key; without it a table too large to broadcast is
-    joined by shuffle, with Spark's own skew handling.
+    joined by shuffle, with Spark's own skew handling. ``fits`` says that the caller
+    has measured the table, or one that holds it, against the limit.
     """
     limit = session.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    _, size = session.measured_bytes(table, ["key", *payload])
+    if fits is None:
+        fits = session.measured_bytes(table, ["key", *payload])[1] <= limit
     keyed = rows.withColumn("_key", key)
-    if size <= limit:
+    if fits:
         small = F.broadcast(table.select(F.col("key").alias("_k"), *payload))
         return keyed.join(small, F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
     if weight is None:

@@ -83,10 +83,60 @@ def keep_before(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({BEFORE + c: F.col(f"`{c}`").cast("string") for c in columns if c in df.columns})
 
 
-def resolve_lookups(df: DataFrame, lookups: list[Lookup]) -> DataFrame:
+def _dictionary(lookups: list[Lookup]) -> DataFrame:
+    """(field, key, _resolved) of all lookups in one table; ``field`` is the place in the list."""
+    parts = []
+    for i, lookup in enumerate(lookups):
+        entry = lookup.parent.select(
+            F.lit(i).alias("field"),
+            values.group_key(F.col(lookup.match_field).cast("string")).alias("key"),
+            F.col(lookup.id_field).cast("string").alias("_resolved"),
+        )
+        parts.append(entry.filter(F.col("key").isNotNull() & F.col("_resolved").isNotNull()))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("field", "key").agg(F.min("_resolved").alias("_resolved"))
+
+
+def _open_values(lookups: list[Lookup]) -> list[Column]:
+    texts = [session.sql_column(lookup.column).cast("string") for lookup in lookups]
+    return [F.when(~looks_like_id(text), text) for text in texts]
+
+
+def resolve_lookups(df: DataFrame, lookups: list[Lookup], broadcast_bytes: int | None = None) -> DataFrame:
+    """All reference columns resolved as by ``resolve_lookup``, from one dictionary.
+
+    The parents of all fields are reduced to one staged (field, key, id) table, which is measured once for
+    all fields. When it is larger than ``broadcast_bytes``, the distinct (field, value) pairs of the rows are
+    counted in one pass over all fields and matched first. A column that is named again is resolved on
+    the outcome of its earlier lookup, with a dictionary of its own.
+    """
+    limit = session.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    first, later, seen = [], [], set()
     for lookup in lookups:
-        df = resolve_lookup(df, lookup)
-    return df
+        (later if lookup.column in seen else first).append(lookup)
+        seen.add(lookup.column)
+    if not first:
+        return df
+    staged = session.stage(_dictionary(first), "dictionary")
+    _, size = session.measured_bytes(staged, ["key", "_resolved"])
+    weight = None
+    if size > limit:
+        pairs = F.array(*[F.struct(F.lit(i).alias("field"), values.group_key(c).alias("key")) for i, c in enumerate(_open_values(first))])
+        used = df.select(F.inline(pairs)).filter(F.col("key").isNotNull()).groupBy("field", "key").agg(F.count("*").alias("_rows"))
+        staged = session.stage(used.join(staged, ["field", "key"]), "dictionary-used")
+        weight = "_rows"
+    for i, lookup in enumerate(first):
+        c = lookup.column
+        table = staged.filter(F.col("field") == i).drop("field")
+        value = values.group_key(_open_values([lookup])[0])
+        joined = keyed.attach_by_key(
+            df, value, table, ["_resolved"], weight=weight, broadcast_bytes=limit, fits=True if weight is None else None
+        )
+        resolved = F.coalesce("_resolved", session.sql_column(c).cast("string")).alias(c)
+        df = joined.select(*[resolved if n == c else session.sql_column(n) for n in df.columns])
+    return resolve_lookups(df, later, broadcast_bytes) if later else df
 
 
 def lookup_report(before: DataFrame, lookups: list[Lookup]) -> DataFrame:

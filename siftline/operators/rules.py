@@ -522,6 +522,9 @@ def _by_arrays(df: DataFrame, plan: DataFrame, as_of: dt.date) -> DataFrame:
     always = F.when(F.col("source_column").isNull(), F.col("kind") == "unresolved_fails").otherwise(
         ~known & values.contains_any(F.col("text"), fixed.UNRESOLVED_FAILS_WORDS)
     )
+    count, size = session.measured_bytes(plan, PLAN_COLUMNS)
+    if size > session.BROADCAST_BYTES:
+        raise ValueError(f"{count} message rules take {size} bytes: more than a broadcast of {session.BROADCAST_BYTES} holds")
     lists = [F.collect_list(F.when(F.col("source_column") == name, rule)).alias(f"_rules_{i}") for i, name in enumerate(used)]
     table = session.stage(plan.agg(F.collect_list(F.when(always, rule)).alias("_always"), *lists), "rule-arrays")
     ready, cells = values.prepared_cells(df, used, numbers=set(used), dates=set(used))

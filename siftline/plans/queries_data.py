@@ -577,6 +577,11 @@ def lookup_large_parent(t):
     return lookup.resolve_lookup(_lookup_source(t).drop("nation"), _lookups(t)[0], broadcast_bytes=0)
 
 
+@query("lookup_large_dictionary", _LOOK_SQL + "SELECT * FROM res")
+def lookup_large_dictionary(t):
+    return lookup.resolve_lookups(_lookup_source(t), _lookups(t), broadcast_bytes=0)
+
+
 @query(
     "lookup_report",
     _LOOK_SQL + """SELECT 'account' AS field, count(DISTINCT account) AS resolved_values FROM src JOIN acc ON acc.k = account WHERE NOT regexp_matches(account, '^[A-Za-z0-9]{15}$')

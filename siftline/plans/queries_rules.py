@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed
-from siftline.operators import checks, constraints, coverage, load, logs, report, rules
+from siftline.operators import checks, constraints, coverage, load, logs, report, rule_index, rules
 from siftline.plans import flows
 from siftline.plans import samples as S
 from siftline.plans.registry import query
@@ -352,6 +352,51 @@ def formula_bad_predicate(t):
     return rules.validate_frame(t.orders, listed).select("o_orderkey", failed.alias("failed"))
 
 
+# --- thousands of rules ---------------------------------------------------------------------
+
+#: One rule for each kind of part. How many kinds there are does not grow with the table, the parts of a kind do.
+_KIND_SQL = """kind AS (SELECT p_brand || '|' || p_type || '|' || p_size AS rule_name, p_size % 5 AS form, min(p_retailprice) AS price,
+  min(p_partkey) AS part, upper(substr(p_type, 1, 1)) AS letter FROM part GROUP BY p_brand, p_type, p_size)"""
+_HIT_SQL = (
+    f"WITH {_KIND_SQL}, line AS MATERIALIZED (SELECT *, row_number() OVER () AS place FROM lineitem), hit AS ("
+    "SELECT rule_name, place FROM kind JOIN line ON l_extendedprice < price WHERE form = 0 "
+    "UNION ALL SELECT rule_name, place FROM kind JOIN line ON l_partkey = part WHERE form = 1 "
+    "UNION ALL SELECT rule_name, place FROM kind JOIN line ON l_extendedprice >= price * 50 WHERE form = 2 "
+    "UNION ALL SELECT rule_name, place FROM kind JOIN line ON l_shipdate <= DATE '1992-01-01' + CAST(part % 60 AS INTEGER) WHERE form = 3 "
+    "UNION ALL SELECT rule_name, place FROM kind JOIN line ON l_returnflag = letter WHERE form = 4) "
+)
+
+
+def _kind_rules(t):
+    kinds = t.part.groupBy("p_brand", "p_type", "p_size").agg(F.min("p_retailprice").alias("price"), F.min("p_partkey").alias("part"))
+    return kinds.selectExpr(
+        "concat_ws('|', p_brand, p_type, p_size) AS rule_name",
+        "element_at(array('l_extendedprice', 'l_partkey', 'l_extendedprice', 'l_shipdate', 'l_returnflag'), p_size % 5 + 1) AS field",
+        "element_at(array('<', '=', '>=', '<=', '='), p_size % 5 + 1) AS operator",
+        "CASE p_size % 5 WHEN 0 THEN string(price) WHEN 1 THEN string(part) WHEN 2 THEN string(price * 50) "
+        "WHEN 3 THEN string(date_add(DATE'1992-01-01', int(part % 60))) ELSE upper(substr(p_type, 1, 1)) END AS constant",
+    )
+
+
+@query(
+    "rule_index_rows",
+    _HIT_SQL + "SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, count(rule_name) AS error_count, "
+    "md5(coalesce(string_agg(rule_name, ',' ORDER BY rule_name), '')) AS broken FROM line LEFT JOIN hit USING (place) GROUP BY place",
+)
+def rule_index_rows(t):
+    checked = rule_index.validate_indexed(spread(t.lineitem), _kind_rules(t))
+    names = F.array_join(F.transform("violations", lambda v: v["rule"]), ",")
+    return checked.select("l_orderkey", "l_linenumber", F.col("error_count").cast("long").alias("error_count"), F.md5(names).alias("broken"))
+
+
+@query(
+    "rule_index_hits",
+    _HIT_SQL + "SELECT rule_name, count(place) AS hits FROM kind LEFT JOIN hit USING (rule_name) GROUP BY ALL",
+)
+def rule_index_hits(t):
+    return rule_index.rule_hits(t.lineitem, _kind_rules(t)).select("rule_name", "hits")
+
+
 @query(
     "attach_results_orders",
     """SELECT o_orderkey, o_orderkey % 10 <> 0 AND o_custkey % 3 <> 0 AS is_valid, CASE WHEN o_orderkey % 10 <> 0 AND o_custkey % 3 = 0 THEN 'a; b' || o_custkey % 3 ELSE '' END AS validation_errors FROM orders""",
