@@ -24,23 +24,24 @@ NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|inf
 #: The same without the words.
 FINITE_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
-#: Accepted date texts, tried in this order. The shape test keeps the parser
-#: from raising (and swallowing) an exception for every other format.
+#: Accepted date texts, tried in this order: shape, format, least and greatest length. The length of a
+#: cell leaves few formats whose shape is tested, and the shape test keeps the parser from raising (and
+#: swallowing) an exception for every other format.
 DATE_FORMATS = [
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "yyyy-MM-dd'T'HH:mm:ssX"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$", "yyyy-MM-dd'T'HH:mm:ss.SSSX"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd", 10, 10),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm", 16, 16),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss", 19, 19),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]", 21, 26),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss", 19, 19),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "yyyy-MM-dd'T'HH:mm:ssX", 20, 20),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$", "yyyy-MM-dd'T'HH:mm:ss.SSSX", 24, 24),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX", 27, 27),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d", 8, 10),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", 8, 10),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy", 8, 10),
+    (r"^\d{8}$", "yyyyMMdd", 8, 8),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy", 10, 11),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", 11, 12),
 ]
 
 
@@ -68,18 +69,23 @@ def number(c: Column | str) -> Column:
 def timestamp(c: Column | str) -> Column:
     """Text as a timestamp by the first accepted format; null when none fits."""
     value = strip(c)
+    size = F.octet_length(value)
     parsed = F.coalesce(
-        *[F.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(fmt))) for shape, fmt in DATE_FORMATS]
+        *[
+            F.when(size.between(least, most) & value.rlike(shape), F.try_to_timestamp(value, F.lit(fmt)))
+            for shape, fmt, least, most in DATE_FORMATS
+        ]
     )
     # No accepted form is longer, so long text is not tried at all.
-    return F.when(F.octet_length(value) <= 32, parsed)
+    return F.when(size <= 32, parsed)
 
 
 def stripped_timestamp(name: str) -> Column:
     """``timestamp`` of a named text column without outer white space."""
     c = sql_name(name)
     tries = ", ".join(
-        f"CASE WHEN {c} RLIKE {sql_text(shape)} THEN try_to_timestamp({c}, {sql_text(fmt)}) END" for shape, fmt in DATE_FORMATS
+        f"CASE WHEN octet_length({c}) BETWEEN {least} AND {most} AND {c} RLIKE {sql_text(shape)} THEN try_to_timestamp({c}, {sql_text(fmt)}) END"
+        for shape, fmt, least, most in DATE_FORMATS
     )
     start = sql_text(r"^(?:[0-9]|[A-Za-z]{3} [0-9])")
     return F.expr(f"CASE WHEN octet_length({c}) <= 32 AND {c} RLIKE {start} THEN coalesce({tries}) END")

@@ -381,14 +381,13 @@ def unpivot(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(row_id).alias("row_id"), F.inline(pairs))
 
 
-def join_by_field(long: DataFrame, rules: DataFrame, salt_buckets: int = 256) -> DataFrame:
-    """Cells x the rules of their field.
+def join_by_field(long: DataFrame, staged: DataFrame, salt_buckets: int = 256) -> DataFrame:
+    """Cells x the staged rules of their field.
 
     There are few fields and every row has each of them, so an ordinary shuffle
     on the field would be all skew. A rules table of measured size is broadcast;
     a larger one is copied to every salt bucket of the cells.
     """
-    staged = session.stage(rules, "rules")
     _, size = session.measured_bytes(staged, staged.columns)
     if size <= session.BROADCAST_BYTES:
         return long.join(F.broadcast(staged), "field")
@@ -402,13 +401,17 @@ def apply_constraints(df: DataFrame, row_id: str, constraints: DataFrame) -> Dat
 
     ``constraints`` has a column ``field`` (a column name of ``df``), optionally
     ``rule_name``, and the columns of ``extract_constraints``. Constraints on
-    columns that ``df`` lacks pass and give no rows.
+    columns that ``df`` lacks pass and give no rows. Only the columns that constraints
+    name are read.
     """
     if "rule_name" not in constraints.columns:
         constraints = constraints.withColumn("rule_name", F.col("field"))
-    rules = constraints.select("rule_name", "field", *CONSTRAINT_COLUMNS).withColumn("logic", classify_logic())
-    columns = [c for c in df.columns if c != row_id]
-    joined = join_by_field(parsed_cells(unpivot(df, row_id, columns)), rules)
+    listed = constraints.select("rule_name", "field", *CONSTRAINT_COLUMNS).withColumn("logic", classify_logic())
+    rules = session.stage(listed.filter(F.col("field").isin([c for c in df.columns if c != row_id])), "rules")
+    # Only columns of the frame are left, so the names that come here are no more than it has.
+    named = {r["field"] for r in rules.select("field").distinct().collect()}
+    cells = unpivot(df, row_id, [c for c in df.columns if c in named] or df.columns[:1])
+    joined = join_by_field(parsed_cells(cells), rules)
     k = {name: F.col(name) for name in [*CONSTRAINT_COLUMNS, "logic"]}
     judged = joined.withColumn("passed", constraint_passes(k))
     return judged.select(

@@ -598,15 +598,16 @@ g AS (SELECT *, CASE WHEN u1 OR u2 OR p OR q THEN 'FAILURE' ELSE 'SUCCESS' END A
 """
 
 
-def _categorized(t):
+def _categorized(t, joined: bool = False):
+    """``joined`` compares with the earlier frame by a join, else the earlier values travel with the rows."""
     before = _lookup_source(t).join(t.orders.selectExpr("o_orderkey", "o_orderpriority AS priority", "'K' || o_orderkey % 9000 AS code"), "o_orderkey")
-    after = lookup.resolve_lookups(before, _lookups(t))
+    after = lookup.resolve_lookups(before if joined else lookup.keep_before(before, ["account", "nation"]), _lookups(t))
     fields = [
         dict(name="priority", type="picklist", picklist=[("1-URGENT", True), ("2-HIGH", True), ("3-MEDIUM", True), ("4-NOT SPECIFIED", True), ("5-LOW", False)]),
         dict(name="code", type="string", is_unique=True),
     ]
     cat = cat_ops.catalog_rows(t.spark, [{"object": "Order"} | f for f in fields])
-    return lookup.categorize_transform(after, before, "o_orderkey", ["account", "nation"], cat)
+    return lookup.categorize_transform(after, before if joined else None, "o_orderkey", ["account", "nation"], cat)
 
 
 @query(
@@ -629,7 +630,7 @@ def categorize_orders(t):
     count(*) FILTER (u1 OR u2) AS lookup_failures, count(*) FILTER (p) AS picklist_failures, count(*) FILTER (q) AS unique_failures FROM g""",
 )
 def transform_summary(t):
-    out = lookup.transform_summary(_categorized(t))
+    out = lookup.transform_summary(_categorized(t, joined=True))
     return out.withColumns({c: F.round(c, 6) for c in ("success_percentage", "failure_percentage")})
 
 

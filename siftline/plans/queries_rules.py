@@ -597,7 +597,8 @@ _ENTRY_SQL = f"""WITH {S.LOG_SQL}, entry AS (SELECT timestamp, event_id, CASE WH
   CASE WHEN contains(file_path, 'dataload/') THEN 'Data Loader' WHEN contains(file_path, '/validation/') THEN 'Validation' WHEN contains(file_path, '/mapping/') THEN 'Mapping'
     WHEN contains(file_path, '/unit/') THEN 'Unit Testing' ELSE 'System' END AS module,
   CASE WHEN contains(file_path, 'processing_summary') THEN 'Processed ' || records || ' records: ' || success || ' success, ' || errors || ' errors'
-    ELSE 'Batch ' || batch_number || ': ' || success || ' success, ' || errors || ' errors' END AS message FROM log)
+    ELSE 'Batch ' || batch_number || ': ' || success || ' success, ' || errors || ' errors' END AS message,
+  'Unknown' AS operation, COALESCE(object, 'Unknown') AS object, 'Unknown' AS org, file_path FROM log)
 """
 
 
@@ -605,9 +606,9 @@ def _entries(t):
     return logs.log_entries(S.log_rows(t))
 
 
-@query("log_entries_events", _ENTRY_SQL + "SELECT timestamp, level, source, module, message FROM entry")
+@query("log_entries_events", _ENTRY_SQL + "SELECT * EXCLUDE (event_id) FROM entry")
 def log_entries_events(t):
-    return _entries(t).select("timestamp", "level", "source", "module", "message")
+    return _entries(t)
 
 
 @query("log_entries_filtered", _ENTRY_SQL + "SELECT message FROM entry WHERE source = 'Data Operations' AND level = 'ERROR'")

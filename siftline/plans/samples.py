@@ -163,6 +163,7 @@ LOG = {
     "records": "event_id",
     "success": "event_id - user_id % 7",
     "errors": "user_id % 7",
+    "object": "event_type",
 }
 LOG_SQL = "log AS (SELECT ts AS timestamp, " + ", ".join(f"{e} AS {n}" for n, e in LOG.items()) + " FROM events)"
 
@@ -209,5 +210,5 @@ def catalog(t: Tables) -> DataFrame:
 
 def log_rows(t: Tables) -> DataFrame:
     return t.events.selectExpr(
-        "ts AS timestamp", *_exprs(LOG), "CAST(NULL AS STRING) AS operation", "event_type AS object", "CAST(NULL AS STRING) AS org"
+        "ts AS timestamp", *_exprs(LOG), "CAST(NULL AS STRING) AS operation", "CAST(NULL AS STRING) AS org"
     )
