@@ -394,7 +394,7 @@ def rule_index_rows(t):
     _HIT_SQL + "SELECT rule_name, count(place) AS hits FROM kind LEFT JOIN hit USING (rule_name) GROUP BY ALL",
 )
 def rule_index_hits(t):
-    return rule_index.rule_hits(t.lineitem, _kind_rules(t)).select("rule_name", "hits")
+    return rule_index.rule_hits(spread(t.lineitem), _kind_rules(t)).select("rule_name", "hits")
 
 
 @query(
