@@ -12,9 +12,13 @@ are a run. Runs meet by anchor in buckets, whose number follows the size of the
    where the operator's own method (suffix sorting, or relative Lempel-Ziv parsing) finds the
    shared windows.
 
-Anchors with many runs are counted beforehand. Their runs do not meet in a bucket: whole runs, and
-then the windows of those that are not settled, find their smallest document by their hashes, with
-map-side minima and a join that spreads frequent hashes, so no anchor gathers in one task.
+Anchors with many runs are counted beforehand. Their runs do not meet at the anchor. Runs that stand
+as a whole in a smaller document are found by their hashes: tasks keep one entry per distinct run
+and send the entries as arrays, dealt by hash. The others are split by what surrounds the anchor:
+the windows that have one of the stretches go to the bucket of (anchor, stretch), four at most for a
+run; equal windows have equal stretches, so they still meet, and the operator's method decides.
+Stretches that many runs share, too, are the edge of one passage in many surroundings: their windows
+find their smallest document by their hashes, by the same arrays, so no anchor gathers in one task.
 
 Texts that are copies as a whole are settled beforehand by their digests.
 """
@@ -41,11 +45,13 @@ BLOCK_BYTES = 1 << 19
 NULL_ID = np.iinfo(np.int64).max
 #: Stretches around an anchor that a run is asked by.
 PROBES = 4
-#: An anchor with more runs than this is hot; in one task's FLUSH_BYTES, fewer than SEEN are not counted.
+#: An anchor (or stretch) with more runs than this, and than 1/MOST_HOT of all runs, is hot; so there are fewer than MOST_HOT.
 HOT = 2000
-SEEN = 8
-#: The most anchors that are hot: those with most runs.
 MOST_HOT = 100_000
+#: In one task's FLUSH_BYTES, an anchor is not counted with a single run, nor with less than 1/MOST_HOT of the runs there (SEEN at most).
+SEEN = 8
+#: Bytes of distinct hashes that meet in one task.
+CODE_BYTES = 32 << 20
 _PLACE = np.uint64((1 << 27) - 1)
 
 
@@ -141,12 +147,21 @@ def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], shape: Shape, least: int) -> Iterator[pa.RecordBatch]:
-    """(_key, _id, _text) to (gram, n): anchors that have ``least`` runs or more within FLUSH_BYTES."""
+def _numbers(gram: np.ndarray, n: np.ndarray, total: int) -> pa.RecordBatch:
+    """Rows (gram, n), and one row (null, all of them)."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.append(gram.view(np.int64), 0), mask=np.append(np.zeros(len(gram), bool), True)), pa.array(np.append(n, total).astype(np.int64))], ["gram", "n"]
+    )
+
+
+def _counted(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
+    """(_key, _id, _text) to (gram, n): anchors that have many runs within FLUSH_BYTES, and the number of all runs at null."""
 
     def told() -> pa.RecordBatch:
-        gram, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram[n >= least].view(np.int64)), pa.array(n[n >= least])], ["gram", "n"])
+        all_ = np.concatenate(held)
+        gram, n = np.unique(all_, return_counts=True)
+        seen = n >= max(2, min(SEEN, len(all_) // MOST_HOT))
+        return _numbers(gram[seen], n[seen], len(all_))
 
     held: list[np.ndarray] = []
     size = 0
@@ -163,19 +178,47 @@ def _counted(batches: Iterator[pa.RecordBatch], shape: Shape, least: int) -> Ite
     common.give_back()
 
 
+def _often(counts: DataFrame, tag: str) -> np.ndarray:
+    """The hot ones among counted (gram, n), sorted; fewer than MOST_HOT."""
+    many = session.stage(counts.groupBy("gram").agg(F.sum("n").alias("n")).filter((F.col("n") > HOT) | F.col("gram").isNull()), tag)
+    total = many.filter("gram IS NULL").first()
+    limit = max(HOT, (total["n"] if total else 0) // MOST_HOT)
+    found = many.filter(F.col("gram").isNotNull() & (F.col("n") > limit)).collect()
+    return np.sort(np.array([x["gram"] for x in found], np.int64).view(np.uint64))
+
+
 def _hot(gram: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which anchors are among the sorted hot ones."""
     return hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram if len(hot) else np.zeros(len(gram), bool)
 
 
-def _codes(gram: np.ndarray, content: np.ndarray) -> pa.Array:
-    """16 bytes for each run or window: of its anchor and of its units."""
-    data = np.stack([gram, content], 1)
-    return pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.arange(0, 16 * len(gram) + 1, 16, dtype=np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+def _grouped(gram: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by gram, content and id; whether another (gram, content) begins there)."""
+    order = np.lexsort((ids, content, gram))
+    g, c = gram[order], content[order]
+    fresh = np.ones(len(g), bool)
+    fresh[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    return order, fresh
+
+
+def _flush(gram: np.ndarray, content: np.ndarray, keys: np.ndarray, ids: np.ndarray, place: np.ndarray) -> bytes:
+    """Runs or windows of one task: their distinct (gram, content) with the smallest and largest ids, and each one's number among them."""
+    order, fresh = _grouped(gram, content, ids)
+    g, c, own = gram[order], content[order], ids[order]
+    head = np.flatnonzero(fresh)
+    code = np.empty(len(g), np.uint32)
+    code[order] = np.cumsum(fresh) - 1
+    return pickle.dumps((g[head], c[head], own[head], own[np.append(head, len(g))[1:] - 1], code, keys, ids, place.astype(np.uint32)), protocol=5)
 
 
 def _hot_runs(batches: Iterator[pa.RecordBatch], shape: Shape, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(_key, _id, _text) to (_key, _id, place, code): the runs of hot anchors."""
+    """(_key, _id, _text) to (blob): the runs of hot anchors."""
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([_flush(*(np.concatenate(x) for x in zip(*held, strict=True)))], pa.binary())], ["blob"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
     for batch in batches:
         keys, ids = batch.column(0).to_numpy(False), batch.column(1).to_numpy(False)
         for lo, _, data, offsets in common.text_blocks(batch, 2, BLOCK_BYTES):
@@ -184,45 +227,164 @@ def _hot_runs(batches: Iterator[pa.RecordBatch], shape: Shape, hot: np.ndarray)
             gram = r.gram[r.anchor]
             at = np.flatnonzero(_hot(gram, hot))
             doc, content = r.doc[at], r.hashes.of(r.first[at], r.last[at] + shape.length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[lo + doc]), pa.array(ids[lo + doc]), pa.array(r.first[at] - begin[doc]), _codes(gram[at], content)], ["_key", "_id", "place", "code"]
-            )
+            held.append((gram[at], content, keys[lo + doc], ids[lo + doc], r.first[at] - begin[doc]))
+            size += len(data)
+            if size >= FLUSH_BYTES:
+                yield told()
+                held, size = [], 0
+    if held:
+        yield told()
     common.give_back()
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(blob) to (_key, _id, place, code): the windows of runs of hot anchors."""
+def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(blob, _flush) to (bucket, _flush, blob): the distinct codes of a flush, dealt by hash."""
     for batch in batches:
-        for blob in batch.column(0):
-            keys, ids, start, count, gram, content = pickle.loads(blob.as_py())
-            place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(keys, count)), pa.array(np.repeat(ids, count)), pa.array(place), _codes(np.repeat(gram, count), content)], ["_key", "_id", "place", "code"]
-            )
+        rows: list[tuple[int, int, bytes]] = []
+        for blob, flush in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            gram, content, low, high = pickle.loads(blob.as_py())[:4]
+            which = _bucket(common.mix(gram ^ content), buckets)
+            order = np.argsort(which, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1]])) if len(order) else order
+            for at in np.split(order, edge[1:]) if len(order) else []:
+                rows.append((int(which[at[0]]), flush, pickle.dumps((gram[at], content[at], low[at], high[at], at.astype(np.uint32)), protocol=5)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], ["bucket", "_flush", "blob"]
+        )
+    common.give_back()
+
+
+def _least(table: pa.Table) -> pa.Table:
+    """One bucket of codes to (_flush, least): for each flush, the codes that a smaller document has, and that document."""
+    parts = [pickle.loads(b) for b in table.column("blob").to_pylist()]
+    gram, content, low, high = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order, fresh = _grouped(gram, content, low)
+    least = np.empty_like(low)
+    least[order] = low[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    edge = np.cumsum([0] + [len(p[0]) for p in parts])
+    flushes, told = [], []
+    for flush, p, a, b in zip(table.column("_flush").to_pylist(), parts, edge[:-1], edge[1:], strict=True):
+        at = np.flatnonzero(least[a:b] < high[a:b])
+        if len(at):
+            flushes.append(flush)
+            told.append(pickle.dumps((p[4][at], least[a:b][at]), protocol=5))
     common.give_back()
+    return pa.table([pa.array(flushes, pa.int64()), pa.array(told, pa.binary())], names=["_flush", "least"])
 
 
-def _smallest(rows: DataFrame, tag: str) -> DataFrame:
-    """The rows (_key, _id, place, code) with ``least``, the smallest document of a code that several have."""
-    found = rows.groupBy("code").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count("*").alias("n")).filter("most > least")
-    return common.attach(rows, session.stage(found.select("code", "least", "n"), tag), "code", ["least"], weight="n")
+def _smaller(blob: bytes, told: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a flush's runs or windows: key, place, and whether a smaller document has them."""
+    _, _, low, _, code, keys, ids, place = pickle.loads(blob)
+    least = low.copy()
+    for x in told or []:
+        at, value = pickle.loads(x)
+        least[at] = value
+    return keys, place.astype(np.int64), least[code] < ids
 
 
 def _hot_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_key, place, settled) of runs to (_key, marks)."""
+    """(blob, least) of runs to (_key, marks)."""
     for batch in batches:
-        keys, place, settled = (batch.column(i).to_numpy(False) for i in range(3))
-        yield _marks(keys, place, np.where(settled, 1, 2)).to_batches()[0]
+        for blob, told in zip(batch.column(0), batch.column(1), strict=True):
+            keys, place, settled = _smaller(blob.as_py(), told.as_py())
+            yield from _marks(keys, place, np.where(settled, 1, 2)).to_batches()
     common.give_back()
 
 
 def _hot_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_key, place) of repeated windows to (_key, blob)."""
+    """(blob, least) of windows to (_key, blob)."""
     for batch in batches:
-        yield _spans(batch.column(0).to_numpy(False), batch.column(1).to_numpy(False)).to_batches()[0]
+        for blob, told in zip(batch.column(0), batch.column(1), strict=True):
+            keys, place, repeated = _smaller(blob.as_py(), told.as_py())
+            yield from _spans(keys[repeated], place[repeated]).to_batches()
     common.give_back()
 
 
+def _with_least(flushes: DataFrame, tag: str) -> DataFrame:
+    """Blobs of ``_flush`` to (blob, least): what smaller documents have of it. Rows are whole flushes, not runs or windows."""
+    held = session.stage(flushes.select("blob", F.monotonically_increasing_id().alias("_flush")), tag)
+    buckets = common.parts(held.agg(F.sum(F.octet_length("blob"))).first()[0] or 0, CODE_BYTES)
+    codes = held.mapInArrow(lambda b: _asked(b, buckets), "bucket int, _flush bigint, blob binary")
+    least = codes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_least, "_flush bigint, least binary")
+    return held.join(least.groupBy("_flush").agg(F.collect_list("least").alias("least")), "_flush", "left").select("blob", "least")
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Windows of runs that have one of the stretches around the anchor: their route, run, first window in the run, and number."""
+
+    route: np.ndarray
+    run: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+
+def _pieces(gram: np.ndarray, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: Hashes, shape: Shape) -> Pieces:
+    """The pieces of runs with the given anchors, which lie at ``begin`` to ``end`` of the hashed units."""
+    extra = shape.length - shape.gram
+    out = []
+    for j, (before, behind) in enumerate(shape.cuts):
+        first = np.maximum(begin, anchor - (extra - behind))
+        last = np.minimum(end - shape.length, anchor - before)
+        at = np.flatnonzero(first <= last)
+        stretch = hashes.of(anchor[at] - before, anchor[at] + shape.gram + behind)
+        out.append((common.mix(common.mix(gram[at] + np.uint64(j)) ^ stretch), at, first[at] - begin[at], last[at] - first[at] + 1))
+    return Pieces(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def _loaded(blob: bytes, shape: Shape) -> tuple[tuple[np.ndarray, ...], Hashes, Pieces]:
+    gram, keys, ids, start, length, anchor, text = pickle.loads(blob)
+    end = np.cumsum(length.astype(np.int64))
+    begin = end - length
+    hashes = Hashes(text)
+    return (keys, ids, start.astype(np.int64), begin, text), hashes, _pieces(gram, begin + anchor, begin, end, hashes, shape)
+
+
+def _routes(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
+    """(blob) of hot runs to (gram, n): how many pieces have a route."""
+    for batch in batches:
+        for blob in batch.column(0):
+            _, _, pieces = _loaded(blob.as_py(), shape)
+            route, n = np.unique(pieces.route, return_counts=True)
+            yield _numbers(route, n, len(pieces.route))
+    common.give_back()
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after another."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _routed(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(blob) of hot runs to pieces to compare (bucket, blob), and the windows of hot routes (bucket -2, blob as _flush)."""
+    for batch in batches:
+        for blob in batch.column(0):
+            (keys, ids, start, begin, text), hashes, p = _loaded(blob.as_py(), shape)
+            hot_ = _hot(p.route, hot)
+            out: list[tuple[int, bytes]] = []
+            if hot_.any():
+                run, count = p.run[hot_], p.count[hot_]
+                window = _spread(begin[run] + p.first[hot_], count)
+                each = np.repeat(run, count)
+                out.append((-2, _flush(np.repeat(p.route[hot_], count), hashes.of(window, window + shape.length), keys[each], ids[each], start[each] + window - begin[each])))
+            at = np.flatnonzero(~hot_)
+            run, length = p.run[at], p.count[at] + shape.length - 1
+            out += _dealt(_bucket(p.route[at], buckets), keys[run], ids[run], start[run] + p.first[at], begin[run] + p.first[at], length, text, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "blob"])
+    common.give_back()
+
+
+def _dealt(which: np.ndarray, keys: np.ndarray, ids: np.ndarray, start: np.ndarray, place: np.ndarray, length: np.ndarray, text: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, blob) of segments that lie at ``place`` of the text."""
+    order = np.argsort(which, kind="stable")
+    edges = np.searchsorted(which[order], np.arange(buckets + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        at = order[edges[b] : edges[b + 1]]
+        out.append((b, pickle.dumps((keys[at], ids[at], start[at].astype(np.uint32), length[at].astype(np.uint32), text[_spread(place[at], length[at])]), protocol=5)))
+    return out
+
+
 def _entries(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(_key, _id, _text) to (bucket, blob): the hashes of all runs but those of hot anchors, in document order within a blob."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -271,13 +433,10 @@ def _sent(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
 
 def _verdicts(gram: np.ndarray, content: np.ndarray, probes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each run: 1 it stands as a whole in a smaller document, 2 it may share windows with other runs, else 0."""
-    order = np.lexsort((ids, content, gram))
-    g, c = gram[order], content[order]
-    fresh = np.ones(len(g), bool)
-    fresh[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    order, fresh = _grouped(gram, content, ids)
     group = np.cumsum(fresh) - 1
     heads = order[fresh]
-    out = np.zeros(len(g), np.uint8)
+    out = np.zeros(len(order), np.uint8)
     out[order] = (ids[order] > ids[heads][group]).astype(np.uint8)
     need = np.zeros(len(heads), bool)
     for side in probes[heads].T:  # 8 bits of the hash of a stretch; 0 where the run has no window with it
@@ -287,7 +446,7 @@ def _verdicts(gram: np.ndarray, content: np.ndarray, probes: np.ndarray, ids: np
         same[1:] = key[by][1:] == key[by][:-1]
         same[:-1] |= same[1:]
         need[by] |= same & (side[by] != 0)
-    asked = np.zeros(len(g), bool)
+    asked = np.zeros(len(order), bool)
     asked[order] = need[group]
     out[asked & (out == 0)] = 2
     return out
@@ -341,25 +500,19 @@ def _details(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, hot:
             split = _hot(r.gram[r.anchor[asked]], hot)
             if split.any():
                 at, asked = asked[split], asked[~split]
-                count = r.last[at] - r.first[at] + 1
-                window = np.repeat(r.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                out.append((-2, 0, pickle.dumps((keys[lo + r.doc[at]], ids[lo + r.doc[at]], start[at], count, r.gram[r.anchor[at]], r.hashes.of(window, window + shape.length)), protocol=5)))
+                length = r.last[at] + shape.length - r.first[at]
+                text = values[_spread(r.first[at], length)]
+                own = lo + r.doc[at]
+                out.append((-2, 0, pickle.dumps((r.gram[r.anchor[at]], keys[own], ids[own], start[at].astype(np.uint32), length, r.anchor[at] - r.first[at], text), protocol=5)))
             if len(asked):
                 gram = r.gram[r.anchor[asked]]
                 length = r.last[asked] + shape.length - r.first[asked]
-                place = np.repeat(r.first[asked] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                sent.append((_bucket(gram, buckets), keys[lo + r.doc[asked]], ids[lo + r.doc[asked]], start[asked], length, values[place]))
+                text = values[_spread(r.first[asked], length)]
+                sent.append((_bucket(gram, buckets), keys[lo + r.doc[asked]], ids[lo + r.doc[asked]], start[asked], length, text))
         if sent:
             which, key, own, start, length = (np.concatenate([x[i] for x in sent]) for i in range(5))
             text = np.concatenate([x[5] for x in sent])
-            ends = np.cumsum(length)
-            order = np.argsort(which, kind="stable")
-            edges = np.searchsorted(which[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = order[edges[b] : edges[b + 1]]
-                if len(at):
-                    place = np.repeat(ends[at] - length[at] - (np.cumsum(length[at]) - length[at]), length[at]) + np.arange(length[at].sum())
-                    out.append((b, 0, pickle.dumps((key[at], own[at], start[at].astype(np.uint32), length[at].astype(np.uint32), text[place]), protocol=5)))
+            out += [(b, 0, blob) for b, blob in _dealt(which, key, own, start, np.cumsum(length) - length, length, text, buckets)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "_key", "blob"]
         )
@@ -425,28 +578,30 @@ def repeated_windows(docs: DataFrame, id_col: str, text: str, shape: Shape, meth
     )
     buckets = common.parts(keys.agg(F.sum("size")).first()[0] or 0, shape.bucket_bytes)
     own = rows.filter("NOT _copy").select("_key", "_id", "_text")
-    least = min(SEEN, HOT)
-    often = own.mapInArrow(lambda b: _counted(b, shape, least), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    often = often.filter(F.col("n") > HOT).orderBy(F.desc("n"), "gram").limit(MOST_HOT).collect()
-    hot = np.sort(np.array([x["gram"] for x in often], np.int64).view(np.uint64))
+    hot = _often(own.mapInArrow(lambda b: _counted(b, shape), "gram bigint, n bigint"), "often")
     entries = own.mapInArrow(lambda b: _entries(b, shape, buckets, hot), "bucket int, blob binary")
     answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "_key bigint, marks binary")
-    placed = "_key bigint, _id bigint, place bigint, code binary"
     if len(hot):
-        found = _smallest(session.stage(own.mapInArrow(lambda b: _hot_runs(b, shape, hot), placed), "hot-runs"), "hot-equal-runs")
-        settled = F.coalesce(F.col("least") < F.col("_id"), F.lit(False)).alias("settled")
-        answers = answers.unionByName(found.select("_key", "place", settled).mapInArrow(_hot_marks, "_key bigint, marks binary"))
+        told = _with_least(own.mapInArrow(lambda b: _hot_runs(b, shape, hot), "blob binary"), "hot-runs")
+        answers = answers.unionByName(told.mapInArrow(_hot_marks, "_key bigint, marks binary"))
     marks = session.stage(answers.groupBy("_key").agg(F.collect_list("marks").alias("marks")), "marks")
     size = marks.agg(F.sum(F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     # Marks of bytes are a good part of the text itself: they join by shuffle at every size.
     small = shape.unit == "word" and size <= session.BROADCAST_BYTES
     asked = own.join(F.broadcast(marks) if small else marks, "_key")
     details = session.stage(asked.mapInArrow(lambda b: _details(b, shape, buckets, hot), "bucket int, _key bigint, blob binary"), "details")
-    compared = details.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _compared(t, shape, method), "_key bigint, blob binary")
-    settled = details.filter("bucket = -1").select("_key", "blob").unionByName(compared)
+    apart = details.filter("bucket >= 0").select("bucket", "blob")
+    settled = details.filter("bucket = -1").select("_key", "blob")
     if len(hot):
-        found = _smallest(details.filter("bucket = -2").select("blob").mapInArrow(_hot_windows, placed), "hot-equal-windows")
-        settled = settled.unionByName(found.filter("least < _id").select("_key", "place").mapInArrow(_hot_spans, "_key bigint, blob binary"))
+        split = details.filter("bucket = -2").select("blob")
+        routes = _often(split.mapInArrow(lambda b: _routes(b, shape), "gram bigint, n bigint"), "routes")
+        routed = session.stage(split.mapInArrow(lambda b: _routed(b, shape, buckets, routes), "bucket int, blob binary"), "routed")
+        apart = apart.unionByName(routed.filter("bucket >= 0"))
+        if len(routes):
+            told = _with_least(routed.filter("bucket = -2").select("blob"), "hot-windows")
+            settled = settled.unionByName(told.mapInArrow(_hot_spans, "_key bigint, blob binary"))
+    compared = apart.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _compared(t, shape, method), "_key bigint, blob binary")
+    settled = settled.unionByName(compared)
     spans = session.stage(settled.groupBy("_key").agg(F.collect_list("blob").alias("spans")), "spans")
     size = spans.agg(F.sum(F.aggregate("spans", F.lit(0), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     return spans, rows.join(F.broadcast(spans) if size <= session.BROADCAST_BYTES else spans, "_key", "left")

@@ -115,6 +115,49 @@ def test_a_hot_anchor_does_not_meet_in_one_bucket(spark, monkeypatch):
     assert sizes and max(sizes) <= 30 + repeats.SEEN * 3
 
 
+@pytest.mark.parametrize("shape", [repeats.Shape("word", 20, 4), repeats.Shape("byte", 50, 24)])
+def test_pieces_of_hot_runs_cover_every_window_once_and_equal_windows_share_a_route(shape):
+    r = np.random.default_rng(5)
+    passage = r.integers(1, 200, 70)
+    texts = [np.concatenate([r.integers(1, 200, r.integers(0, 40)), passage, r.integers(1, 200, r.integers(0, 40))]) for _ in range(30)]
+    values = np.concatenate(texts).astype(np.uint8 if shape.unit == "byte" else np.uint64)
+    begin = np.cumsum([0] + [len(t) for t in texts])
+    x = repeats.runs(values, begin, shape)
+    p = repeats._pieces(x.gram[x.anchor], x.anchor, x.first, x.last + shape.length, x.hashes, shape)
+    first = x.first[p.run] + p.first
+    each = repeats._spread(first, p.count)
+    assert sorted(each.tolist()) == sorted(repeats._spread(x.first, x.last - x.first + 1).tolist())
+    assert Counter(p.run.tolist()).most_common(1)[0][1] <= repeats.PROBES
+    routes = {}
+    for start, route in zip(each.tolist(), np.repeat(p.route, p.count).tolist()):
+        routes.setdefault(values[start : start + shape.length].tobytes(), set()).add(route)
+    assert all(len(found) == 1 for found in routes.values())
+
+
+@pytest.mark.parametrize("hot", [6, 40])
+def test_hot_anchors_whose_stretches_differ_go_to_the_method(spark, monkeypatch, hot):
+    """Below the second limit no window is settled by hashes; above it, the edges of the passage are. The results are equal."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    tags = []
+    plain = repeats._with_least
+    monkeypatch.setattr(repeats, "_with_least", lambda flushes, tag: tags.append((tag, plain(flushes, tag))) or tags[-1][1])
+    r = random.Random(21)
+    body = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    core, sides = body(8), [(body(14), body(14)) for _ in range(12)]
+    rows = []
+    for i in range(96):
+        a, b = sides[i % 12]
+        text = body(r.randint(0, 9)) + a + core + b + body(r.randint(0, 9))
+        rows.append((i, " ".join(text), None, None, None, None, None, None))
+    shape = repeats.Shape("word", 20, 4, 1 << 20)
+    got = lz.drop_repeats(helpers.frame(spark, rows), shape=shape).collect()
+    want = [(i, len(g), int(g.sum())) for (i, _), g in brute(rows, helpers.words, 20).items()]
+    assert sorted(tuple(x[:3]) for x in got) == sorted(want)
+    assert [t for t, _ in tags] == (["hot-runs"] if hot == 40 else ["hot-runs", "hot-windows"])
+    for _, told in tags:
+        assert told.count() <= 96  # rows are flushes of tasks
+
+
 def test_suffix_array_in_memory_and_on_disk(tmp_path):
     for seed in range(120):
         r = random.Random(seed)
