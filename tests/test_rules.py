@@ -241,3 +241,34 @@ def test_predicate_that_cannot_be_evaluated_fails_its_rows(spark):
     listed = [rules.Rule("syntax", "id ) <"), rules.Rule("function", "no_such_function(id)"), rules.Rule("column", "nowhere = 1"), rules.Rule("good", "id = 1")]
     out = rules.validate_frame(df, listed).orderBy("id").collect()
     assert [r["error_count"] for r in out] == [3, 4, 3]
+
+
+def test_rules_that_ask_the_same_are_one_test(spark, monkeypatch):
+    from siftline import session
+
+    asked = [
+        "must be a past date", "must be after today", "is not a date", "should be a negative number", "must be an integer", "value must be a number",
+        "length must be minimum 3 maximum 5", "is too long", "is too short", "format must be uppercase", "format: postal code", "is required",
+        "must be at least 4 characters", "must be between 1 and 5", "", "is unique",
+    ]
+    names = ("id", "amount", "flag", "day")
+    table = spark.createDataFrame(
+        [(f"r{i}", f"{c} {a}" if a else "", c, {n: n for n in names}, True, "x" * i) for i, (c, a) in enumerate((c, a) for _ in range(3) for a in asked for c in (*names, "other"))],
+        RULES,
+    )
+    df = spark.createDataFrame(
+        [(1, 2.5, True, "2030-01-01"), (1, -1.0, False, "x"), (None, None, None, ""), (2, 7.0, True, "2001-05-05"), (2, 7.0, True, "ABCDE")],
+        "id int, amount double, flag boolean, day string",
+    )
+    inline = rules.message_rule_check(df, table, "id", AS_OF, inline_rules=10**9).collect()
+    by_tests = rules.message_rule_check(df, table, "id", AS_OF, inline_rules=0)
+    assert by_tests.collect() == inline and any(r["violations"] for r in inline)
+    # More text of rules than a task should hold: still every violation, and none is made for the count alone.
+    size = session.measured_bytes
+    monkeypatch.setattr(session, "measured_bytes", lambda staged, columns: (1, 2**40) if "error_message" in columns else size(staged, columns))
+    joined = rules.message_rule_check(df, table, "id", AS_OF, inline_rules=0)
+    order = [x["error_count"] for x in inline]
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, inline))
+    counts = joined.select("id", "error_count")
+    assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["error_count"] for r in counts.collect()) == sorted(order)
