@@ -1,9 +1,12 @@
 """How far the sources of a language are apart in their use of words, in exact integers.
 
-CountVectorizer (``minDF`` documents of the same language, no limit on the vocabulary) turns every
-document into a sparse vector of counts; a term carries its language, so one fit serves all
-languages. The vectors' entries are summed per source, and pairs of sources are evaluated on the
-entries that are not zero: what two sources differ by on the terms that neither has is one number.
+CountVectorizer (``minDF`` documents of the same language, no limit on the vocabulary) turns
+documents into sparse vectors of counts; a term carries its language, so one fit serves all
+languages. Tasks merge the documents that they hold beforehand: for the fit, a term is in as many
+rows as documents have it, ``minDF`` at most; for the vectors, a row lists the terms that the
+documents of a source have so many times, each once. The vectors' entries, times that number, are
+summed per source, and pairs of sources are evaluated on the entries that are not zero: what two
+sources differ by on the terms that neither has is one number.
 """
 
 from __future__ import annotations
@@ -26,41 +29,115 @@ from siftline.llm import common
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes folded: A-Z to a-z, what is no part of a term to a space.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+_FOLD_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint8)
 SCALE, SMOOTH = 1_000_000_000, 5
 #: Terms that one vectorizer may hold (its vocabulary is sent to the driver and to every task);
 #: a corpus with more of them is vectorized in slices of the terms, each by a model of its own.
 MODEL_TERMS = 4_000_000
 #: One term in so many is counted beforehand, to know how many slices there must be.
 PROBE = 64
+#: Text bytes whose documents a task merges before the vectorizer sees their terms.
+FLUSH_BYTES = 8 << 20
 #: Entries (source, term) that one task evaluates at once.
 BLOCK_ENTRIES = 100_000
 _END = "\x00"
 
 
-def _terms_of(distinct: bool, probe: bool):
-    def column(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for langs, texts in batches:
-            rows = []
-            for lang, text in zip(langs.to_pylist(), texts.cast(pa.binary()).to_pylist(), strict=True):
-                front = lang.encode("utf-8") + b"\x00"
-                # Only ASCII parts terms, so a text can be folded and split as bytes.
-                terms = text.translate(_FOLD).split()
-                if distinct:
-                    terms = set(terms)
-                if probe:
-                    terms = [t for t in terms if zlib.crc32(t) % PROBE == 0]
-                rows.append([front + t for t in terms])
-            yield pa.array(rows, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-        common.give_back()
-
-    return column
-
-
-def _tokens(docs: DataFrame, text: str, lang: str, source: str, distinct: bool = False, probe: bool = False) -> DataFrame:
-    """(lang, source, tokens): every term of a document (or one in PROBE), its language in front of it."""
-    rows = docs.select(common.text_of(lang).alias("lang"), common.text_of(source).alias("source"), common.text_of(text).alias("text"))
-    return rows.select("lang", "source", F.arrow_udf(_terms_of(distinct, probe), "array<string>")("lang", "text").alias("tokens"))
+def _numbered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(lang, source, text) to the document and the number of every term, and the distinct terms."""
+    texts = batch.column(2).cast(pa.large_string()).cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    # Only ASCII parts terms, so texts can be folded and cut as bytes.
+    data = _FOLD_BYTES[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    inside = data != 32
+    starts, stops = inside.copy(), inside.copy()
+    edge = ends[:-1][ends[:-1] < len(data)]
+    joins = edge[edge > 0]
+    starts[1:] &= ~inside[:-1]
+    starts[edge] = inside[edge]
+    stops[:-1] &= ~inside[1:]
+    stops[joins - 1] = inside[joins - 1]
+    start = np.flatnonzero(starts)
+    size = np.flatnonzero(stops) + 1 - start
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    terms = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])])
+    found = terms.dictionary_encode()
+    document = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, ends)))
+    return document, found.indices.to_numpy(), found.dictionary.cast(pa.binary())
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``FLUSH_BYTES`` of text (a longer text goes alone)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for lo, hi, data, _ in common.text_blocks(batch, 2, FLUSH_BYTES):
+            if held and size + len(data) > FLUSH_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(batch.slice(lo, hi - lo))
+            size += len(data)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _fronted(langs: pa.Array, lang: np.ndarray, terms: pa.Array, term: np.ndarray) -> pa.Array:
+    """Terms with their language in front."""
+    return pc.binary_join_element_wise(langs.cast(pa.binary()).take(pa.array(lang)), terms.take(pa.array(term)), _END.encode()).cast(pa.string())
+
+
+def _lists(values: pa.Array, row: np.ndarray, rows: int) -> pa.Array:
+    """Values of rows 0, 1, ... in order, as one list per row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+def _once(batches: Iterator[pa.RecordBatch], least: int, probe: bool) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) to (tokens): every term in as many rows as documents of its language have it, ``least`` at most.
+
+    A vectorizer that asks whether ``least`` rows have a term finds the same terms as in the documents:
+    what ``least`` documents of one batch have is kept whatever the others have.
+    """
+    for batch in _held(batches):
+        document, number, terms = _numbered(batch)
+        langs = batch.column(0).dictionary_encode()
+        width = max(len(terms), 1)
+        if probe:
+            asked = np.array([zlib.crc32(t) % PROBE == 0 for t in terms.to_pylist()], bool)[number]
+            document, number = document[asked], number[asked]
+        each = np.sort(document * width + number)
+        each = each[np.diff(each, prepend=-1) > 0]
+        code, n = np.unique(langs.indices.to_numpy()[each // width].astype(np.int64) * width + each % width, return_counts=True)
+        tokens = _fronted(langs.dictionary, code // width, terms, code % width)
+        n = np.minimum(n, least)
+        order = np.repeat(np.arange(len(n)), n)
+        row = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+        by = np.argsort(row, kind="stable")
+        rows = _lists(tokens.take(pa.array(order[by])), row[by], int(n.max(initial=0)))
+        yield pa.RecordBatch.from_arrays([rows], ["tokens"])
+    common.give_back()
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) to (lang, source, times, tokens): the terms that documents of the source have ``times`` times together."""
+    for batch in _held(batches):
+        document, number, terms = _numbered(batch)
+        langs, sources = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+        group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+        width = max(len(terms), 1)
+        code, n = np.unique(group[document] * width + number, return_counts=True)
+        group, term = code // width, code % width
+        by = np.lexsort((n, group))
+        group, term, n = group[by], term[by], n[by]
+        fresh = np.ones(len(n), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (n[1:] != n[:-1])
+        lang, source = np.divmod(group, len(sources.dictionary) or 1)
+        tokens = _lists(_fronted(langs.dictionary, lang, terms, term), np.cumsum(fresh) - 1, int(fresh.sum()))
+        yield pa.RecordBatch.from_arrays(
+            [langs.dictionary.take(pa.array(lang[fresh])), sources.dictionary.take(pa.array(source[fresh])), pa.array(n[fresh].astype(np.int64)), tokens],
+            ["lang", "source", "times", "tokens"],
+        )
+    common.give_back()
 
 
 def _in_slice(tokens: DataFrame, i: int, n: int) -> DataFrame:
@@ -82,14 +159,14 @@ def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str
     """
     spark = docs.sparkSession
     common.ship(spark)
-    once = _tokens(docs, text, lang, source, distinct=True)
-    tokens = _tokens(docs, text, lang, source)
-    slices = _slices(_tokens(docs, text, lang, source, distinct=True, probe=True), least)
+    rows = docs.select(common.text_of(lang).alias("lang"), common.text_of(source).alias("source"), common.text_of(text).alias("text"))
+    once = rows.mapInArrow(lambda b: _once(b, least, False), "tokens array<string>")
+    tokens = rows.mapInArrow(_merged, "lang string, source string, times long, tokens array<string>")
+    slices = _slices(rows.mapInArrow(lambda b: _once(b, least, True), "tokens array<string>"), least)
     vocabulary = session.stage(spark.createDataFrame([], "index long, lang string, term string"), "vocabulary")
     counts = session.stage(spark.createDataFrame([], "index long, lang string, source string, n long"), "term-counts")
     base = 0
     for i in range(slices):
-        # Which terms are kept follows from the documents that have them, so each term once is enough to fit.
         maker = CountVectorizer(inputCol="tokens", outputCol="vector", minDF=float(least), vocabSize=2**31 - 1)
         try:
             fitted = maker.fit(_in_slice(once, i, slices))
@@ -103,9 +180,9 @@ def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str
         cut = F.length(token) - F.length(F.substring_index(token, _END, -1))
         named = spark.createDataFrame(table).select("index", F.substring(token, F.lit(1), cut - 1).alias("lang"), F.substring_index(token, _END, -1).alias("term"))
         vocabulary = vocabulary.unionByName(session.stage(named, "vocabulary"))
-        vector = fitted.transform(_in_slice(tokens, i, slices)).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-        entries = vector.select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))))
-        sums = entries.groupBy("lang", "source", "i").agg(F.sum(F.col("x").cast("long")).alias("n"))
+        vector = fitted.transform(_in_slice(tokens, i, slices)).select("lang", "source", "times", F.unwrap_udt("vector").alias("v"))
+        entries = vector.select("lang", "source", "times", F.inline(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))))
+        sums = entries.groupBy("lang", "source", "i").agg(F.sum(F.col("times") * F.col("x").cast("long")).alias("n"))
         counts = counts.unionByName(session.stage(sums.select((F.col("i") + F.lit(base)).cast("long").alias("index"), "lang", "source", "n"), "term-counts"))
         base += len(names)
     return vocabulary, counts

@@ -1,9 +1,11 @@
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import helpers
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftline.llm import divergence
@@ -75,6 +77,43 @@ def test_slices_follow_the_terms(spark, monkeypatch):
     assert divergence._slices(tokens, 4) == 1
 
 
+def lists(batches):
+    return [row for batch in batches for row in batch.to_pylist()]
+
+
+@pytest.mark.parametrize("flush", [1, 90, 1 << 20])
+def test_documents_are_merged_before_the_vectorizer(monkeypatch, flush):
+    monkeypatch.setattr(divergence, "FLUSH_BYTES", flush)
+    rows = [("a", "s", "Ab ab cd"), ("a", "s", ""), ("a", "t", "ab, \u00e9b"), ("", "s", "ab"), ("a", "s", "cd-ab"), ("a", "t", "..."), ("a", "s", "ab\x00ef")] * 2
+    batch = pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["lang", "source", "text"])
+    pieces = [batch.slice(0, 3), batch.slice(3, 11)]
+    counts, documents = Counter(), Counter()
+    for lang, source, text in rows:
+        found = re.findall(divergence.TERM, text.lower())
+        counts.update((lang, source, w) for w in found)
+        documents.update(lang + "\x00" + w for w in set(found))
+    merged, sums = lists(divergence._merged(pieces)), Counter()
+    for row in merged:
+        assert len(set(row["tokens"])) == len(row["tokens"])
+        for token in row["tokens"]:
+            lang, _, term = token.rpartition("\x00")
+            assert lang == row["lang"]
+            sums[lang, row["source"], term] += row["times"]
+    assert sums == counts
+    for least in (1, 3, 50):
+        seen = Counter()
+        for row in lists(divergence._once(pieces, least, False)):
+            assert len(set(row["tokens"])) == len(row["tokens"])
+            seen.update(row["tokens"])
+        assert {t for t, n in seen.items() if n >= least} == {t for t, n in documents.items() if n >= least}
+    if flush > 90:  # every term once for each number of times, and in no more rows than asked for
+        assert sum(len(row["tokens"]) for row in merged) == len(counts)
+        assert max(Counter(t for row in lists(divergence._once(pieces, 3, False)) for t in row["tokens"]).values()) == 3
+    monkeypatch.setattr(divergence, "PROBE", 2)
+    asked = Counter(t for row in lists(divergence._once(pieces, 50, True)) for t in row["tokens"])
+    assert asked == {t: n for t, n in documents.items() if zlib.crc32(t.rpartition("\x00")[2].encode()) % 2 == 0}
+
+
 def test_block_distances():
     r = np.random.default_rng(3)
     for sources, terms in ((1, 4), (2, 0), (5, 30), (12, 7)):
