@@ -2,7 +2,7 @@
 
 A shard is what meets at the anchors of one bucket (see ``repeats``). Its suffixes are sorted by
 induction: the suffixes that begin at local minima (LMS) are put in order first, by naming their
-substrings and recursing on the names until all differ; from their order that of all others
+substrings (sorted by induction, too; those of bytes by comparing seven units at once) and recursing on the names until all differ; from their order that of all others
 follows, bucket by bucket. The queues between buckets are monotone priority queues: entries leave
 in the order of their first unit, then of the suffix that induced them; beyond ``memory`` entries
 they are written to disk as runs, and read back when their bucket comes. Neighbours in suffix
@@ -99,52 +99,62 @@ def _sweep(key: np.ndarray, induced: np.ndarray, seeds: np.ndarray, memory: int,
     longest chain of inductions is settled.
     """
     edges = _ranges(key, most)
+    none = int(key.max()) + 1
+    # The key of a suffix that can be induced; the end mark cannot, and stands for what is before the first suffix.
+    step = np.where(induced, key, none).astype(np.uint16 if none < 1 << 16 else np.int64)
+    step[-1] = none
     queue = Queue(edges, memory, folder)
     cut = np.searchsorted(key[seeds], edges)
     out = []
-    for i, high in enumerate(edges[1:]):
+    for i, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
         waited = queue.pop(i)
-        waited = waited[np.argsort(key[waited], kind="stable")]
         own = seeds[cut[i] : cut[i + 1]]
-        place = np.concatenate([waited, own])
-        if not len(place):
+        if not len(waited) + len(own):
             continue
-        kind = np.repeat(np.array([0, 2], np.int64), [len(waited), len(own)])
-        inducer = np.arange(len(place))
-        levels, at = 0, np.arange(len(place))
-        while True:  # entries that are induced into this very range
-            at = at[place[at] > 0]
-            at = at[induced[place[at] - 1]]
-            at = at[key[place[at] - 1] < high]
-            if not len(at):
-                break
-            levels += 1
-            new = np.arange(len(place), len(place) + len(at))
-            place, kind, inducer = np.concatenate([place, place[at] - 1]), np.concatenate([kind, np.ones(len(at), np.int64)]), np.concatenate([inducer, at])
-            at = new
-        first = key[place] if not levels else key[place] * np.int64(3) + kind
-        base = len(waited) + len(own)
-        if levels:
-            rank = first * np.int64(len(place)) + np.arange(len(place))
-            among = np.arange(len(place) - base)
-            for _ in range(levels):
-                order = np.lexsort((rank[inducer[base:]], first[base:]))
-                among[order] = np.arange(len(order))
-                rank[base:] = first[base:] * np.int64(len(place)) + among
-            settled = np.concatenate([np.arange(base), base + order])
-            place, kind, first = place[settled], kind[settled], first[settled]
-        order = np.argsort(first, kind="stable")
-        out.append(place[order[kind[order] < 2]])
-        place = place[order]
-        place = place[place > 0] - 1
-        place = place[induced[place]]
-        keys = key[place]
-        beyond = keys >= high
-        queue.push(keys[beyond], place[beyond])
+        if high - low == 1:  # one key: what is induced into it comes in the order of the inducers, and seeds induce none
+            rounds, steps = [waited], [step[waited - 1]]
+            while len(at := rounds[-1][steps[-1] < high]):
+                rounds.append(at - 1)
+                steps.append(step[at - 2])
+            out += rounds
+            place, to = np.concatenate([*rounds, own]), np.concatenate([*steps, step[own - 1]])
+        else:
+            place = np.concatenate([waited[np.argsort(key[waited], kind="stable")], own])
+            place, to, kind = _settled(key, step, place, len(waited), high)
+            out.append(place[kind < 2])
+        beyond = (to >= high) & (to < none)
+        queue.push(to[beyond], place[beyond] - 1)
     queue.close()
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _settled(key: np.ndarray, step: np.ndarray, place: np.ndarray, waited: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes in order, keys of those they induce, kinds: 0 waited, 1 induced within the range, 2 seeds) of a range of keys."""
+    base = len(place)
+    kind = np.repeat(np.array([0, 2], np.int64), [waited, base - waited])
+    inducer = np.arange(base)
+    to = step[place - 1]
+    levels, at = 0, np.flatnonzero(to < high)
+    while len(at):  # entries that are induced into this very range
+        levels += 1
+        new, n = place[at] - 1, len(place)
+        place, kind, inducer = np.concatenate([place, new]), np.concatenate([kind, np.ones(len(at), np.int64)]), np.concatenate([inducer, at])
+        to = np.concatenate([to, step[new - 1]])
+        at = n + np.flatnonzero(to[n:] < high)
+    first = key[place] if not levels else key[place] * np.int64(3) + kind
+    if levels:
+        rank = first * np.int64(len(place)) + np.arange(len(place))
+        among = np.arange(len(place) - base)
+        for _ in range(levels):
+            order = np.lexsort((rank[inducer[base:]], first[base:]))
+            among[order] = np.arange(len(order))
+            rank[base:] = first[base:] * np.int64(len(place)) + among
+        settled = np.concatenate([np.arange(base), base + order])
+        place, to, kind, first = place[settled], to[settled], kind[settled], first[settled]
+    order = np.argsort(first, kind="stable")
+    return place[order], to[order], kind[order]
+
+
 def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, memory: int, folder: str | None) -> np.ndarray:
     """All suffixes in order, from the LMS suffixes in order (or, of those in any order, by LMS substrings).
 
@@ -168,13 +178,46 @@ def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smaller, np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
 
 
-def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names of the LMS substrings by their order, equal for equal ones, in text order; and how many."""
+def _in_order(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """LMS positions in the order of their LMS substrings, for units below 256.
+
+    Seven units at a time are compared as one number, with their types: of two that start with the same
+    units, the one that ends first is larger, as its last unit is of type S and the other's of type L.
+    """
+    unit = text.astype(np.uint16) << np.uint16(1) | smaller
+    size = np.diff(np.append(lms, len(text) - 1)) + 1
+    order = np.arange(len(lms))
+    rank = np.zeros(len(lms), np.int64)
+    at, slot, done = np.arange(len(lms)), np.arange(len(lms)), 0
+    while len(at):
+        number = np.zeros(len(at), np.uint64)
+        for k in range(done, done + 7):
+            here = np.where(k < size[at], unit[np.minimum(lms[at] + k, len(text) - 1)], 0)
+            number = number << np.uint64(9) | here.astype(np.uint64)
+        by = np.lexsort((number, rank[at])) if done else np.argsort(number)
+        at, number = at[by], number[by]
+        order[slot] = at
+        group = rank[at]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (number[1:] != number[:-1]) | (group[1:] != group[:-1])
+        rank[at] = slot[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        done += 7
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        go = tied & (size[at] > done)
+        at, slot = at[go], slot[go]
+    return lms[order]
+
+
+def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray, apart: int | None = None) -> tuple[np.ndarray, int]:
+    """Names of the LMS substrings by their order, equal for equal ones that do not start with ``apart``, in text order; and how many."""
     end = np.full(len(text), len(text))
     end[lms[:-1]] = lms[1:] + 1
     before, here = order[:-1], order[1:]
     size = end[here] - here
     same = size == end[before] - before
+    if apart is not None:
+        same &= text[here] != apart
     live, k = np.flatnonzero(same), 0
     while len(live):
         equal = text[before[live] + k] == text[here[live] + k]
@@ -188,18 +231,26 @@ def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.nda
     return names[lms], int(name[-1]) + 1
 
 
-def suffix_array(text: np.ndarray, memory: int = MEMORY, folder: str | None = None) -> np.ndarray:
-    """Order of all suffixes of integer units; the last unit must be 0 and the only 0."""
+def suffix_array(text: np.ndarray, memory: int = MEMORY, folder: str | None = None, apart: int | None = None) -> np.ndarray:
+    """Order of all suffixes of integer units; the last unit must be 0 and the only 0.
+
+    With ``apart`` (the least unit after 0), suffixes that are equal up to that unit are in any order, so
+    the recursion does not go on from one segment into the next.
+    """
     if len(text) == 1:
         return np.zeros(1, np.int64)
     if text.max() < 1 << 16:
         text = text.astype(np.uint16)  # numpy sorts these by radix
     smaller, lms = _types(text)
     if len(lms) > 1:
-        order = _induce(text, smaller, lms, memory, folder)
-        is_lms = np.zeros(len(text), bool)
-        is_lms[lms] = True
-        reduced, names = _names(text, lms, order[is_lms[order]])
+        if text.max() < 256:
+            order = _in_order(text, smaller, lms)
+        else:
+            order = _induce(text, smaller, lms, memory, folder)
+            is_lms = np.zeros(len(text), bool)
+            is_lms[lms] = True
+            order = order[is_lms[order]]
+        reduced, names = _names(text, lms, order, apart)
         lms = lms[suffix_array(reduced, memory, folder) if names < len(lms) else np.argsort(reduced)]
     return _induce(text, smaller, lms, memory, folder)
 
@@ -227,7 +278,7 @@ def sorted_repeats(ids: np.ndarray, begin: np.ndarray, text: np.ndarray, length:
     joined = np.full(len(text) + segments + 1, _BREAK, np.int64)
     joined[np.arange(len(text)) + owner] = text.astype(np.int64) + 2
     joined[-1] = _END
-    order = suffix_array(joined, memory, folder)
+    order = suffix_array(joined, memory, folder, _BREAK)
     back = np.full(len(joined), -1)
     back[np.arange(len(text)) + owner] = np.arange(len(text))
     place = back[order]

@@ -189,3 +189,24 @@ def test_no_window_is_lost_however_short_the_anchor():
     found = repeats.runs(data, np.array([0, 100, 100, len(data)]), repeats.Shape("byte", 30, 9))
     covered = sorted(p for a, b in zip(found.first, found.last) for p in range(a, b + 1))
     assert covered == [*range(0, 71), *range(100, len(data) - 29)]
+
+
+def test_suffixes_are_compared_within_their_segments():
+    r = np.random.default_rng(5)
+    for high in (4, 250, 400):  # bytes are compared directly, wider units by induction
+        one = r.integers(2, high, 30)
+        text = np.concatenate([np.concatenate([one[: r.integers(5, 31)], [1]]) for _ in range(40)] + [[0]])
+        whole = suffix.suffix_array(text)
+        assert whole.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        within = [text[i : i + 1 + int(np.argmax(text[i:] <= 1))].tolist() for i in range(len(text))]
+        order = suffix.suffix_array(text, apart=1).tolist()
+        assert sorted(order) == list(range(len(text)))
+        assert [within[i] for i in order] == sorted(within)
+
+
+def test_long_byte_substrings_are_in_order():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        steps = [np.sort(r.integers(1, 5, r.integers(1, 40)))[:: r.choice([1, -1])] for _ in range(8)]
+        text = np.concatenate([*steps, *steps, [0]])
+        assert suffix.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
