@@ -2,8 +2,9 @@
 
 CountVectorizer (``minDF`` documents of the same language, no limit on the vocabulary) turns
 documents into sparse vectors of counts; a term carries its language, so one fit serves all
-languages. Tasks merge the documents that they hold beforehand: for the fit, a term is in as many
-rows as documents have it, ``minDF`` at most; for the vectors, a row lists the terms that the
+languages. Texts are cut into terms once: tasks stage what the documents that they hold have of each
+term, and later tasks merge some of these parts into the vectorizer's rows. For the fit, a term is
+in as many rows as documents have it, ``minDF`` at most; for the vectors, a row lists terms that the
 documents of a source have so many times, each once. The vectors' entries, times that number, are
 summed per source, and pairs of sources are evaluated on the entries that are not zero: what two
 sources differ by on the terms that neither has is one number.
@@ -12,7 +13,9 @@ sources differ by on the terms that neither has is one number.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,16 @@ SCALE, SMOOTH = 1_000_000_000, 5
 MODEL_TERMS = 4_000_000
 #: One term in so many is counted beforehand, to know how many slices there must be.
 PROBE = 64
-#: Text bytes whose documents a task merges before the vectorizer sees their terms.
+#: Text bytes whose terms a task numbers at once.
 FLUSH_BYTES = 8 << 20
+#: Bytes of counts that a task merges before the vectorizer sees their terms.
+HELD_BYTES = 48 << 20
+#: Bytes of counts, as they were staged, that one later task reads.
+TASK_BYTES = 80 << 20
+#: Bytes of parts, compressed, that travel to Python together (a larger part goes alone).
+TRAVEL = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+#: Bytes of terms in a row that the vectorizer gets, and entries whose rows travel together.
+ROW_BYTES, AT_ONCE = 256 << 10, 1 << 18
 #: Entries (source, term) that one task evaluates at once.
 BLOCK_ENTRIES = 100_000
 _END = "\x00"
@@ -87,56 +98,164 @@ def _fronted(langs: pa.Array, lang: np.ndarray, terms: pa.Array, term: np.ndarra
     return pc.binary_join_element_wise(langs.cast(pa.binary()).take(pa.array(lang)), terms.take(pa.array(term)), _END.encode()).cast(pa.string())
 
 
-def _lists(values: pa.Array, row: np.ndarray, rows: int) -> pa.Array:
-    """Values of rows 0, 1, ... in order, as one list per row."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
+class Counts(NamedTuple):
+    """What documents have of the terms, an entry per (source of a language, term): occurrences, and documents that have it."""
+
+    langs: pa.Array
+    sources: pa.Array
+    terms: pa.Array
+    group: np.ndarray
+    term: np.ndarray
+    times: np.ndarray
+    documents: np.ndarray
+
+    def size(self) -> int:
+        return sum(column.nbytes for column in self)
+
+    def part(self) -> bytes:
+        """All of it as an Arrow stream of one row."""
+        columns = [pa.array(c) if isinstance(c, np.ndarray) else c for c in self]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        batch = pa.RecordBatch.from_arrays(lists, list(self._fields))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+            stream.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def of_part(cls, part: pa.Buffer) -> Counts:
+        with pa.ipc.open_stream(part) as stream:
+            columns = [column.flatten() for column in stream.read_next_batch().columns]
+        return cls(*columns[:3], *[column.to_numpy() for column in columns[3:]])
+
+    @classmethod
+    def of_documents(cls, batch: pa.RecordBatch) -> Counts:
+        """From (lang, source, text)."""
+        document, number, terms = _numbered(batch)
+        langs, sources = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+        pair = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+        pairs, group = np.unique(pair, return_inverse=True)
+        width = max(len(terms), 1)
+        code, times = np.unique(group[document] * width + number, return_counts=True)
+        each = np.sort(document * width + number)
+        each = each[np.diff(each, prepend=-1) > 0]
+        documents = np.unique(group[each // width] * width + each % width, return_counts=True)[1]
+        lang, source = np.divmod(pairs, len(sources.dictionary) or 1)
+        names = langs.dictionary.take(pa.array(lang)), sources.dictionary.take(pa.array(source))
+        return cls(*names, terms, (code // width).astype(np.int32), (code % width).astype(np.int32), times, documents)
+
+    def asked(self) -> Counts:
+        """One term in ``PROBE``."""
+        few = (np.fromiter(map(zlib.crc32, self.terms.to_pylist()), np.uint32, len(self.terms)) % PROBE == 0)[self.term]
+        return self._replace(group=self.group[few], term=self.term[few], times=self.times[few], documents=self.documents[few])
+
+    def of_languages(self) -> Counts:
+        """An entry per (language, term), as if a language had one source."""
+        langs, width = self.langs.dictionary_encode(), max(len(self.terms), 1)
+        code = langs.indices.to_numpy().astype(np.int64)[self.group] * width + self.term
+        none = pa.array([""] * len(langs.dictionary), pa.string())
+        return Counts(langs.dictionary, none, self.terms, *_summed(code, width, self.times, self.documents))
+
+
+def _summed(code: np.ndarray, width: int, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, term, sums of the counts) of every code = group * width + term, in order."""
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    code = code[first]
+    sums = [np.add.reduceat(n[order], first) if len(first) else n for n in counts]
+    return (code // width).astype(np.int32), (code % width).astype(np.int32), *sums
+
+
+def _together(held: list[Counts]) -> Counts:
+    """One out of several, which the list then no longer holds."""
+    if len(held) == 1:
+        return held.pop()
+    found = pa.concat_arrays([c.terms for c in held]).dictionary_encode()
+    terms, numbers = found.dictionary, found.indices.to_numpy()
+    names: dict[tuple[str, str], int] = {}
+    at = 0
+    for i, c in enumerate(held):
+        group = np.array([names.setdefault(name, len(names)) for name in zip(c.langs.to_pylist(), c.sources.to_pylist(), strict=True)], np.int64)
+        code = group[c.group] * len(terms) + numbers[at : at + len(c.terms)][c.term]
+        at += len(c.terms)
+        held[i] = code, c.times, c.documents
+    code, times, documents = map(np.concatenate, zip(*held, strict=True))
+    held.clear()
+    langs, sources = (pa.array([name[i] for name in names], pa.string()) for i in (0, 1))
+    return Counts(langs, sources, terms, *_summed(code, max(len(terms), 1), times, documents))
+
+
+def _merges(batches: Iterator[pa.RecordBatch], kept: Callable[[Counts], Counts] | None = None) -> Iterator[Counts]:
+    """Counts of about ``HELD_BYTES``, from documents (lang, source, text) or from counts of documents (part); of each what is ``kept``."""
+
+    def each() -> Iterator[Counts]:
+        held = iter(batches)
+        for batch in held:
+            if batch.schema.names[0] == "part":
+                yield from (Counts.of_part(part.as_buffer()) for part in batch.column(0))
+            else:
+                yield from map(Counts.of_documents, _held(chain([batch], held)))
+
+    held: list[Counts] = []
+    size = 0
+    for counts in each():
+        counts = kept(counts) if kept else counts
+        if held and size + counts.size() > HELD_BYTES:
+            yield _together(held)
+            size = 0
+        held.append(counts)
+        size += counts.size()
+    if held:
+        yield _together(held)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) to (part, size): counts of the documents, read again by ``_once`` and ``_merged``."""
+    for counts in _merges(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([counts.part()], pa.binary()), pa.array([counts.size()], pa.int64())], ["part", "size"])
+    common.give_back()
+
+
+def _rows(tokens: pa.Array, fresh: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Tokens as rows that begin where ``fresh`` says and after ``ROW_BYTES`` or so: (the place of every row's first token, lists)."""
+    size = np.cumsum(pc.binary_length(tokens).to_numpy() + 16)
+    first = np.flatnonzero(fresh | (np.diff(size // ROW_BYTES, prepend=-1) != 0))
+    return first, pa.ListArray.from_arrays(pa.array(np.append(first, len(tokens)).astype(np.int32)), tokens)
 
 
 def _once(batches: Iterator[pa.RecordBatch], least: int, probe: bool) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to (tokens): every term in as many rows as documents of its language have it, ``least`` at most.
+    """Documents or parts to (tokens): every term in as many rows as documents of its language have it, ``least`` at most.
 
     A vectorizer that asks whether ``least`` rows have a term finds the same terms as in the documents:
-    what ``least`` documents of one batch have is kept whatever the others have.
+    what ``least`` documents counted together have is kept whatever the others have.
     """
-    for batch in _held(batches):
-        document, number, terms = _numbered(batch)
-        langs = batch.column(0).dictionary_encode()
-        width = max(len(terms), 1)
-        if probe:
-            asked = np.array([zlib.crc32(t) % PROBE == 0 for t in terms.to_pylist()], bool)[number]
-            document, number = document[asked], number[asked]
-        each = np.sort(document * width + number)
-        each = each[np.diff(each, prepend=-1) > 0]
-        code, n = np.unique(langs.indices.to_numpy()[each // width].astype(np.int64) * width + each % width, return_counts=True)
-        tokens = _fronted(langs.dictionary, code // width, terms, code % width)
-        n = np.minimum(n, least)
-        order = np.repeat(np.arange(len(n)), n)
-        row = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-        by = np.argsort(row, kind="stable")
-        rows = _lists(tokens.take(pa.array(order[by])), row[by], int(n.max(initial=0)))
-        yield pa.RecordBatch.from_arrays([rows], ["tokens"])
+    for counts in _merges(batches, lambda c: (c.asked() if probe else c).of_languages()):
+        for lo in range(0, len(counts.documents), AT_ONCE):
+            group, term, n = (column[lo : lo + AT_ONCE] for column in (counts.group, counts.term, counts.documents))
+            tokens = _fronted(counts.langs, group, counts.terms, term)
+            for had in range(1, least + 1):
+                yield pa.RecordBatch.from_arrays([_rows(tokens, np.zeros(len(tokens), bool))[1]], ["tokens"])
+                more = n > had
+                if not more.any():
+                    break
+                tokens, n = tokens.filter(pa.array(more)), n[more]
+        del counts
     common.give_back()
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to (lang, source, times, tokens): the terms that documents of the source have ``times`` times together."""
-    for batch in _held(batches):
-        document, number, terms = _numbered(batch)
-        langs, sources = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
-        group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
-        width = max(len(terms), 1)
-        code, n = np.unique(group[document] * width + number, return_counts=True)
-        group, term = code // width, code % width
-        by = np.lexsort((n, group))
-        group, term, n = group[by], term[by], n[by]
-        fresh = np.ones(len(n), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (n[1:] != n[:-1])
-        lang, source = np.divmod(group, len(sources.dictionary) or 1)
-        tokens = _lists(_fronted(langs.dictionary, lang, terms, term), np.cumsum(fresh) - 1, int(fresh.sum()))
-        yield pa.RecordBatch.from_arrays(
-            [langs.dictionary.take(pa.array(lang[fresh])), sources.dictionary.take(pa.array(source[fresh])), pa.array(n[fresh].astype(np.int64)), tokens],
-            ["lang", "source", "times", "tokens"],
-        )
+    """Documents or parts to (lang, source, times, tokens): the terms that documents of the source have ``times`` times together."""
+    for counts in _merges(batches):
+        for lo in range(0, len(counts.times), AT_ONCE):
+            group, term, times = (column[lo : lo + AT_ONCE] for column in (counts.group, counts.term, counts.times))
+            by = np.lexsort((times, group))
+            group, term, times = group[by], term[by], times[by]
+            tokens = _fronted(counts.langs, group, counts.terms, term)
+            first, lists = _rows(tokens, (np.diff(group, prepend=-1) != 0) | (np.diff(times, prepend=-1) != 0))
+            names = [column.take(pa.array(group[first])) for column in (counts.langs, counts.sources)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(times[first]), lists], ["lang", "source", "times", "tokens"])
+        del counts
     common.give_back()
 
 
@@ -152,17 +271,12 @@ def _slices(probe: DataFrame, least: int) -> int:
     return common.parts(2 * PROBE * kept, MODEL_TERMS)
 
 
-def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, counts): (index, lang, term) and (index, lang, source, n), n > 0, both staged.
-
-    A term is kept when at least ``least`` documents of its language have it.
-    """
-    spark = docs.sparkSession
-    common.ship(spark)
-    rows = docs.select(common.text_of(lang).alias("lang"), common.text_of(source).alias("source"), common.text_of(text).alias("text"))
-    once = rows.mapInArrow(lambda b: _once(b, least, False), "tokens array<string>")
-    tokens = rows.mapInArrow(_merged, "lang string, source string, times long, tokens array<string>")
-    slices = _slices(rows.mapInArrow(lambda b: _once(b, least, True), "tokens array<string>"), least)
+def _vectorized(parts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, counts) of ``term_counts`` from staged parts."""
+    spark = parts.sparkSession
+    once = parts.mapInArrow(lambda b: _once(b, least, False), "tokens array<string>")
+    tokens = parts.mapInArrow(_merged, "lang string, source string, times long, tokens array<string>")
+    slices = _slices(parts.mapInArrow(lambda b: _once(b, least, True), "tokens array<string>"), least)
     vocabulary = session.stage(spark.createDataFrame([], "index long, lang string, term string"), "vocabulary")
     counts = session.stage(spark.createDataFrame([], "index long, lang string, source string, n long"), "term-counts")
     base = 0
@@ -188,6 +302,28 @@ def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str
     return vocabulary, counts
 
 
+def term_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, counts): (index, lang, term) and (index, lang, source, n), n > 0, both staged.
+
+    A term is kept when at least ``least`` documents of its language have it.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
+    rows = docs.select(common.text_of(lang).alias("lang"), common.text_of(source).alias("source"), common.text_of(text).alias("text"))
+    staged = session.stage(rows.mapInArrow(_parts, "part binary, size long"), "term-parts")
+    size = staged.agg(F.sum("size")).first()[0] or 0
+    parts = staged.select("part").coalesce(common.parts(size, TASK_BYTES, spark.sparkContext.defaultParallelism))
+    before = spark.conf.get(TRAVEL[0], None)
+    spark.conf.set(*TRAVEL)
+    try:
+        return _vectorized(parts, least)
+    finally:
+        if before is None:
+            spark.conf.unset(TRAVEL[0])
+        else:
+            spark.conf.set(TRAVEL[0], before)
+
+
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (n + 5) / (total + 5 * terms)), by decimals that cannot overflow; null without terms."""
     above = F.lit(SCALE).cast("decimal(10,0)") * (n + SMOOTH).cast("decimal(20,0)")

@@ -114,6 +114,56 @@ def test_documents_are_merged_before_the_vectorizer(monkeypatch, flush):
     assert asked == {t: n for t, n in documents.items() if zlib.crc32(t.rpartition("\x00")[2].encode()) % 2 == 0}
 
 
+def test_parts_are_merged_before_the_vectorizer(monkeypatch):
+    r = random.Random(5)
+    rows = [(r.choice("ab"), r.choice("st"), " ".join(r.choice("uvwxyz") * r.randint(1, 9) for _ in range(r.randint(0, 60)))) for _ in range(80)]
+    batch = pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["lang", "source", "text"])
+    monkeypatch.setattr(divergence, "FLUSH_BYTES", 1)
+    counts, documents = Counter(), Counter()
+    for lang, source, text in rows:
+        counts.update((lang, source, w) for w in text.split())
+        documents.update(lang + "\x00" + w for w in set(text.split()))
+
+    def check(batches):
+        merged, once = lists(divergence._merged(batches)), Counter(t for row in lists(divergence._once(batches, 3, False)) for t in row["tokens"])
+        sums = Counter()
+        for row in merged:
+            assert len(set(row["tokens"])) == len(row["tokens"])
+            for token in row["tokens"]:
+                sums[row["lang"], row["source"], token.rpartition("\x00")[2]] += row["times"]
+        assert sums == counts
+        assert {t for t, n in once.items() if n >= 3} == {t for t, n in documents.items() if n >= 3}
+        return sum(len(row["tokens"]) for row in merged), once
+
+    # Documents numbered one by one, and parts of them, meet before the vectorizer sees them.
+    assert check([batch]) == (len(counts), {t: min(n, 3) for t, n in documents.items()})
+    parts = [p.select(["part"]) for i in range(0, 80, 20) for p in divergence._parts([batch.slice(i, 20)])]
+    assert len(parts) == 4
+    assert check(parts) == (len(counts), {t: min(n, 3) for t, n in documents.items()})
+    # Small rows, and merges of a part or two.
+    monkeypatch.setattr(divergence, "ROW_BYTES", 60)
+    monkeypatch.setattr(divergence, "AT_ONCE", 7)
+    monkeypatch.setattr(divergence, "HELD_BYTES", 3000)
+    check(parts)
+    assert max(len(row["tokens"]) for row in lists(divergence._once(parts, 3, False))) <= 4
+    assert len(list(divergence._parts([batch]))) > 1
+
+
+def test_texts_are_read_once(spark):
+    rows = helpers.corpus(13, 30)
+    docs, read = helpers.frame(spark, rows), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    divergence.term_counts(docs.mapInArrow(seen, docs.schema), 2)
+    assert read.value == len(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
 def test_block_distances():
     r = np.random.default_rng(3)
     for sources, terms in ((1, 4), (2, 0), (5, 30), (12, 7)):
