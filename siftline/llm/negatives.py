@@ -5,7 +5,8 @@ and put into separate fields of one wide integer; one product with an anchor's (
 multiplies them all, and the fields of the sum over components are the exact scores, less what the
 biases added. Integers of up to 53 bits are held in doubles, so that a matrix product does it; where
 a field needs more, integers of any width do. Anchors and candidates meet as blocks, each pair of
-blocks once: first for the best candidates of the same label, then for those of other labels.
+blocks once: first for the best candidates of the same label, then for those of other labels. A task
+holds a group of candidate blocks and reads the anchors past it; neither side is ever broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from siftline.llm import common
 SCALE = 256
 #: Candidates and anchors of a block.
 CANDIDATES, ANCHORS = 4096, 512
+#: Bytes of candidates that a task holds while the anchors pass.
+GROUP_BYTES = 64 << 20
+#: Anchors of a product: its entries stay in the processor's cache.
+TILE = 64
 #: Candidates that share a wide integer, where fields do not fit in a double.
 WIDE_FIELDS = 16
 #: An id that is null comes last among ties.
@@ -55,26 +60,28 @@ def scores(anchors: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         return np.array([[int(v) - low for v in row] for row in x], object).reshape(x.shape) if wide else x - low
 
     bias_a, bias_c = whole(a, low_a), whole(c, low_c)
-    groups = -(-n // fields)
-    padded = np.zeros((groups * fields, dim), kind)
-    padded[:n] = bias_c
-    packed = padded.reshape(groups, fields, dim)
-    shift = [(1 << width * k) if wide else float(1 << width * k) for k in range(fields)]
-    packed = sum(packed[:, k] * shift[k] for k in range(fields))
-    product = bias_a @ packed.T
-    if not wide:
-        product = product.astype(np.int64)
-    mask = (1 << width) - 1
-    out = np.empty((len(a), groups, fields), product.dtype)
+    # Field k holds the k-th stretch of the candidates.
+    each = -(-n // fields)
+    packed = np.zeros((each, dim), kind)
     for k in range(fields):
-        out[:, :, k] = product >> (width * k) & mask
-    out = out.reshape(len(a), groups * fields)[:, :n]
+        part = bias_c[k * each : (k + 1) * each]
+        packed[: len(part)] += part * ((1 << width * k) if wide else float(1 << width * k))
     # (a - low_a)(c - low_c) = ac - low_c a - low_a c + low_a low_c
-    back = bias_a.sum(1) * low_c
+    back = bias_a.sum(1) * low_c + dim * low_a * low_c
     other = bias_c.sum(1) * low_a
     if not wide:
         back, other = back.astype(np.int64), other.astype(np.int64)
-    return out + back[:, None] + other[None, :] + dim * low_a * low_c
+    mask = (1 << width) - 1
+    out = np.empty((len(a), n), object if wide else np.int64)
+    for i in range(0, len(a), TILE):
+        product = bias_a[i : i + TILE] @ packed.T
+        if not wide:
+            product = product.astype(np.int64)
+        for k in range(fields):
+            field = out[i : i + TILE, k * each : (k + 1) * each]
+            field[:] = (product >> (width * k) & mask)[:, : field.shape[1]]
+        out[i : i + TILE] += back[i : i + TILE, None] + other
+    return out
 
 
 def _widened(a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,27 +101,61 @@ def best(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _first(values, *np.nonzero(values >= least[:, None]), n)
 
 
+def _order(row: np.ndarray, score: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The order of entries by row, the highest score, and the least ``tie``."""
+    if score.dtype == object:
+        return np.array(sorted(range(len(row)), key=lambda i: (row[i], -score[i], tie[i])), np.int64)
+    return np.lexsort((tie, -score, row))
+
+
 def _first(values: np.ndarray, row: np.ndarray, column: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of entries listed row by row, the first ``n`` of each row."""
-    found = values[row, column]
-    order = np.lexsort((column, -found, row)) if found.dtype != object else np.array(sorted(range(len(row)), key=lambda i: (row[i], -found[i], column[i])), np.int64)
+    order = _order(row, values[row, column], column)
     row, column = row[order], column[order]
-    start = np.searchsorted(row, row)
-    keep = np.arange(len(row)) - start < n
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
     return row[keep], column[keep]
 
 
+class _Running:
+    """The first ``n`` entries of each of ``size`` keys, of all blocks seen so far: highest score first, then the least id."""
+
+    def __init__(self, size: int, n: int):
+        self.n = n
+        self.key, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+        #: The lowest score that a key holds; where ``open``, it holds fewer than ``n``, and any score enters.
+        self.least, self.open = np.zeros(size, np.int64), np.ones(size, bool)
+
+    def reach(self, key: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Which of the entries are not behind the first ``n`` of their key."""
+        return self.open[key] | (score >= self.least[key])
+
+    def add(self, key: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if not len(key):
+            return
+        key, score, ids = (np.concatenate(x) for x in ((self.key, key), (self.score, score), (self.id, ids)))
+        order = _order(key, score, ids)
+        order = order[np.arange(len(order)) - np.searchsorted(key[order], key[order]) < self.n]
+        self.key, self.score, self.id = key[order], score[order], ids[order]
+        self.open = np.bincount(self.key, minlength=len(self.open)) < self.n
+        self.least = self.least.astype(score.dtype)
+        self.least[self.key] = self.score  # the last of a key is its lowest
+
+
 # --- blocks -----------------------------------------------------------------------------------
 
 
 def _vectors(table: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     """(row, vec_id, label, vector) of the rows that take part; ``row`` is their own number."""
     x = common.named(vector).cast("array<double>")
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * SCALE) != float("inf")))
+    # The greatest is NaN if any is; both ends are null where there are no components.
+    ends = [F.coalesce(end(x), F.lit(0.0)) for end in (F.array_min, F.array_max)]
+    finite = (F.size(F.array_compact(x)) == F.size(x)) & ~F.isnan(ends[1]) & (ends[0] * SCALE != float("-inf")) & (ends[1] * SCALE != float("inf"))
     vid, lab = common.named(vec_id).cast("long"), common.named(label).cast("int")
     moved = F.when(F.coalesce(vid % 7 == 0, F.lit(False)), F.pmod(lab + 1, F.lit(10))).otherwise(lab)
     valid = table.filter(lab.isNotNull() & x.isNotNull() & finite)
-    slim = valid.select(vid.alias("vec_id"), moved.alias("label"), F.transform(x, lambda v: v * SCALE).alias("vector"))
+    # Beyond 2^53 every double is whole, and a floor in 64 bits could not hold it.
+    whole = F.transform(x, lambda v: F.when(F.abs(v) < float(1 << 53) / SCALE, F.floor(v * SCALE).cast("double")).otherwise(v * SCALE))
+    slim = valid.select(vid.alias("vec_id"), moved.alias("label"), whole.alias("vector"))
     return session.stage(slim.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
@@ -135,7 +176,7 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
     sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
     dim = int(sizes.max(initial=0))
     dense = np.zeros((len(sizes), dim))
-    dense[np.arange(dim) < sizes[:, None]] = np.floor(vectors.flatten().to_numpy(zero_copy_only=False))
+    dense[np.arange(dim) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
 
     def one(values, kind: pa.DataType) -> pa.Array:
         return pa.array([values], kind)
@@ -161,26 +202,42 @@ class _Block:
         self.goals, self.goal_ids = row["goals"], row["goal_ids"]
 
 
-def _meet(anchors: DataFrame, candidates: DataFrame, blocks: int, found, schema: str) -> DataFrame:
-    """``found(anchors, candidates)`` of every pair of blocks: a stated set of anchors against all rows.
+def _groups(count: int, anchors: int, dim: int, blocks: int, cores: int) -> int:
+    """How many groups the blocks of candidates are dealt into; every group gets all anchors.
+
+    Enough for a group to fit in a task. More, for all cores, only while the anchors sent take no more than the candidates.
+    """
+    spread = min(2 * cores, count // max(anchors, 1))
+    return max(1, min(blocks, max(common.parts(8 * count * dim, GROUP_BYTES), spread)))
+
+
+def _meet(anchors: DataFrame, candidates: DataFrame, groups: int, found, schema: str) -> DataFrame:
+    """``found(anchors, blocks of candidates)`` of every block of anchors and every group of candidates.
 
-    Anchors, the few, are sent to each block of candidates, and joined by its number.
+    Both sides are dealt by shuffle: a join would broadcast the anchors by the size of their files, and the driver
+    would gather a copy for each group. A task holds its candidates, and one block of anchors after the other.
     """
     names = ["dim", "rows", "ids", "labels", "parts", "goals", "goal_ids"]
-    left = anchors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("to"), F.struct(*names).alias("a"))
-    right = candidates.select(F.col("block").alias("to"), F.struct(*names).alias("c"))
-    # One row at a time holds a pair of blocks.
-    pairs = left.join(right, "to").select("a", "c")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    left = anchors.select(every.alias("to"), F.lit(1).alias("side"), *names)
+    right = candidates.select(F.pmod("block", F.lit(groups)).cast("int").alias("to"), F.lit(0).alias("side"), *names)
+    dealt = right.unionByName(left).repartitionById(groups, "to").sortWithinPartitions("to", "side")
     kind = pa.schema([pa.field(*_arrow(f)) for f in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
             for i in range(len(batch)):
-                a, c = (_Block({k: v.values if isinstance(v, pa.ListScalar) and k not in ("goals", "goal_ids") else v.as_py() for k, v in batch.column(j)[i].items()}) for j in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found(a, c), kind, strict=True)], schema=kind)
+                row = {k: v.values if isinstance(v, pa.ListScalar) and k not in ("goals", "goal_ids") else v.as_py() for k, v in zip(batch.schema.names, (c[i] for c in batch.columns), strict=True)}
+                if row["to"] != at:
+                    at, held = row["to"], []
+                if row["side"] == 0:
+                    held.append(_Block(row))
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found(_Block(row), held), kind, strict=True)], schema=kind)
         common.give_back()
 
-    return pairs.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def _arrow(field: str) -> tuple[str, pa.DataType]:
@@ -192,17 +249,24 @@ _FOUND = "row long, anchor_id long, id long, score long"
 
 
 def _same_label(n: int):
-    def found(a: _Block, c: _Block) -> list:
+    def found(a: _Block, held: list[_Block]) -> list:
         """The best ``n`` candidates of the same label of each anchor, itself left out."""
-        out = []
-        for label in np.intersect1d(a.labels, c.labels).tolist():
-            mine, theirs = np.flatnonzero(a.labels == label), np.flatnonzero(c.labels == label)
-            s = scores(a.parts[mine], c.parts[theirs])
-            row, column = best(s, n + 1)
-            other = a.rows[mine[row]] != c.rows[theirs[column]]
-            out.append((mine[row[other]], theirs[column[other]], s[row[other], column[other]]))
-        row, column, score = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
-        return [a.rows[row], a.ids[row], c.ids[column], score]
+        kept = _Running(len(a.rows), n)
+        for c in held:
+            seen = []
+            for label in np.intersect1d(a.labels, c.labels).tolist():
+                mine, theirs = np.flatnonzero(a.labels == label), np.flatnonzero(c.labels == label)
+                s = scores(a.parts[mine], c.parts[theirs])
+                if kept.open[mine].any():
+                    row, column = best(s, n + 1)
+                else:
+                    row, column = np.nonzero(s >= kept.least[mine, None])
+                other = a.rows[mine[row]] != c.rows[theirs[column]]
+                row, column = row[other], column[other]
+                seen.append((mine[row], s[row, column], c.ids[theirs[column]]))
+            if seen:
+                kept.add(*(np.concatenate(x) for x in zip(*seen, strict=True)))
+        return [a.rows[kept.key], a.ids[kept.key], kept.id, kept.score]
 
     return found
 
@@ -211,18 +275,31 @@ _WANTED = "row long, goal int, anchor_id long, positive_id long, positive_score
 
 
 def _other_label(n: int, low: int, high: int):
-    def found(a: _Block, c: _Block) -> list:
+    def found(a: _Block, held: list[_Block]) -> list:
         """The best ``n`` candidates of other labels in the window below each positive's score."""
-        s = scores(a.parts, c.parts)
-        top = max((len(g) for g in a.goals), default=0)
-        out = []
-        for k in range(top):
-            has = np.array([i for i, g in enumerate(a.goals) if len(g) > k], np.int64)
-            goal = np.array([a.goals[i][k] for i in has], s.dtype)
-            near = (100 * s[has] <= high * goal[:, None]) & (100 * s[has] >= low * goal[:, None]) & (c.labels != a.labels[has, None])
-            row, column = _first(s[has], *np.nonzero(near), n)
-            out.append([a.rows[has[row]], np.full(len(row), k), a.ids[has[row]], np.array([a.goal_ids[i][k] for i in has[row]], object), goal[row], c.ids[column], s[has][row, column]])
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
+        # The wanted: (anchor, number of its positive, score, id), anchor by anchor.
+        of = np.repeat(np.arange(len(a.rows)), [len(g) for g in a.goals])
+        start = np.searchsorted(of, np.arange(len(a.rows)))
+        goal = np.array([x for g in a.goals for x in g], object)
+        positive = np.array([x for g in a.goal_ids for x in g], np.int64)
+        lowest, highest = -(-low * goal // 100), high * goal // 100
+        kept = _Running(len(of), n)
+        for c in held:
+            s = scores(a.parts, c.parts)
+            # Scores in 64 bits are far within these limits.
+            down, up = (lowest, highest) if s.dtype == object else (np.clip(x, -(1 << 62), 1 << 62).astype(np.int64) for x in (lowest, highest))
+            enough = np.where(kept.open, down, np.maximum(down, kept.least))
+            near = (s >= np.minimum.reduceat(enough, start)[:, None]) & (s <= np.maximum.reduceat(up, start)[:, None])
+            near &= c.labels != a.labels[:, None]
+            row, column = np.nonzero(near)
+            score, ids = s[row, column], c.ids[column]
+            for k in range(max((len(g) for g in a.goals), default=0)):
+                key = start[row] + k
+                has = np.flatnonzero(key < np.append(start[1:], len(of))[row])
+                has = has[(score[has] >= down[key[has]]) & (score[has] <= up[key[has]]) & kept.reach(key[has], score[has])]
+                kept.add(key[has], score[has], ids[has])
+        key = kept.key
+        return [a.rows[of[key]], key - start[of[key]], a.ids[of[key]], positive[key], goal[key], kept.id, kept.score]
 
     return found
 
@@ -255,16 +332,16 @@ def mine(
     common.ship(table.sparkSession)
     rows = _vectors(table, vec_id, vector, label)
     anchor = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
-    count, anchors = rows.agg(F.count("*"), F.count_if(anchor)).first()
-    blocks = common.parts(count, CANDIDATES)
+    count, anchors, dim = rows.agg(F.count("*"), F.count_if(anchor), F.max(F.size("vector"))).first()
+    groups = _groups(count, anchors, dim or 0, common.parts(count, CANDIDATES), table.sparkSession.sparkContext.defaultParallelism)
     candidates = _packed_blocks(rows, CANDIDATES, count)
     asking = rows.filter(anchor)
-    near = _meet(_packed_blocks(asking, ANCHORS, anchors), candidates, blocks, _same_label(positives), _FOUND)
+    near = _meet(_packed_blocks(asking, ANCHORS, anchors), candidates, groups, _same_label(positives), _FOUND)
     near = _ranked(near, ["row"], positives)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "id", "score")))
     goals = near.groupBy("row").agg(ordered.alias("g")).select("row", F.col("g.score").alias("goals"), F.col("g.id").alias("goal_ids"))
     goals = session.stage(asking.join(goals, "row"), "goals")
-    far = _meet(_packed_blocks(goals, ANCHORS, anchors), candidates, blocks, _other_label(negatives, low, high), _WANTED)
+    far = _meet(_packed_blocks(goals, ANCHORS, anchors), candidates, groups, _other_label(negatives, low, high), _WANTED)
     far = _ranked(far, ["row", "goal"], negatives)
     return far.select(
         "anchor_id", _shown("positive_id").alias("positive_id"), "rank",

@@ -82,3 +82,25 @@ def test_wide_components_and_empty(spark):
     assert got(spark, rows, 10) == brute(rows, 10)
     assert got(spark, rows[1:9], 100) == [] == got(spark, [], 100)
     assert got(spark, [(100, [0.5], 3)], 100) == []
+
+
+def test_no_side_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "CANDIDATES", 20)
+    monkeypatch.setattr(negatives, "ANCHORS", 6)
+    monkeypatch.setattr(negatives, "GROUP_BYTES", 60 * 4 * 8)
+    r = random.Random(6)
+    rows = [(i % 150, [r.choice((-0.5, 0.25, 0.5, -1e20 if i == 77 else 0.3)) for _ in range(4)], r.choice((0, 0, 1))) for i in range(240)]
+    df = spark.createDataFrame([(*x, "x", 1) for x in rows], SCHEMA)
+    out = negatives.mine(df, every=10)
+    # Small files are broadcast by every join; a copy for each group of candidates would meet in the driver.
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(repr(tuple(x)) for x in out.collect()) == brute(rows, 10)
+
+
+def test_groups_follow_memory_then_cores():
+    fit = negatives.GROUP_BYTES // (8 * 64)
+    assert negatives._groups(100 * fit, fit, 64, 10**6, 4) == 100  # what fits in a task
+    assert negatives._groups(3 * fit, fit // 100, 64, 10**6, 4) == 8  # for all cores
+    assert negatives._groups(3 * fit, fit // 100, 64, 5, 4) == 5  # a block is in one group
+    assert negatives._groups(fit, fit // 4, 64, 10**6, 50) == 4  # anchors sent take no more than the candidates
+    assert negatives._groups(0, 0, 0, 1, 8) == 1
